@@ -6,7 +6,7 @@ its vector (combine, remove). A vector has two parts:
 
 - exact lanes modulo 2^32, each a seeded hash of the paragraph's SHA-512: two multisets of paragraphs are equal if,
   but for a chance of 2^-256, these are;
-- signed lanes modulo 2^32, for likeness: each sentence of the paragraph adds one bit of its hash to every lane. Twice
+- signed lanes modulo 2^32, for likeness: each sentence or clause of the paragraph adds one bit of its hash to every lane. Twice
   a lane less the number of sentences is then a sum of random signs, and the inner product of two documents' lanes
   estimates that of their sentence counts; likeness() is the cosine, clipped to 0..1.
 
@@ -24,6 +24,7 @@ from pyspark.sql import Window as W
 EXACT, PAIRS = 8, 32
 LOW32 = (1 << 32) - 1
 PAIR_BITS = (1 << 32) + 1
+SENTENCE_END = r"[.!?,;:|\n]+"
 
 
 def _add(a: Column, b: Column, sign: int = 1) -> Column:
@@ -50,12 +51,14 @@ def likeness_lanes(text: Column) -> Column:
 
     A lane is below 2^32 and counts sentences, of which a text has fewer: no sum runs into its neighbour.
     """
-    hashes = F.transform(F.filter(F.split(text, r"[.!?\n]+"), lambda s: F.length(s) > 0), lambda s: F.xxhash64(F.trim(s)))
-    bits = F.transform(
-        F.sequence(F.lit(0), F.lit(PAIRS - 1)),
-        lambda i: F.aggregate(hashes, F.lit(0).cast("long"), lambda acc, h: acc + F.call_function("shiftrightunsigned", h, i).bitwiseAND(F.lit(PAIR_BITS))),
-    )
-    return F.concat(F.array(F.size(hashes).cast("long")), bits)
+    hashes = F.transform(F.filter(F.split(text, SENTENCE_END), lambda s: F.length(s) > 0), lambda s: F.xxhash64(F.trim(s)))
+    # the number of sentences is carried along: the array of hashes is made once
+    zero = F.array_repeat(F.lit(0).cast("long"), PAIRS + 1)
+
+    def add(acc: Column, h: Column) -> Column:
+        return F.transform(acc, lambda a, i: a + F.when(i == 0, F.lit(1).cast("long")).otherwise(F.call_function("shiftrightunsigned", h, i - 1).bitwiseAND(F.lit(PAIR_BITS))))
+
+    return F.aggregate(hashes, zero, add)
 
 
 def fingerprint(text: Column) -> Column:
@@ -136,7 +139,7 @@ def with_next(docs: DataFrame, columns: list[str], rows: int = 50, most: int = 8
 
     Rows are dealt into ranges of ids, each a window partition; the first row of a range also goes to the range
     before, so that no row needs another shuffle to find its next one. Rows with one doc_id follow each other by
-    the named columns.
+    the first of these columns.
     """
     cuts = id_cuts(docs.select("doc_id"), rows, most)
     order = F.coalesce(F.col("doc_id"), F.lit(-(1 << 63)).cast("long"))
@@ -153,6 +156,6 @@ def with_next(docs: DataFrame, columns: list[str], rows: int = 50, most: int = 8
             .otherwise(F.array(F.struct(number.alias("r"), F.lit(False).alias("again"))))
         ).alias("__at"),
     ).select("*", F.col("__at.r").alias("__range"), F.col("__at.again").alias("__again")).drop("__at")
-    w = W.partitionBy("__range").orderBy(F.col("__again"), F.col("doc_id").asc_nulls_first(), *columns)
+    w = W.partitionBy("__range").orderBy(F.col("__again"), F.col("doc_id").asc_nulls_first(), columns[0])
     out = dealt.withColumn("next", F.lead(F.struct(*columns)).over(w)).where("not __again")
     return out.drop("__range", "__again")
