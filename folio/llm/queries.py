@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import fingerprint as fp
-from . import line_dedup, mixing, packing, simhash, substring_dedup, suffix_dedup, url_filter
+from . import embedding_dedup, line_dedup, mixing, packing, quality, simhash, substring_dedup, suffix_dedup, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -52,6 +52,10 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.score_all(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = line_dedup.dedup_lines(_table(spark, sf_dir, "documents").select("doc_id", "text"), least=40, documents=5)
     return docs.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
@@ -78,6 +82,10 @@ def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(_table(spark, sf_dir, "pages").select("page_id", "url"), rules).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op9_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_vectors(_table(spark, sf_dir, "embeddings"), cosine=0.98)
+
+
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.dedup_words(_table(spark, sf_dir, "documents"), window=13)
 
@@ -96,7 +104,7 @@ QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY length(rule) DESC NULLS
 
 
 def queries() -> dict:
-    found = (op1_packing, op2_fingerprint, op3_mixing, op4_suffix_dedup, op5_simhash, op7_line_dedup, op8_url_filter, op10_substring_dedup)
+    found = (op1_packing, op2_fingerprint, op3_mixing, op4_suffix_dedup, op5_simhash, op6_quality, op7_line_dedup, op8_url_filter, op9_embedding_dedup, op10_substring_dedup)
     return {f.__name__: f for f in found}
 
 
