@@ -13,14 +13,14 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _word_tokenizer() -> str:
+def word_tokenizer() -> str:
     import public_tokenizers
 
     return public_tokenizers.path("word_bpe_49k.json")
 
 
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(_table(spark, sf_dir, "documents"), _word_tokenizer(), capacity=4096)
+    return packing.pack(_table(spark, sf_dir, "documents"), word_tokenizer(), capacity=4096)
 
 
 def op2_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
