@@ -1,11 +1,13 @@
-"""Queries over the synthetic tables, by name, with their DuckDB equivalents."""
+"""All queries over the synthetic tables, by name, with their DuckDB equivalents."""
 
 from __future__ import annotations
 
+from . import study
+
 
 def queries() -> dict:
-    return {}
+    return dict(study.QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(study.ORACLES)
