@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from .store import materialize, ship
-from .tokens import WordEncoder, blocks
+from .tokens import encoder, text_blocks
 
 END_ID = 1
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -35,11 +35,9 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = 4096, with_ids: bool
     """
 
     def cut(batches):
-        encoder = WordEncoder(tokenizer)
         for batch in batches:
-            texts = [x or b"" for x in batch.column("text").cast(pa.binary()).to_pylist()]
-            for a, b in blocks(texts):
-                ids, begins = encoder.encode(texts[a:b])
+            for a, b, texts in text_blocks(batch.column("text")):
+                ids, begins = encoder(tokenizer).encode(texts)
                 lengths = np.diff(begins) + 1
                 flat = np.insert(ids, begins[1:], np.uint32(END_ID)).astype("<u4")
                 n = -(-lengths // capacity)

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .store import materialize, ship
-from .tokens import ByteHash, blocks
+from .tokens import ByteHash, text_blocks
 
 #: At most about this many positives, and as many unlabelled rows, are sampled for learning.
 SAMPLE = 20_000
@@ -91,9 +91,8 @@ def features(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         measures = Measures()
         for batch in batches:
-            texts = [x or b"" for x in batch.column("text").cast(pa.binary()).to_pylist()]
-            for a, b in blocks(texts):
-                got = measures.of(texts[a:b])
+            for a, b, texts in text_blocks(batch.column("text")):
+                got = measures.of(texts)
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(0, got.size + 1, got.shape[1]), pa.int32()), pa.array(got.ravel()))
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), lists], names=["doc_id", "features"])
 
@@ -192,8 +191,7 @@ def accepted(docs: DataFrame, labels: DataFrame) -> DataFrame:
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         measures = Measures()
         for batch in batches:
-            texts = [x or b"" for x in batch.column("text").cast(pa.binary()).to_pylist()]
-            scores = [model.of(measures.of(texts[a:b])) for a, b in blocks(texts)]
+            scores = [model.of(measures.of(texts)) for _, _, texts in text_blocks(batch.column("text"))]
             if scores:
                 yield batch.filter(pa.array(np.concatenate(scores) >= 0.5))
 

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .store import drop_path, materialize, new_path, ship
-from .tokens import ByteHash, blocks
+from .tokens import ByteHash, text_blocks
 
 ANCHORS = "k long, u long, doc long"
 _ODD = np.uint64(0x9FB21C651E98DF25)
@@ -138,19 +138,15 @@ def _lists(column: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
     return flat, np.repeat(np.arange(len(column)), np.diff(column.offsets.to_numpy()))
 
 
-def texts_of(batch: pa.RecordBatch) -> list[bytes]:
-    return [x or b"" for x in batch.column("text").cast(pa.binary()).to_pylist()]
-
-
 def anchors(docs: DataFrame, spec: Spec) -> DataFrame:
     """(k, u, doc): the gram and the stretch of every anchor, once for each document."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = Reader(spec)
         for batch in batches:
-            texts, ids = texts_of(batch), batch.column("doc").to_numpy()
-            for a, b in blocks(texts):
-                found = reader.stretches(reader.symbols(texts[a:b]))
+            ids = batch.column("doc").to_numpy()
+            for a, b, texts in text_blocks(batch.column("text")):
+                found = reader.stretches(reader.symbols(texts))
                 _, once = np.unique(_tagged(found.u, found.doc), return_index=True)
                 columns = [found.k[once].view(np.int64), found.u[once].view(np.int64), ids[a:b][found.doc[once]]]
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["k", "u", "doc"])
@@ -164,9 +160,9 @@ def windows_of(docs: DataFrame, spec: Spec) -> DataFrame:
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = Reader(spec)
         for batch in batches:
-            texts, ids, fine = texts_of(batch), batch.column("doc").to_numpy(), batch.column("fine")
-            for a, b in blocks(texts):
-                symbols = reader.symbols(texts[a:b])
+            ids, fine = batch.column("doc").to_numpy(), batch.column("fine")
+            for a, b, texts in text_blocks(batch.column("text")):
+                symbols = reader.symbols(texts)
                 found = reader.stretches(symbols)
                 wanted = np.isin(_tagged(found.u, found.doc), _tagged(*_lists(fine.slice(a, b - a))))
                 lo, hi = found.lo[wanted], found.hi[wanted]
@@ -241,9 +237,8 @@ def mark(docs: DataFrame, found: DataFrame, spec: Spec, own: bool, render, schem
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = Reader(spec)
         for batch in batches:
-            texts = texts_of(batch)
-            for a, b in blocks(texts):
-                symbols = reader.symbols(texts[a:b])
+            for a, b, texts in text_blocks(batch.column("text")):
+                symbols = reader.symbols(texts)
                 there = reader.stretches(symbols)
                 whole = np.isin(_tagged(there.u, there.doc), _tagged(*_lists(batch.column("stretches").slice(a, b - a))))
                 starts = [_spans(there.lo[whole], there.hi[whole])]
@@ -267,7 +262,7 @@ def mark(docs: DataFrame, found: DataFrame, spec: Spec, own: bool, render, schem
                 at = np.concatenate(starts)
                 n = len(symbols.prefix)
                 covered = np.cumsum(np.bincount(at, minlength=n) - np.bincount(at + spec.window, minlength=n))[: n - 1] > 0
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), *render(symbols, texts[a:b], covered)], schema=_arrow(batch.schema.field("doc_id").type))
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), *render(symbols, texts, covered)], schema=_arrow(batch.schema.field("doc_id").type))
 
     def _arrow(kind: pa.DataType) -> pa.Schema:
         kinds = {"long": pa.int64(), "string": pa.string()}

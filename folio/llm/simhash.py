@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .store import materialize, ship
+from .tokens import text_blocks
 
 #: Node pairs with at most this many leaf pairs are compared leaf by leaf; so many pairs are compared at a time.
 LEAF_PAIRS, AT_ONCE = 1024, 1 << 20
@@ -54,9 +55,9 @@ def fingerprints(docs: DataFrame, words: int = 5) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column("text").cast(pa.binary())
-            fp = np.array([simhash(x.as_py() or b"", words) for x in texts], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fp)], names=["doc_id", "fp"])
+            for a, b, texts in text_blocks(batch.column("text")):
+                fp = np.array([simhash(x, words) for x in texts], np.uint64).view(np.int64)
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), pa.array(fp)], names=["doc_id", "fp"])
 
     return ship(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, fp long")
 

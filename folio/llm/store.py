@@ -61,12 +61,18 @@ def partitions(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
+BATCHES = {"spark.sql.execution.arrow.maxBytesPerBatch": "4m", "spark.sql.execution.arrow.maxRecordsPerBatch": "2000"}
 _shipped: set[str] = set()
 
 
 def ship(df: DataFrame) -> DataFrame:
-    """df, after this package has been sent to the Python workers, once for each application."""
+    """df, after this package has been sent to the Python workers, once for each application.
+
+    Texts are long: batches of rows go to Python by bytes, not by ten thousand rows.
+    """
     context = df.sparkSession.sparkContext
+    for key, value in BATCHES.items():
+        df.sparkSession.conf.set(key, value)
     if context.applicationId not in _shipped:
         package = Path(__file__).resolve().parent.parent
         archive = Path(tempfile.mkdtemp(prefix="spark-")) / f"{package.name}.zip"

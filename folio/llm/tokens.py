@@ -7,9 +7,12 @@ White space never joins two words' tokens, so a text's ids are its words' ids in
 from __future__ import annotations
 
 import re
+from functools import lru_cache
 from itertools import chain
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Texts are joined to blocks of about this many bytes.
 BLOCK = 1 << 20
@@ -39,22 +42,27 @@ class ByteHash:
         return (prefix[end] - prefix[start]) * self.back[start]
 
 
-def blocks(texts: list[bytes], size: int = BLOCK):
-    """Slices (from, to) of texts of about size bytes each."""
-    at, total = 0, 0
-    for i, x in enumerate(texts):
-        total += len(x) + 1
-        if total >= size:
-            yield at, i + 1
-            at, total = i + 1, 0
-    if at < len(texts):
-        yield at, len(texts)
+def text_blocks(column: pa.Array, size: int = BLOCK):
+    """(from, to, texts as bytes) for slices of a string column of about size bytes each; a null is empty."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64) + 1)
+    at = 0
+    while at < len(column):
+        done = ends[at - 1] if at else 0
+        end = max(at + 1, int(np.searchsorted(ends, done + size)))
+        yield at, end, [x or b"" for x in column.slice(at, end - at).cast(pa.binary()).to_pylist()]
+        at = end
+
+
+@lru_cache(maxsize=1)
+def encoder(path: str) -> WordEncoder:
+    """One encoder for all tasks of a Python worker."""
+    return WordEncoder(path)
 
 
 class WordEncoder:
     """Ids of texts by the tokenizer at path: BPE with word ends that drops white space."""
 
-    def __init__(self, path: str, capacity: int = 1 << 21):
+    def __init__(self, path: str, capacity: int = 1 << 20):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
