@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from . import study
+from . import structure, study
 
 
 def queries() -> dict:
-    return dict(study.QUERIES)
+    return study.QUERIES | structure.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(study.ORACLES)
+    return study.ORACLES | structure.ORACLES

@@ -7,6 +7,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .pages import PAGE_LINES
+
 #: Functions spelled differently: (Spark, DuckDB).
 SPELLING = {
     "{days:": ("datediff(cast(%s as date), date'1970-01-01')", "date_diff('day', date '1970-01-01', cast(%s as date))"),
@@ -45,6 +47,7 @@ SOURCES: dict[str, str] = {
     "reading_stats": "SELECT user_id AS book_id, cast(cast(ts as date) as string) AS day, cast(sum(cast(floor(value) as bigint)) as bigint) AS minutes FROM events GROUP BY user_id, cast(cast(ts as date) as string)",
 }
 
+SOURCES["page_lines"] = PAGE_LINES
 LINES = {
     "spark": "SELECT doc_id, cast(p as bigint) AS pos, line FROM documents LATERAL VIEW posexplode(split(text, '\\n', -1)) t AS p, line",
     "duckdb": "SELECT doc_id, CAST(generate_subscripts(string_split(text, chr(10)), 1) - 1 AS BIGINT) AS pos, unnest(string_split(text, chr(10))) AS line FROM documents",
