@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from . import structure, study
+from . import structure, study, texts
 
 
 def queries() -> dict:
-    return study.QUERIES | structure.QUERIES
+    return study.QUERIES | structure.QUERIES | texts.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return study.ORACLES | structure.ORACLES
+    return study.ORACLES | structure.ORACLES | texts.ORACLES
