@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
+from pyspark.sql.types import StringType
 
 from .text import trimmed
 
@@ -52,7 +53,7 @@ def tagged(c: Column, names: list[str]) -> Column:
     return F.when(whole, F.struct(*[p.alias(n) for p, n in zip(parts, names, strict=True)]))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def json_slice(raw: pd.Series) -> pd.Series:
     """The first balanced JSON value of a reply, without a code fence; null if there is none."""
     import re

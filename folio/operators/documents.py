@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from ..cluster import shipped
 from ..functions import text as T
 from .temporal import islands
 
@@ -121,7 +122,7 @@ def stitch(pages: DataFrame) -> DataFrame:
                 del b[0]
         return pd.DataFrame([(book, page, len(paras), sum(map(len, paras))) for book, page, paras in rows], columns=["book", "page", "paras", "chars"])
 
-    return pages.groupBy("book").applyInPandas(run, "book long, page int, paras int, chars long")
+    return shipped(pages).groupBy("book").applyInPandas(run, "book long, page int, paras int, chars long")
 
 
 def merge_fragments(lines: DataFrame, reach: float = 15.0) -> DataFrame:
@@ -135,7 +136,7 @@ def merge_fragments(lines: DataFrame, reach: float = 15.0) -> DataFrame:
             into.setdefault(s, b)
         return pd.DataFrame({"book": pdf.book, "page": pdf.page, "ord": pdf.ord, "into": [into.get(o, o) for o in pdf.ord]})
 
-    return lines.groupBy("book", "page").applyInPandas(run, "book long, page int, ord int, into int")
+    return shipped(lines).groupBy("book", "page").applyInPandas(run, "book long, page int, ord int, into int")
 
 
 def match_in_band(entries: DataFrame, found: DataFrame, band: int) -> DataFrame:
@@ -151,7 +152,7 @@ def match_in_band(entries: DataFrame, found: DataFrame, band: int) -> DataFrame:
                 taken[free[0]] = entry
         return pd.DataFrame([(pdf.book_id.iloc[0], e, c) for c, e in taken.items()], columns=["book_id", "entry", "chapter"])
 
-    return near.groupBy("book_id").applyInPandas(run, "book_id long, entry long, chapter long")
+    return shipped(near).groupBy("book_id").applyInPandas(run, "book_id long, entry long, chapter long")
 
 
 def most_similar(texts: DataFrame, entries: DataFrame) -> DataFrame:
@@ -169,7 +170,7 @@ def most_similar(texts: DataFrame, entries: DataFrame) -> DataFrame:
                 out.append((r.id, -best[1], round(best[0], 9)))
             yield pd.DataFrame(out, columns=["id", "entry", "ratio"])
 
-    return texts.select("id", "text").crossJoin(F.broadcast(titles)).mapInPandas(run, "id long, entry long, ratio double")
+    return shipped(texts).select("id", "text").crossJoin(F.broadcast(titles)).mapInPandas(run, "id long, entry long, ratio double")
 
 
 def offset_of_anchors(chapters_: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from ..functions.text import PRIVATE_USE
 from ..operators import relational as R
 from ..operators import temporal as X
 from ..sources.roles import oracle, table
@@ -63,7 +64,7 @@ def deletion_mask(t):
 def suspicious_pages(pages: DataFrame) -> DataFrame:
     """Pages of a line table that may be unreadable: under 5 characters, two private-use ones, or many short lines."""
     chars = F.sum(F.length("text"))
-    private = F.sum(F.regexp_count("text", F.lit("[-]")))
+    private = F.sum(F.regexp_count("text", F.lit(PRIVATE_USE)))
     short = F.count_if((F.length("text") > 0) & (F.length("text") < 8))
     found = pages.groupBy("book", "page").agg(chars.alias("chars"), private.alias("private"), short.alias("short"), F.count("*").alias("lines"))
     return found.where("chars < 5 OR private >= 2 OR (short >= 5 AND short / lines >= 0.4)")
