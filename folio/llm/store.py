@@ -4,12 +4,12 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-import zipfile
 from contextlib import contextmanager
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..cluster import shipped
+
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
@@ -62,23 +62,10 @@ def partitions(df: DataFrame) -> int:
 
 
 BATCHES = {"spark.sql.execution.arrow.maxBytesPerBatch": "4m", "spark.sql.execution.arrow.maxRecordsPerBatch": "2000"}
-_shipped: set[str] = set()
 
 
 def ship(df: DataFrame) -> DataFrame:
-    """df, after this package has been sent to the Python workers, once for each application.
-
-    Texts are long: batches of rows go to Python by bytes, not by ten thousand rows.
-    """
-    context = df.sparkSession.sparkContext
+    """df, for Python workers: they have this package, and get batches of texts by bytes, not by ten thousand rows."""
     for key, value in BATCHES.items():
         df.sparkSession.conf.set(key, value)
-    if context.applicationId not in _shipped:
-        package = Path(__file__).resolve().parent.parent
-        archive = Path(tempfile.mkdtemp(prefix="spark-")) / f"{package.name}.zip"
-        with zipfile.ZipFile(archive, "w") as out:
-            for file in sorted(package.rglob("*.py")):
-                out.write(file, file.relative_to(package.parent))
-        context.addPyFile(str(archive))
-        _shipped.add(context.applicationId)
-    return df
+    return shipped(df)
