@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from . import structure, study, texts
+from . import judgement, structure, study, texts
 
 
 def queries() -> dict:
-    return study.QUERIES | structure.QUERIES | texts.QUERIES
+    return study.QUERIES | structure.QUERIES | texts.QUERIES | judgement.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return study.ORACLES | structure.ORACLES | texts.ORACLES
+    return study.ORACLES | structure.ORACLES | texts.ORACLES | judgement.ORACLES
