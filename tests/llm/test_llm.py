@@ -146,6 +146,8 @@ def test_mixing(spark):
 def test_mixing_odd(spark):
     mixed = mixing.mix(docs_of(spark, ODD, {5: None}))
     assert mixed.columns == docs_of(spark, ODD).columns
+    more = docs_of(spark, [(i, "w w", ) for i in range(9)]).withColumns({c: F.lit(i) for i, c in enumerate(("size", "times", "bucket", "target", "held", "weight"))})
+    assert mixing.mix(more).columns == more.columns and {(r.times, r.bucket) for r in mixing.mix(more).collect()} == {(1, 2)}
     assert mixing.mix(docs_of(spark, [])).count() == 0
     assert mixing.mix(docs_of(spark, [(1, None), (2, "")])).count() == 0
 
@@ -311,6 +313,8 @@ def test_lines(spark):
     assert line_dedup.dedup_lines(docs_of(spark, texts[:4])).where("n_dropped > 0").count() == 0
     assert line_dedup.dedup_lines(docs_of(spark, [])).count() == 0
     assert line_dedup.dedup_lines(docs_of(spark, ODD)).count() == len(ODD)
+    more = docs_of(spark, texts).withColumns({c: F.lit(7) for c in ("drop", "h", "n", "last", "n_lines")})
+    assert {(r.doc_id, r.drop, r.last, r.n_dropped) for r in line_dedup.dedup_lines(more).collect()} == {(r.doc_id, 7, 7, r.n_dropped) for r in got.values()}
 
 
 def test_lines_reversible(spark):
@@ -416,7 +420,7 @@ def test_oracles(spark):
     import duckdb
 
     c = duckdb.connect()
-    for n in ("documents", "pages"):
+    for n in ("documents", "pages", "embeddings"):
         c.execute(f"CREATE VIEW {n} AS SELECT * FROM '{SF}/{n}.parquet'")
     for name, sql in queries.oracle_sql().items():
         df = queries.queries()[name](spark, SF)
