@@ -192,7 +192,8 @@ class RepeatIndex:
         held = run
         for _, level in self.levels:
             held = held.unionByName(level)
-        twice = held.groupBy("k").count().where("count > 1").select("k")
+        # written apart from the join that uses it, so that the shuffle files of one are gone before the other's
+        twice = materialize(held.groupBy("k").count().where("count > 1").select("k"), "repeat-twice")
         shared = materialize(held.join(twice, "k"), "repeat-shared")
         if last:
             drop_path(spark, path)
@@ -207,7 +208,8 @@ class RepeatIndex:
         fine = per_doc.where("size(fine) > 0").select("doc", "fine")
         windows = materialize(windows_of(everything.join(fine, "doc"), self.spec), "repeat-windows")
         firsts = windows.groupBy("w").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).where("first < last")
-        again = windows.join(firsts.select("w", "first"), "w").where("doc > first").groupBy("doc").agg(F.collect_list("w").alias("windows"))
+        firsts = materialize(firsts.select("w", "first"), "repeat-firsts")
+        again = windows.join(firsts, "w").where("doc > first").groupBy("doc").agg(F.collect_list("w").alias("windows"))
         found = per_doc.select("doc", "stretches").join(again, "doc", "full").select(
             "doc", *(F.coalesce(c, F.array().cast("array<bigint>")).alias(c) for c in ("stretches", "windows"))
         )
