@@ -29,8 +29,10 @@ from .simhash import _roots, _unite
 from .store import materialize, ship
 
 #: Points of a cell, children that a larger one is split among, and levels at most (copies of a direction can't be split).
-CELL, FANOUT, LEVELS = 512, 8, 12
+CELL, FANOUT, LEVELS = 2048, 4, 12
 SLACK = 1e-7
+#: Points probed before a node is divided, and the share of their pairs that must be near for it to be worth it.
+PROBE, SPARSE = 64, 0.02
 
 
 @dataclass
@@ -54,6 +56,10 @@ def cover_tree(x: np.ndarray, points: np.ndarray, reach: float, leaf: int = 24)
     if len(points) <= leaf or node.radius < 1e-6:
         return node
     half, left = min(reach, node.radius) / 2, points
+    # where few points are within half the radius of each other, the next level would be as many nodes as points
+    probe = x[points[:PROBE]]
+    if ((_chord(probe, probe) <= half).sum() - len(probe)) < SPARSE * len(probe) * (len(probe) - 1):
+        return node
     while len(left):
         near = _chord(x[left[:1]], x[left])[0] <= half
         near[0] = True
