@@ -104,7 +104,7 @@ class LineIndex:
         self.filters = materialize(filters, "line-filters")
 
     def drops(self) -> DataFrame:
-        """(doc_id, drop): the keys, as h, whose lines a document loses: those that repeat and that a larger doc_id holds."""
+        """(doc_id, __drop): the keys, as h, whose lines a document loses: those that repeat and that a larger doc_id holds."""
         asked = self.postings
         if self.repeats.count() <= BROADCAST_KEYS:
             shards = self.shards
@@ -122,19 +122,19 @@ class LineIndex:
 
             asked = ship(asked).mapInArrow(ask, asked.schema)
         lost = asked.join(self.repeats.select("h", "g", "last"), ["h", "g"]).where("last is not null and (doc_id is null or doc_id < last)")
-        return lost.groupBy("doc_id").agg(F.collect_set("h").alias("drop"))
+        return lost.groupBy("doc_id").agg(F.collect_set("h").alias("__drop"))
 
 
 def rewrite(docs: DataFrame, index: LineIndex) -> DataFrame:
     """docs with text rewritten, and n_lines (before dropping) and n_dropped."""
     drops = index.drops().withColumnRenamed("doc_id", "__doc")
     joined = docs.join(drops, F.col("doc_id").eqNullSafe(F.col("__doc")), "left").withColumn("__lines", lines_of(F.col("text")))
-    repeated = lambda line: (F.length(line) >= index.least) & F.array_contains("drop", F.xxhash64(key_of(line)))
-    kept = F.when(F.col("drop").isNull(), F.col("__lines")).otherwise(F.filter("__lines", lambda line: ~repeated(line)))
+    repeated = lambda line: (F.length(line) >= index.least) & F.array_contains("__drop", F.xxhash64(key_of(line)))
+    kept = F.when(F.col("__drop").isNull(), F.col("__lines")).otherwise(F.filter("__lines", lambda line: ~repeated(line)))
     joined = joined.withColumn("__kept", kept)
     counts = {"n_lines": F.size("__lines").cast("long"), "n_dropped": (F.size("__lines") - F.size("__kept")).cast("long")}
-    text = F.when(F.col("drop").isNull(), F.coalesce("text", F.lit(""))).otherwise(F.array_join("__kept", "\n"))
-    return joined.withColumns(counts).withColumn("text", text).drop("__doc", "drop", "__lines", "__kept")
+    text = F.when(F.col("__drop").isNull(), F.coalesce("text", F.lit(""))).otherwise(F.array_join("__kept", "\n"))
+    return joined.withColumns(counts).withColumn("text", text).drop("__doc", "__drop", "__lines", "__kept")
 
 
 def dedup_lines(docs: DataFrame, least: int = 40, documents: int = 5) -> DataFrame:
