@@ -19,7 +19,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .store import drop_path, materialize, new_path, ship
@@ -181,6 +181,17 @@ class RepeatIndex:
         self.spec = spec
         self.history: DataFrame | None = None
         self.levels: list[tuple[int, DataFrame]] = []
+        self.temporary: list[str] = []
+
+    def _hold(self, df: DataFrame, name: str) -> DataFrame:
+        """df written until _drop()."""
+        self.temporary.append(new_path(df.sparkSession, name))
+        return materialize(df, path=self.temporary[-1])
+
+    def _drop(self, spark: SparkSession) -> None:
+        for path in self.temporary:
+            drop_path(spark, path)
+        self.temporary = []
 
     def add(self, docs: DataFrame, last: bool = False) -> DataFrame:
         """(doc, stretches, windows) of the documents of this batch with repeats: hashes of the stretches and windows of theirs that also start in a document with a smaller id, in this batch or before.
@@ -193,8 +204,8 @@ class RepeatIndex:
         for _, level in self.levels:
             held = held.unionByName(level)
         # written apart from the join that uses it, so that the shuffle files of one are gone before the other's
-        twice = materialize(held.groupBy("k").count().where("count > 1").select("k"), "repeat-twice")
-        shared = materialize(held.join(twice, "k"), "repeat-shared")
+        twice = self._hold(held.groupBy("k").count().where("count > 1").select("k"), "repeat-twice")
+        shared = self._hold(held.join(twice, "k"), "repeat-shared")
         if last:
             drop_path(spark, path)
         classes = shared.groupBy("k", "u").agg(F.min("doc").alias("first"))
@@ -203,17 +214,21 @@ class RepeatIndex:
         per_doc = coded.groupBy("doc").agg(
             F.collect_list(F.when(F.col("doc") > F.col("first"), F.col("u"))).alias("stretches"), F.collect_list(F.when(F.col("doc") == F.col("first"), F.col("u"))).alias("fine")
         )
-        per_doc = materialize(per_doc, "repeat-docs")
+        docs_path = new_path(spark, "repeat-docs")
+        per_doc = materialize(per_doc, path=docs_path)
+        self._drop(spark)
+        self.temporary.append(docs_path)
         everything = docs if self.history is None else self.history.unionByName(docs)
         fine = per_doc.where("size(fine) > 0").select("doc", "fine")
-        windows = materialize(windows_of(everything.join(fine, "doc"), self.spec), "repeat-windows")
+        windows = self._hold(windows_of(everything.join(fine, "doc"), self.spec), "repeat-windows")
         firsts = windows.groupBy("w").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).where("first < last")
-        firsts = materialize(firsts.select("w", "first"), "repeat-firsts")
+        firsts = self._hold(firsts.select("w", "first"), "repeat-firsts")
         again = windows.join(firsts, "w").where("doc > first").groupBy("doc").agg(F.collect_list("w").alias("windows"))
         found = per_doc.select("doc", "stretches").join(again, "doc", "full").select(
             "doc", *(F.coalesce(c, F.array().cast("array<bigint>")).alias(c) for c in ("stretches", "windows"))
         )
         found = materialize(found.where("size(stretches) + size(windows) > 0"), "repeat-found")
+        self._drop(spark)
         if not last:
             self.history = everything
             self._push(run)
