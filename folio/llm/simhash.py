@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import shingles
 from .components import components
 from .store import materialize, ship
 from .tokens import text_blocks
@@ -252,11 +253,9 @@ def near_groups(docs: DataFrame, words: int = 5, budget: int = 4, wide: int = 0,
     return found.join(rooted.join(least, "root").select("node", "component_id"), "node").select("doc_id", "fp", "component_id")
 
 
-def one_of_each(docs: DataFrame, words: int = 5, budget: int = 14, wide: int = 4, wide_budget: int = 50) -> DataFrame:
-    """docs without those that some smaller doc_id is reachable from.
-
-    The defaults link texts whose 320 bits estimate a Jaccard likeness of 0.8 or more: two sets of a likeness j have a
-    cosine of 2j / (1 + j), and an angle of a share of arccos(that) / pi of the bits, 0.15 of them at 0.8.
-    """
-    groups = near_groups(docs, words, budget, wide, wide_budget).where("doc_id <> component_id").select(F.col("doc_id").alias("__doc")).distinct()
-    return docs.join(groups, docs["doc_id"] == groups["__doc"], "left_anti")
+def one_of_each(docs: DataFrame, words: int = 5) -> DataFrame:
+    """docs without those that some smaller doc_id is reachable from, by links between texts of a Jaccard likeness of 0.8 or more."""
+    groups = shingles.near_groups(docs, words).select("doc_id", "root")
+    least = groups.groupBy("root").agg(F.min("doc_id").alias("component_id"), F.count("*").alias("n")).where("n > 1").drop("n")
+    gone = groups.join(least, "root").where("doc_id <> component_id").select(F.col("doc_id").alias("__doc")).distinct()
+    return docs.join(gone, docs["doc_id"] == gone["__doc"], "left_anti")

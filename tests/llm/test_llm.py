@@ -416,6 +416,49 @@ def test_pipeline(spark):
     assert last.select("doc_id").distinct().count() == kept.select("doc_id").distinct().count()
 
 
+def brute_groups(texts, words=5):
+    """The least index of each text's component of Jaccard links of 0.8 or more."""
+    parts = [t.lower().split() for t in texts]
+    sets = [{tuple(p[i : i + words]) for i in range(max(1, len(p) - words + 1))} for p in parts]
+    root = list(range(len(sets)))
+
+    def up(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in range(len(sets)):
+        for j in range(i):
+            if 9 * len(sets[i] & sets[j]) >= 4 * (len(sets[i]) + len(sets[j])):
+                a, b = sorted((up(i), up(j)))
+                root[b] = a
+    return [up(i) for i in range(len(sets))]
+
+
+def test_near_dedup_of_pipeline(spark, corpus):
+    import corpus_pipeline
+
+    rng = np.random.default_rng(3)
+    texts = [t for _, t in corpus if t.strip()][:200]
+    for _ in range(300):  # pairs on both sides of 0.8, a few of them exactly there
+        words = [f"w{x}" for x in rng.integers(0, 5000, rng.integers(6, 150))]
+        other, n = list(words), len(words)
+        for at in rng.choice(n, min(n, int(rng.integers(1, max(2, n // 20)))), replace=False):
+            other[at] = "changed"
+        texts += [" ".join(words), " ".join(other)]
+        cut = int(n * rng.uniform(0.7, 1))
+        texts.append(" ".join(words[:cut]))
+    common = " ".join(f"c{x}" for x in range(40))
+    texts += [f"{common} " + " ".join(f"u{i}-{j}" for j in range(60)) for i in range(50)]
+    many = [f"m{x}" for x in range(100)]  # a group of more than any number of pivots
+    for i in range(60):
+        texts.append(" ".join(many[:i] + [f"x{i}"] + many[i + 1 :]))
+    docs = docs_of(spark, list(enumerate(texts)))
+    kept = {r.doc_id for r in corpus_pipeline.near(spark, docs, SF).collect()}
+    root = brute_groups(texts)
+    assert kept == {i for i, r in enumerate(root) if i == r}
+
+
 def test_oracles(spark):
     import duckdb
 
