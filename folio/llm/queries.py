@@ -44,7 +44,7 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffix_dedup.dedup_bytes(_table(spark, sf_dir, "documents"), window=100, batches=2)
+    return suffix_dedup.dedup_bytes(_table(spark, sf_dir, "documents"), window=100, batches=4)
 
 
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -87,7 +87,7 @@ def op9_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return substring_dedup.dedup_words(_table(spark, sf_dir, "documents"), window=13, batches=3)
+    return substring_dedup.dedup_words(_table(spark, sf_dir, "documents"), window=13, batches=4)
 
 
 OP8_SQL = r"""

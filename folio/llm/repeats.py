@@ -2,66 +2,91 @@
 
 Any window holds `window - gram + 1` grams; the one with the least hash, the leftmost of equals, is its anchor. Equal
 windows have equal anchors at equal places, so only windows around a gram that several documents hold as an anchor
-can repeat, and an index of anchors, a small share of all positions, finds every repeat. Neighbouring windows with
-one anchor form a stretch; documents with equal stretches form a class, whose first document is kept. Of a class's
+can repeat, and an index of anchored suffixes, a small share of all positions, finds every repeat. Neighbouring windows
+with one anchor form a stretch; documents with equal stretches form a class, whose first document is kept. Of a class's
 later documents all windows of the stretch repeat. First documents of different classes with one anchor gram are
-compared window by window, from their texts.
+compared window by window: by sorting their suffixes at the anchor and scanning the common prefixes of neighbours
+(scan), or by the digests of their windows (windows_of), as the spec says.
 
-The index is log-structured: each batch of documents (later batches hold larger ids) adds an immutable run of its
-anchors, sorted by gram; the batch is merge-joined with the runs before it; runs of like size are merged. Anchors are
-compared as 64-bit hashes of their grams, stretches and windows.
+The index is log-structured: each batch of documents (later batches hold larger ids) adds an immutable sorted run of
+its anchors; the batch is merge-joined with the runs before it; runs of like size are merged.
+
+Hashes from prefix sums only choose anchors and gather what may be equal. What counts as equal is equal by its bytes, or
+by the 128 bits of their BLAKE2b digest.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .store import drop_path, materialize, new_path, ship
+from .store import bucketed, drop_path, materialize, new_path, ship
 from .tokens import ByteHash, text_blocks
 
-ANCHORS = "k long, u long, doc long"
+ANCHORS = "k long, u long, v long, doc long"
 _ODD = np.uint64(0x9FB21C651E98DF25)
+#: Rows whose suffixes are sorted at a time.
+CHUNK = 1 << 15
 
 
 @dataclass(frozen=True)
 class Spec:
-    """Windows of so many symbols, anchored at grams of so many; symbols are bytes, or words parted by ASCII white space."""
+    """Windows of so many symbols, anchored at grams of so many; symbols are bytes, or words parted by ASCII white space.
+
+    Stretches of one gram are compared by their sorted suffixes where at most `sorted_at_most` of them differ, and
+    beyond it, where one task would get a large group, by the digests of their windows, which many tasks share.
+    """
 
     window: int
     gram: int
     words: bool
+    sorted_at_most: int = 0
 
 
 @dataclass
 class Symbols:
     """A block's symbols: prefix sums of their hashes, and where each document's begin; the last entry is the end.
 
-    For words also the buffer that the texts lie in, and where each word begins and ends.
+    buffer holds the texts, of words parted by single spaces; symbol i is buffer[first[i]:last[i]], for bytes buffer[i].
     """
 
     prefix: np.ndarray
     begins: np.ndarray
-    buffer: bytes = b""
+    buffer: bytes
     first: np.ndarray | None = None
     last: np.ndarray | None = None
 
+    def span(self, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where the symbols from lo up to, not including, hi lie in the buffer."""
+        return (lo, hi) if self.first is None else (self.first[lo], self.last[hi - 1])
+
+    def digests(self, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+        """128 bits of the bytes of each run of symbols, as two columns."""
+        a, b = self.span(lo, hi)
+        data = self.buffer
+        out = b"".join([blake2b(data[x:y], digest_size=16).digest() for x, y in zip(a.tolist(), b.tolist(), strict=True)])
+        return np.frombuffer(out, np.int64).reshape(-1, 2)
+
 
 @dataclass
 class Stretches:
     """Neighbouring windows with one anchor: those that start from lo to hi of document doc (a number in the block)."""
 
     k: np.ndarray
-    u: np.ndarray
+    at: np.ndarray
     lo: np.ndarray
     hi: np.ndarray
     doc: np.ndarray
 
+    def take(self, which: np.ndarray) -> Stretches:
+        return Stretches(self.k[which], self.at[which], self.lo[which], self.hi[which], self.doc[which])
+
 
 def _mix(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(32))) * _ODD
@@ -73,39 +98,36 @@ class Reader:
 
     def __init__(self, spec: Spec):
         self.spec, self.hash, self.words = spec, ByteHash(3), ByteHash(5)
-        self.inside = np.ones(256, bool)
-        self.inside[list(b" \t\n\x0b\x0c\r")] = False
 
     def symbols(self, texts: list[bytes]) -> Symbols:
-        lengths = np.array([len(x) for x in texts], np.int64)
         if not self.spec.words:
-            return Symbols(self.hash.prefix(np.frombuffer(b"".join(texts), np.uint8)), np.concatenate([[0], np.cumsum(lengths)]))
-        buffer = b"\n".join([b"", *texts, b""])
+            buffer = b"".join(texts)
+            return Symbols(self.hash.prefix(np.frombuffer(buffer, np.uint8)), np.concatenate([[0], np.cumsum([len(x) for x in texts], dtype=np.int64)]), buffer)
+        parts = [x.split() for x in texts]
+        begins = np.concatenate([[0], np.cumsum([len(x) for x in parts], dtype=np.int64)])
+        buffer = b" ".join([b" ".join(x) for x in parts if x])
         data = np.frombuffer(buffer, np.uint8)
-        inside = self.inside[data]
-        edge = np.flatnonzero(inside[1:] != inside[:-1]) + 1
-        first, last = edge[::2], edge[1::2]
+        space = np.flatnonzero(data == 32)
+        some = int(begins[-1] > 0)
+        first, last = np.concatenate([[0] * some, space + 1]).astype(np.int64), np.concatenate([space, [len(data)] * some]).astype(np.int64)
         h = _mix(self.words.of(self.words.prefix(data), first, last) + (last - first).astype(np.uint64))
-        begins = np.searchsorted(first, np.concatenate([[1], 1 + np.cumsum(lengths + 1)]))
         n = len(h)
         self.hash.prefix(np.zeros(n, np.uint8))  # enough powers
         prefix = np.zeros(n + 1, np.uint64)
         np.cumsum(h * self.hash.power[:n], out=prefix[1:])
         return Symbols(prefix, begins, buffer, first, last)
 
-    def windows(self, s: Symbols, at: np.ndarray) -> np.ndarray:
-        return _mix(self.hash.of(s.prefix, at, at + self.spec.window))
-
     def stretches(self, s: Symbols) -> Stretches:
         size, gram = self.spec.window, self.spec.gram
         n = len(s.prefix) - 1
         many = np.maximum(np.diff(s.begins) - size + 1, 0)
         if not many.sum():
             none = np.zeros(0, np.int64)
-            return Stretches(none.astype(np.uint64), none.astype(np.uint64), none, none, none)
+            return Stretches(none.astype(np.uint64), none, none, none, none)
         grams = _mix((s.prefix[gram:] - s.prefix[:-gram]) * self.hash.back[: n - gram + 1])
-        bits = np.uint64(max(20, int(n).bit_length()))
-        least = (grams >> bits << bits) | np.arange(len(grams), dtype=np.uint64)
+        # the same bits of the hash count in blocks of any size, so that copies have their anchors at the same places
+        place = np.uint64(32)
+        least = (grams >> place << place) | np.arange(len(grams), dtype=np.uint64)
         span, width = size - gram + 1, 1
         while 2 * width <= span:
             least, width = np.minimum(least[:-width], least[width:]), 2 * width
@@ -113,12 +135,10 @@ class Reader:
             least = np.minimum(least[: len(least) - (span - width)], least[span - width :])
         doc = np.repeat(np.arange(len(many)), many)
         start = np.arange(many.sum()) + np.repeat(s.begins[:-1] - (np.cumsum(many) - many), many)
-        anchor = (least[start] & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
-        head = np.flatnonzero(np.concatenate([[True], anchor[1:] != anchor[:-1]]))
+        anchor = (least[start] & np.uint64((1 << 32) - 1)).astype(np.int64)
+        head = np.flatnonzero(np.concatenate([[True], (anchor[1:] != anchor[:-1]) | (doc[1:] != doc[:-1])]))
         tail = np.concatenate([head[1:], [len(anchor)]]) - 1
-        lo, hi = start[head], start[tail]
-        u = _mix(self.hash.of(s.prefix, lo, hi + size) + (hi - lo).astype(np.uint64) * _ODD)
-        return Stretches(grams[anchor[head]], u, lo, hi, doc[head])
+        return Stretches(grams[anchor[head]], anchor[head], start[head], start[tail], doc[head])
 
 
 def _spans(lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
@@ -127,60 +147,202 @@ def _spans(lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
     return np.arange(many.sum()) + np.repeat(lo - (np.cumsum(many) - many), many)
 
 
-def _tagged(values: np.ndarray, doc: np.ndarray) -> np.ndarray:
-    """Hashes told apart by document."""
-    return values ^ _mix((doc.astype(np.uint64) + np.uint64(1)) * _ODD)
+def _first_of_equals(*columns: np.ndarray) -> np.ndarray:
+    """Where each distinct row of the columns stands first."""
+    order = np.lexsort(columns[::-1])
+    new = np.ones(len(order), bool)
+    if len(order):
+        new[1:] = np.any([c[order[1:]] != c[order[:-1]] for c in columns], axis=0)
+    return order[new]
+
+
+def _find(wanted: tuple[np.ndarray, ...], known: tuple[np.ndarray, ...]) -> np.ndarray:
+    """Which row of known (doc, u, v) each row of wanted is, -1 for none."""
+    if not len(known[0]) or not len(wanted[0]):
+        return np.full(len(wanted[0]), -1)
+    tags = [_mix(u.astype(np.uint64) ^ (doc.astype(np.uint64) + np.uint64(1)) * _ODD) for doc, u, _ in (wanted, known)]
+    order = np.argsort(tags[1], kind="stable")
+    at = order[np.minimum(np.searchsorted(tags[1][order], tags[0]), len(order) - 1)]
+    return np.where(np.all([w == k[at] for w, k in zip(wanted, known, strict=True)], axis=0), at, -1)
 
 
-def _lists(column: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
-    """All values of a list column, and the row of each."""
-    flat = column.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
-    return flat, np.repeat(np.arange(len(column)), np.diff(column.offsets.to_numpy()))
+def _lists(column: pa.ListArray) -> tuple[np.ndarray, pa.StructArray]:
+    """The row of each value of a list column of structs, and all values."""
+    flat = column.flatten()
+    return np.repeat(np.arange(len(column)), np.diff(column.offsets.to_numpy())), flat
+
+
+def _digests_in(column: pa.ListArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    row, flat = _lists(column)
+    return row, flat.field("u").to_numpy(), flat.field("v").to_numpy()
 
 
 def anchors(docs: DataFrame, spec: Spec) -> DataFrame:
-    """(k, u, doc): the gram and the stretch of every anchor, once for each document."""
+    """(k, u, v, doc): the gram and the digest of the stretch of every anchor, once for each document."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = Reader(spec)
         for batch in batches:
             ids = batch.column("doc").to_numpy()
             for a, b, texts in text_blocks(batch.column("text")):
-                found = reader.stretches(reader.symbols(texts))
-                _, once = np.unique(_tagged(found.u, found.doc), return_index=True)
-                columns = [found.k[once].view(np.int64), found.u[once].view(np.int64), ids[a:b][found.doc[once]]]
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["k", "u", "doc"])
+                symbols = reader.symbols(texts)
+                found = reader.stretches(symbols)
+                digest = symbols.digests(found.lo, found.hi + spec.window)
+                once = _first_of_equals(found.doc, digest[:, 0], digest[:, 1])
+                columns = [found.k[once].view(np.int64), digest[once, 0], digest[once, 1], ids[a:b][found.doc[once]]]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["k", "u", "v", "doc"])
 
     return ship(docs).select("doc", "text").mapInArrow(emit, ANCHORS)
 
 
-def windows_of(docs: DataFrame, spec: Spec) -> DataFrame:
-    """(w, doc): the hashes of all windows in the stretches of docs (doc, text, fine), once for each document."""
+def _wanted(reader: Reader, symbols: Symbols, column: pa.ListArray) -> tuple[Stretches, np.ndarray]:
+    """The stretches whose digests a list column names, and the digests."""
+    found = reader.stretches(symbols)
+    named = np.zeros(len(symbols.begins) - 1, bool)
+    listed = _digests_in(column)
+    named[listed[0]] = True
+    found = found.take(np.flatnonzero(named[found.doc]))
+    digest = symbols.digests(found.lo, found.hi + reader.spec.window)
+    which = np.flatnonzero(_find((found.doc, digest[:, 0], digest[:, 1]), listed) >= 0)
+    return found.take(which), digest[which]
+
+
+def windows_of(docs: DataFrame, spec: Spec, column: str) -> DataFrame:
+    """(u, v, doc): the digests of all windows in the stretches of docs (doc, text, column) named there, once for each document."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = Reader(spec)
         for batch in batches:
-            ids, fine = batch.column("doc").to_numpy(), batch.column("fine")
+            ids = batch.column("doc").to_numpy()
             for a, b, texts in text_blocks(batch.column("text")):
                 symbols = reader.symbols(texts)
-                found = reader.stretches(symbols)
-                wanted = np.isin(_tagged(found.u, found.doc), _tagged(*_lists(fine.slice(a, b - a))))
-                lo, hi = found.lo[wanted], found.hi[wanted]
-                w = reader.windows(symbols, _spans(lo, hi))
-                doc = np.repeat(found.doc[wanted], hi - lo + 1)
-                _, once = np.unique(_tagged(w, doc), return_index=True)
-                yield pa.RecordBatch.from_arrays([pa.array(w[once].view(np.int64)), pa.array(ids[a:b][doc[once]])], names=["w", "doc"])
+                found, _ = _wanted(reader, symbols, batch.column(column).slice(a, b - a))
+                at, doc = _spans(found.lo, found.hi), np.repeat(found.doc, found.hi - found.lo + 1)
+                digest = symbols.digests(at, at + spec.window)
+                once = _first_of_equals(doc, digest[:, 0], digest[:, 1])
+                yield pa.RecordBatch.from_arrays([pa.array(digest[once, 0]), pa.array(digest[once, 1]), pa.array(ids[a:b][doc[once]])], names=["u", "v", "doc"])
+
+    return ship(docs).select("doc", "text", column).mapInArrow(emit, "u long, v long, doc long")
+
+
+SUFFIXES = "k long, doc long, u long, v long, at int, bytes binary"
+
+
+def suffixes_of(docs: DataFrame, spec: Spec, column: str) -> DataFrame:
+    """(k, doc, u, v, at, bytes): the bytes of the stretches of docs (doc, text, column) named there, and where in them the anchor is."""
+
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        reader = Reader(spec)
+        for batch in batches:
+            ids = batch.column("doc").to_numpy()
+            for a, b, texts in text_blocks(batch.column("text")):
+                symbols = reader.symbols(texts)
+                found, digest = _wanted(reader, symbols, batch.column(column).slice(a, b - a))
+                once = _first_of_equals(found.doc, digest[:, 0], digest[:, 1])
+                found, digest = found.take(once), digest[once]
+                lo, hi = symbols.span(found.lo, found.hi + spec.window)
+                data = pa.array([symbols.buffer[x:y] for x, y in zip(lo.tolist(), hi.tolist(), strict=True)], pa.binary())
+                columns = [pa.array(found.k.view(np.int64)), pa.array(ids[a:b][found.doc]), pa.array(digest[:, 0]), pa.array(digest[:, 1]), pa.array((found.at - found.lo).astype(np.int32)), data]
+                yield pa.RecordBatch.from_arrays(columns, names=["k", "doc", "u", "v", "at", "bytes"])
+
+    return ship(docs).select("doc", "text", column).mapInArrow(emit, SUFFIXES)
+
+
+def _rows_of(data: np.ndarray, begin: np.ndarray, step: int, length: np.ndarray, width: int) -> np.ndarray:
+    """A matrix of bytes: so many from each begin on, forwards or backwards, and zeros."""
+    place = np.arange(width)
+    at = begin[:, None] + step * place[None, :]
+    inside = place[None, :] < length[:, None]
+    return np.where(inside, data[np.where(inside, at, 0)], 0).astype(np.uint8)
+
+
+def _ordered(group: np.ndarray, rows: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The suffix array of each group's rows, all groups in one order, and each suffix's common prefix with the one before (-1: another group)."""
+    wide = -(-rows.shape[1] // 8) * 8
+    words = np.zeros((len(rows), wide), np.uint8)
+    words[:, : rows.shape[1]] = rows
+    words = words.view(">u8")
+    order = np.lexsort([length, *words.T[::-1], group])
+    differs = rows[order[1:]] != rows[order[:-1]]
+    common = np.where(differs.any(axis=1), differs.argmax(axis=1), rows.shape[1])
+    common = np.minimum(common, np.minimum(length[order[1:]], length[order[:-1]]))
+    common[group[order[1:]] != group[order[:-1]]] = -1
+    return order, np.concatenate([[-1], common])
+
+
+def repeated(group: np.ndarray, doc: np.ndarray, at: np.ndarray, data: np.ndarray, begin: np.ndarray, size: np.ndarray, window: int) -> np.ndarray:
+    """A matrix: whether window i of each stretch (its bytes from i on) is in a stretch of its group and a smaller doc.
+
+    The stretches' bytes lie in data, with the anchor at `at`. A window that starts d bytes before the anchor is in two
+    stretches if they agree in d bytes before it and in window - d from it on: runs of neighbours in the two suffix
+    arrays, of what stands after the anchor and, backwards, of what stands before it.
+    """
+    n, most = len(doc), int((size - window).max()) + 1
+    after, before = size - at, at
+    right, common = _ordered(group, _rows_of(data, begin + at, 1, after, window), np.minimum(after, window))
+    left, shared = _ordered(group, _rows_of(data, begin + at - 1, -1, before, max(1, int(before.max()))), before)
+    out = np.zeros((n, most), bool)
+    one, two = np.empty(n, np.int64), np.empty(n, np.int64)
+    for d in range(int(at.max()) + 1):
+        some = np.flatnonzero((at >= d) & (at - d <= size - window))
+        if len(some) < 2:
+            continue
+        one[right], two[left] = np.cumsum(common < window - d), np.cumsum(shared < d)
+        x, y, z = one[some], two[some], doc[some]
+        order = np.lexsort([z, y, x])
+        x, y, z = x[order], y[order], z[order]
+        new = np.concatenate([[True], (x[1:] != x[:-1]) | (y[1:] != y[:-1])])
+        first = z[new][np.cumsum(new) - 1]
+        later = some[order[z > first]]
+        out[later, (at - d)[later]] = True
+    return out
+
 
-    return ship(docs).select("doc", "text", "fine").mapInArrow(emit, "w long, doc long")
+def scan(suffixes: DataFrame, spec: Spec) -> DataFrame:
+    """(doc, u, v, bits): the stretches with windows that start in a document with a smaller id too; a bit for each window."""
+
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        rows = 0
+
+        def take(last: bool) -> Iterator[pa.RecordBatch]:
+            nonlocal held, rows
+            table = pa.Table.from_batches(held).combine_chunks()
+            k = table.column("k").to_numpy()
+            end = len(k) if last else int(np.searchsorted(k, k[-1]))  # the last gram may go on
+            rest = table.slice(end)
+            held, rows = rest.to_batches(), len(rest)
+            if end:
+                table = table.slice(0, end)
+                column = table.column("bytes").combine_chunks()
+                column = column.chunk(0) if isinstance(column, pa.ChunkedArray) else column
+                offsets = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + end + 1].astype(np.int64)
+                data = np.frombuffer(column.buffers()[2], np.uint8)
+                doc = table.column("doc").to_numpy()
+                found = repeated(k[:end], doc, table.column("at").to_numpy().astype(np.int64), data, offsets[:-1], np.diff(offsets), spec.window)
+                some = np.flatnonzero(found.any(axis=1))
+                bits = np.packbits(found[some], axis=1)
+                columns = [pa.array(doc[some]), *(table.column(c).combine_chunks().take(pa.array(some)) for c in "uv"), pa.array([x.tobytes() for x in bits], pa.binary())]
+                yield from pa.Table.from_arrays(columns, names=["doc", "u", "v", "bits"]).combine_chunks().to_batches()
+
+        for batch in batches:
+            if len(batch):
+                held.append(batch)
+                rows += len(batch)
+            if rows >= CHUNK:
+                yield from take(False)
+        if rows:
+            yield from take(True)
+
+    return suffixes.repartition("k").sortWithinPartitions("k").mapInArrow(emit, "doc long, u long, v long, bits binary")
 
 
 class RepeatIndex:
-    """Runs of anchors of the batches seen so far, newest last."""
+    """Runs of anchors of the batches seen so far, newest last. texts: (doc, text) of all batches, dealt by doc."""
 
-    def __init__(self, spec: Spec):
-        self.spec = spec
-        self.history: DataFrame | None = None
-        self.levels: list[tuple[int, DataFrame]] = []
+    def __init__(self, spec: Spec, texts: DataFrame):
+        self.spec, self.texts = spec, texts
+        self.levels: list[tuple[int, DataFrame, str]] = []
         self.temporary: list[str] = []
 
     def _hold(self, df: DataFrame, name: str) -> DataFrame:
@@ -193,56 +355,79 @@ class RepeatIndex:
             drop_path(spark, path)
         self.temporary = []
 
-    def add(self, docs: DataFrame, last: bool = False) -> DataFrame:
-        """(doc, stretches, windows) of the documents of this batch with repeats: hashes of the stretches and windows of theirs that also start in a document with a smaller id, in this batch or before.
+    def add(self, docs: DataFrame, above: int | None = None, last: bool = False) -> DataFrame:
+        """(doc, stretches, parts, windows) of the documents of this batch with repeats.
 
-        docs: (doc long, text), all ids larger than those of earlier batches. last: no batch follows, and no run is kept.
+        stretches: the digests of stretches all of whose windows also start in a document with a smaller id, in this
+        batch or before; parts: of others, with a bit for each such window; windows: the digests of such windows.
+
+        docs: (doc long, text), all ids larger than `above` and those of earlier batches not. last: no batch follows, and no run is kept.
         """
         spark, path = docs.sparkSession, new_path(docs.sparkSession, "repeat-run")
         run = materialize(anchors(docs, self.spec), path=path)
         held = run
-        for _, level in self.levels:
+        for _, level, _ in self.levels:
             held = held.unionByName(level)
         # written apart from the join that uses it, so that the shuffle files of one are gone before the other's
         twice = self._hold(held.groupBy("k").count().where("count > 1").select("k"), "repeat-twice")
         shared = self._hold(held.join(twice, "k"), "repeat-shared")
-        if last:
+        if not last:
+            self._push(run, path)
+        else:
             drop_path(spark, path)
-        classes = shared.groupBy("k", "u").agg(F.min("doc").alias("first"))
-        classes = classes.join(classes.groupBy("k").agg((F.count("*") > 1).alias("several")), "k")
-        coded = shared.join(classes, ["k", "u"]).where("doc > first or several")
+        classes = self._hold(shared.groupBy("k", "u", "v").agg(F.min("doc").alias("first")), "repeat-classes")
+        classes = classes.join(classes.groupBy("k").agg(F.count("*").alias("several")), "k").select("u", "v", "first", "several")
+        coded = shared.select("u", "v", "doc").join(classes, ["u", "v"]).where("doc > first or several > 1")
+        later, code = F.col("doc") > F.col("first"), F.struct("u", "v")
+        few = F.col("several") <= self.spec.sorted_at_most
         per_doc = coded.groupBy("doc").agg(
-            F.collect_list(F.when(F.col("doc") > F.col("first"), F.col("u"))).alias("stretches"), F.collect_list(F.when(F.col("doc") == F.col("first"), F.col("u"))).alias("fine")
+            F.collect_list(F.when(later, code)).alias("stretches"), F.collect_list(F.when(~later & few, code)).alias("few"), F.collect_list(F.when(~later & ~few, code)).alias("many")
         )
         docs_path = new_path(spark, "repeat-docs")
         per_doc = materialize(per_doc, path=docs_path)
         self._drop(spark)
         self.temporary.append(docs_path)
-        everything = docs if self.history is None else self.history.unionByName(docs)
-        fine = per_doc.where("size(fine) > 0").select("doc", "fine")
-        windows = self._hold(windows_of(everything.join(fine, "doc"), self.spec), "repeat-windows")
-        firsts = windows.groupBy("w").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).where("first < last")
-        firsts = self._hold(firsts.select("w", "first"), "repeat-firsts")
-        again = windows.join(firsts, "w").where("doc > first").groupBy("doc").agg(F.collect_list("w").alias("windows"))
-        found = per_doc.select("doc", "stretches").join(again, "doc", "full").select(
-            "doc", *(F.coalesce(c, F.array().cast("array<bigint>")).alias(c) for c in ("stretches", "windows"))
-        )
-        found = materialize(found.where("size(stretches) + size(windows) > 0"), "repeat-found")
+        windows = self._hold(windows_of(self._read(per_doc, "many"), self.spec, "many"), "repeat-windows")
+        firsts = windows.groupBy("u", "v").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).where("first < last")
+        firsts = self._hold(firsts.select("u", "v", "first"), "repeat-firsts")
+        again = windows.join(firsts, ["u", "v"]).where("doc > first").groupBy("doc").agg(F.collect_list(code).alias("windows"))
+        out = per_doc.select("doc", "stretches").join(again, "doc", "full")
+        if self.spec.sorted_at_most:
+            found = scan(suffixes_of(self._read(per_doc, "few"), self.spec, "few"), self.spec)
+            parts = self._hold(found.groupBy("doc").agg(F.collect_list(F.struct("u", "v", "bits")).alias("parts")), "repeat-parts")
+            out = out.join(parts, "doc", "full")
+        else:
+            out = out.withColumn("parts", F.lit(None).cast(PARTS))
+        if above is not None:  # what earlier documents hold again is known since their own batch
+            out = out.where(F.col("doc") > above)
+        found = out.select("doc", *(F.coalesce(c, F.array().cast(kind)).alias(c) for c, kind in (("stretches", CODES), ("parts", PARTS), ("windows", CODES))))
+        found = materialize(found.where("size(stretches) + size(parts) + size(windows) > 0"), "repeat-found")
         self._drop(spark)
-        if not last:
-            self.history = everything
-            self._push(run)
         return found
 
-    def _push(self, run: DataFrame) -> None:
-        """Add a run; merge it with the one before while that is not more than twice as large."""
-        rows = run.count()
-        while self.levels and self.levels[-1][0] <= 2 * rows:
-            _, older = self.levels.pop()
-            run = older.unionByName(run).groupBy("k", "u").agg(F.min("doc").alias("doc"))
-            run = materialize(run.sortWithinPartitions("k"), "repeat-run")
+    def _read(self, per_doc: DataFrame, column: str) -> DataFrame:
+        """(doc, text, column) of the documents that per_doc names there; the texts stay where they lie."""
+        named = per_doc.where(F.size(column) > 0).select("doc", column)
+        return self.texts.select("doc", "text").join(named.hint("shuffle_hash"), "doc")
+
+    def _push(self, run: DataFrame, path: str) -> None:
+        """Add a run, each class by its first document; merge it with the one before while that is not more than twice as large."""
+        spark, old = run.sparkSession, [path]
+        while True:
+            run = run.groupBy("k", "u", "v").agg(F.min("doc").alias("doc")).sortWithinPartitions("k", "u")
+            path = new_path(spark, "repeat-level")
+            run = materialize(run, path=path)
+            for gone in old:
+                drop_path(spark, gone)
             rows = run.count()
-        self.levels.append((rows, run))
+            if not self.levels or self.levels[-1][0] > 2 * rows:
+                break
+            _, older, older_path = self.levels.pop()
+            run, old = older.unionByName(run), [path, older_path]
+        self.levels.append((rows, run, path))
+
+
+CODES, PARTS = "array<struct<u:bigint,v:bigint>>", "array<struct<u:bigint,v:bigint,bits:binary>>"
 
 
 def mark(docs: DataFrame, found: DataFrame, spec: Spec, own: bool, render, schema: str) -> DataFrame:
@@ -257,25 +442,38 @@ def mark(docs: DataFrame, found: DataFrame, spec: Spec, own: bool, render, schem
             for a, b, texts in text_blocks(batch.column("text")):
                 symbols = reader.symbols(texts)
                 there = reader.stretches(symbols)
-                whole = np.isin(_tagged(there.u, there.doc), _tagged(*_lists(batch.column("stretches").slice(a, b - a))))
-                starts = [_spans(there.lo[whole], there.hi[whole])]
-                single, docs_with = _lists(batch.column("windows").slice(a, b - a))
-                some = np.isin(there.doc, docs_with) & ~whole
-                at = _spans(there.lo[some], there.hi[some])
-                doc = np.repeat(there.doc[some], there.hi[some] - there.lo[some] + 1)
-                starts.append(at[np.isin(_tagged(reader.windows(symbols, at), doc), _tagged(single, docs_with))])
+                lists = {c: batch.column(c).slice(a, b - a) for c in ("stretches", "parts", "windows")}
+                rows = {c: _digests_in(x) for c, x in lists.items()}
+                named = np.zeros(b - a, bool)
+                for x in rows.values():
+                    named[x[0]] = True
+                some = there.take(np.flatnonzero(named[there.doc]))
+                code = symbols.digests(some.lo, some.hi + spec.window)
+                key = (some.doc, code[:, 0], code[:, 1])
+                whole = _find(key, rows["stretches"]) >= 0
+                starts = [_spans(some.lo[whole], some.hi[whole])]
+                if len(rows["parts"][0]):
+                    part = _find(key, rows["parts"])
+                    bits = _lists(lists["parts"])[1].field("bits").to_pylist()
+                    for i in np.flatnonzero((part >= 0) & ~whole).tolist():
+                        starts.append(some.lo[i] + np.flatnonzero(np.unpackbits(np.frombuffer(bits[part[i]], np.uint8))))
+                if len(rows["windows"][0]):
+                    asked = ~whole & np.isin(some.doc, rows["windows"][0])
+                    at = _spans(some.lo[asked], some.hi[asked])
+                    doc = np.repeat(some.doc[asked], some.hi[asked] - some.lo[asked] + 1)
+                    code = symbols.digests(at, at + spec.window)
+                    starts.append(at[_find((doc, code[:, 0], code[:, 1]), rows["windows"]) >= 0])
                 if own:
-                    tags = _tagged(there.k, there.doc)
-                    _, which, n = np.unique(tags, return_inverse=True, return_counts=True)
-                    again = n[which] > 1
+                    order = np.lexsort([there.k, there.doc])
+                    equal = (there.k[order[1:]] == there.k[order[:-1]]) & (there.doc[order[1:]] == there.doc[order[:-1]])
+                    again = np.zeros(len(order), bool)
+                    again[order[1:][equal]] = again[order[:-1][equal]] = True
                     at = _spans(there.lo[again], there.hi[again])
                     doc = np.repeat(there.doc[again], there.hi[again] - there.lo[again] + 1)
-                    order = np.argsort(at, kind="stable")
-                    at, doc = at[order], doc[order]
-                    _, firsts = np.unique(_tagged(reader.windows(symbols, at), doc), return_index=True)
-                    later = np.ones(len(at), bool)
-                    later[firsts] = False
-                    starts.append(at[later])
+                    code = symbols.digests(at, at + spec.window)
+                    order = np.lexsort([at, code[:, 1], code[:, 0], doc])
+                    x, y = order[1:], order[:-1]
+                    starts.append(at[x[(doc[x] == doc[y]) & (code[x] == code[y]).all(axis=1)]])
                 at = np.concatenate(starts)
                 n = len(symbols.prefix)
                 covered = np.cumsum(np.bincount(at, minlength=n) - np.bincount(at + spec.window, minlength=n))[: n - 1] > 0
@@ -285,8 +483,9 @@ def mark(docs: DataFrame, found: DataFrame, spec: Spec, own: bool, render, schem
         kinds = {"long": pa.int64(), "string": pa.string()}
         return pa.schema([pa.field("doc_id", kind), *(pa.field(n, kinds[t]) for n, t in (x.split() for x in schema.split(", ")))])
 
-    none = F.array().cast("array<bigint>")
-    joined = docs.join(found, "doc", "left").select("doc_id", "text", F.coalesce("stretches", none).alias("stretches"), F.coalesce("windows", none).alias("windows"))
+    joined = docs.join(found.hint("shuffle_hash"), "doc", "left").select(
+        "doc_id", "text", *(F.coalesce(c, F.array().cast(kind)).alias(c) for c, kind in (("stretches", CODES), ("parts", PARTS), ("windows", CODES)))
+    )
     return ship(joined).mapInArrow(emit, f"doc_id {dict(docs.dtypes)['doc_id']}, {schema}")
 
 
@@ -295,26 +494,30 @@ def keyed(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)).cast("long")).alias("doc"), F.col("text").cast("string").alias("text"))
 
 
-def batches_of(docs: DataFrame, batches: int) -> list[DataFrame]:
-    """docs (doc, …) in so many ranges of ascending ids."""
+def batches_of(docs: DataFrame, batches: int) -> list[tuple[int | None, DataFrame]]:
+    """docs (doc, …) in so many ranges of ascending ids, each with the id that all of its are above."""
     if batches < 2:
-        return [docs]
+        return [(None, docs)]
     cuts = docs.agg(F.percentile_approx("doc", [i / batches for i in range(1, batches)])).first()[0] or []
     edges = [None, *sorted(set(cuts)), None]
     out = []
     for low, high in zip(edges[:-1], edges[1:], strict=True):
         part = docs if low is None else docs.where(F.col("doc") > low)
-        out.append(part if high is None else part.where(F.col("doc") <= high))
+        out.append((low, part if high is None else part.where(F.col("doc") <= high)))
     return out
 
 
 def without_repeats(docs: DataFrame, spec: Spec, own: bool, render, schema: str, batches: int = 1) -> DataFrame:
-    """mark() over all docs, indexed in so many batches."""
-    docs = keyed(docs)
-    index, out = RepeatIndex(spec), None
-    parts = batches_of(docs, batches)
-    for i, part in enumerate(parts):
-        found = index.add(part.select("doc", "text"), last=i == len(parts) - 1)
-        marked = mark(part, found, spec, own, render, schema)
-        out = marked if out is None else out.unionByName(marked)
-    return out
+    """mark() over all docs, indexed in so many batches.
+
+    The texts are written once, dealt and bucketed by document; later joins by document leave them where they are.
+    """
+    texts = bucketed(keyed(docs), "doc", "repeat-texts")
+    index, out = RepeatIndex(spec, texts), None
+    parts = batches_of(texts, batches)
+    for i, (above, part) in enumerate(parts):
+        found = index.add(part.select("doc", "text"), above, last=i == len(parts) - 1)
+        out = found if out is None else out.unionByName(found)
+    for _, _, path in index.levels:
+        drop_path(docs.sparkSession, path)
+    return mark(texts, out, spec, own, render, schema)

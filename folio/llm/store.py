@@ -57,6 +57,16 @@ def materialize(df: DataFrame, name: str = "table", path: str | None = None) ->
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, key: str, name: str) -> DataFrame:
+    """df written in the shared folder as a table bucketed by key: joins and groups by key find it dealt."""
+    spark, n = df.sparkSession, partitions(df)
+    path = new_path(spark, name)
+    table = path.rsplit("/", 1)[1].replace("-", "_")
+    with shuffles_removed(spark):
+        df.repartition(n, key).write.format("parquet").bucketBy(n, key).option("path", path).saveAsTable(table)
+    return spark.table(table)
+
+
 def partitions(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 

@@ -1,8 +1,9 @@
 """Removal of word windows that occur in an earlier document, by a log-structured fingerprint index.
 
-Each batch of documents adds a sorted immutable run of window fingerprints (repeats.py: of the 13-word windows, those
-that start or end a stretch with one anchor stand for the others, so that a run is a fraction of the text), is
-merge-joined with the historical runs, verified window by window against the documents, and compacted with them.
+Each batch of documents adds a sorted immutable run of window fingerprints (repeats.py: of the 13-word windows, a
+stretch with one anchor stands for all, so that a run is a fraction of the text), is merge-joined with the historical
+runs by 64-bit hashes of the anchors, verified by 128-bit digests of the stretches' and windows' bytes, read again from
+the documents, and compacted with the runs.
 
 Defined results: a null text has no words; texts of any length; a null doc_id counts as the smallest; rows that share a
 doc_id don't remove each other's words; further columns are ignored.

@@ -2,6 +2,7 @@
 
 White space never joins two words' tokens, so a text's ids are its words' ids in order. Words are found and hashed
 (64 bits) for a whole block of texts at once; a table from hash to ids, bounded in size, answers for those seen before.
+A hash only proposes a word: every occurrence is compared with the word's bytes, and those that differ are encoded apart.
 """
 
 from __future__ import annotations
@@ -20,7 +21,10 @@ _LETTERS = re.compile("[a-zA-ZÀ-ÖØ-öø-ÿ]+")
 
 
 class ByteHash:
-    """Hashes of byte ranges from prefix sums: sum of a random number for each byte times a power of an odd base, modulo 2^64."""
+    """Hashes of byte ranges from prefix sums: sum of a random number for each byte times a power of an odd base, modulo 2^64.
+
+    They place and group, and never decide that two texts are equal: unequal ones of one hash can be made for any base.
+    """
 
     BASE = np.uint64(0x9E3779B97F4A7C15)
 
@@ -81,6 +85,8 @@ class WordEncoder:
         self.slots = np.zeros(2 * self.capacity, np.int32)
         self.starts = np.zeros(self.capacity + 1, np.int64)
         self.pool = np.zeros(4 * self.capacity, np.uint32)
+        self.letters, self.spelt = np.zeros(8 * self.capacity, np.uint8), np.zeros(self.capacity + 1, np.int64)
+        self.apart: dict[bytes, int] = {}
         self.n = 0
 
     def _find(self, h: np.ndarray) -> np.ndarray:
@@ -97,15 +103,25 @@ class WordEncoder:
             left, slot = left[on], (slot[on] + 1) & mask
         return out
 
-    def _learn(self, h: np.ndarray, words: list[bytes]) -> None:
+    def _store(self, words: list[bytes]) -> np.ndarray:
+        """Encode and keep new words; the order in which they got the next numbers."""
         order, flat, counts = self._encode(words)
-        at = self.starts[self.n]
-        if at + len(flat) > len(self.pool):
-            self.pool = np.concatenate([self.pool, np.zeros(max(len(self.pool), len(flat)), np.uint32)])
-        self.pool[at : at + len(flat)] = flat
-        self.starts[self.n + 1 : self.n + 1 + len(h)] = at + np.cumsum(counts)
+        ordered = [words[i] for i in order]
+        for name, starts, values, sizes in (("pool", self.starts, flat, counts), ("letters", self.spelt, np.frombuffer(b"".join(ordered), np.uint8), np.array([len(w) for w in ordered], np.int64))):
+            held, at = getattr(self, name), starts[self.n]
+            if at + len(values) > len(held):
+                held = np.concatenate([held, np.zeros(max(len(held), len(values)), held.dtype)])
+                setattr(self, name, held)
+            held[at : at + len(values)] = values
+            starts[self.n + 1 : self.n + 1 + len(words)] = at + np.cumsum(sizes)
+        self.n += len(words)
+        return order
+
+    def _learn(self, h: np.ndarray, words: list[bytes]) -> None:
+        begin = self.n
+        h = h[self._store(words)]
         mask = np.int64(len(self.keys) - 1)
-        h, number = h[order], self.n + np.arange(len(h), dtype=np.int32)
+        number = begin + np.arange(len(h), dtype=np.int32)
         slot = (h * np.uint64(0xD6E8FEB86659FD93) >> np.uint64(32)).astype(np.int64) & mask
         while len(h):
             free = np.flatnonzero(self.keys[slot] == 0)
@@ -115,7 +131,17 @@ class WordEncoder:
             on = np.ones(len(h), bool)
             on[won] = False
             h, number, slot = h[on], number[on], (slot[on] + 1) & mask
-        self.n += len(order)
+
+    def _differ(self, data: np.ndarray, first: np.ndarray, last: np.ndarray, number: np.ndarray) -> np.ndarray:
+        """Which words data[first:last] are other words than those of their numbers."""
+        size = last - first
+        same = size == self.spelt[number + 1] - self.spelt[number]
+        size = np.where(same, size, 0)
+        upto = np.cumsum(size)
+        at = np.arange(upto[-1] if len(upto) else 0)
+        wrong = np.flatnonzero(data[at + np.repeat(first - upto + size, size)] != self.letters[at + np.repeat(self.spelt[number] - upto + size, size)])
+        same[np.searchsorted(upto, wrong, "right")] = False
+        return np.flatnonzero(~same)
 
     def _encode(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """An order of the words, their ids in that order, and how many each has.
@@ -170,6 +196,14 @@ class WordEncoder:
             where = new[where]
             self._learn(keys, [buffer[a:b] for a, b in zip(first[where].tolist(), last[where].tolist(), strict=True)])
             number[new] = self._find(h[new])
+        for i in self._differ(data, first, last, number).tolist():
+            word = buffer[first[i] : last[i]]
+            if word not in self.apart:
+                if self.n >= len(self.starts) - 1:  # no number left: hold more
+                    self.starts, self.spelt = (np.concatenate([x, np.zeros(len(x), np.int64)]) for x in (self.starts, self.spelt))
+                self.apart[word] = self.n
+                self._store([word])
+            number[i] = self.apart[word]
         begin = self.starts[number]
         count = self.starts[number + 1] - begin
         upto = np.concatenate([[0], np.cumsum(count)])

@@ -195,14 +195,66 @@ REPEATS = [
 ]
 
 
-@pytest.mark.parametrize("batches", [1, 3])
+def thue_morse(n, a, b):
+    """Two words that every polynomial hash modulo 2^64 confuses, whatever its base."""
+    bits = [i.bit_count() & 1 for i in range(n)]
+    return "".join((a, b)[x] for x in bits), "".join((b, a)[x] for x in bits)
+
+
+#: Two words of 1024 letters with equal hashes from prefix sums.
+TWINS = thue_morse(1024, "a", "b")
+
+
+@pytest.mark.parametrize("batches, at_most", [(1, 4096), (3, 2), (2, 0)])
 @pytest.mark.parametrize("window", [20, 100])
-def test_bytes(spark, corpus, window, batches):
-    for data in (REPEATS, corpus[:60]):
+def test_bytes(spark, corpus, window, batches, at_most, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "SORTED", at_most)
+    twins = [(20, "x" * 90 + TWINS[0]), (21, TWINS[1] + "y" * 90), (22, TWINS[0] + "z")]
+    for data in (REPEATS + twins, corpus[:60]):
         got = suffix_dedup.dedup_bytes(docs_of(spark, data), window, batches).collect()
         assert sorted(map(tuple, got)) == sorted(brute_bytes(data, window))
 
 
+def test_suffix_query(spark, corpus):
+    assert sorted(map(tuple, queries.op4_suffix_dedup(spark, SF).collect())) == sorted(brute_bytes(corpus, 100))
+
+
+def test_levels_merge(spark, corpus):
+    from folio.llm import repeats
+
+    docs = repeats.keyed(docs_of(spark, corpus[:80]))
+    index = repeats.RepeatIndex(suffix_dedup.spec_of(100), docs)
+    many = []
+    for above, part in repeats.batches_of(docs, 5):
+        index.add(part.select("doc", "text"), above)
+        many.append(len(index.levels))
+    assert max(many) < 4 and min(many[1:]) == 1
+
+
+def test_long_text(spark):
+    rng = np.random.default_rng(5)
+    text = " ".join(f"{x:x}" for x in rng.integers(0, 1 << 30, 400_000))
+    docs = [(1, text[1_000_000:1_000_500]), (2, text), (3, text + " end")]
+    got = {r.doc_id: r.n_removed for r in suffix_dedup.dedup_bytes(docs_of(spark, docs), 100, 2).collect()}
+    assert got == {1: 0, 2: 500, 3: len(text)}
+    got = {r.doc_id: r.n_words - r.n_removed for r in substring_dedup.dedup_words(docs_of(spark, docs), 13, 2).collect()}
+    assert got[1] == len(docs[0][1].split()) and got[3] == 1
+
+
+def test_hashes_that_collide(spark):
+    """Words of equal hashes are different words."""
+    from tokenizers import Tokenizer
+
+    path = queries.word_tokenizer()
+    tail = " one two three four five six seven eight nine ten eleven twelve"
+    docs = [(1, TWINS[0] + tail), (2, TWINS[1] + tail), (3, TWINS[1] + tail + " " + TWINS[0])]
+    got = sorted(map(tuple, substring_dedup.dedup_words(docs_of(spark, docs), 13).collect()))
+    assert got == sorted(brute_words(docs, 13)) and got[1][2] == 0 and got[2][2] == 13
+    tokenizer = Tokenizer.from_file(path)
+    ids = {i: tokenizer.encode(t, add_special_tokens=False).ids + [1] for i, t in docs}
+    check_packed(packing.pack(docs_of(spark, docs), path, 64).collect(), ids, 64)
+
+
 @pytest.mark.parametrize("batches", [1, 4])
 @pytest.mark.parametrize("window", [4, 13])
 def test_words(spark, corpus, window, batches):
