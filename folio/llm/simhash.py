@@ -1,10 +1,11 @@
 """SimHash near-duplicates: a binary trie self-join of 64-bit fingerprints under a Hamming budget.
 
-Fingerprints within `budget` bits agree on at least two of `budget + 2` blocks of bits. For every pair of blocks,
-the fingerprints that share them are the leaves of one subtrie over the other bits, and each subtrie is joined with
-itself: pairs of nodes are visited together, the bits in which they differ are added up, and a pair is dropped as
-soon as they exceed the budget. The subtries are small and many, so that tasks share them evenly; from each, only a
-spanning forest of the links found comes out. Documents with one fingerprint are one leaf.
+Fingerprints within `budget` bits agree on at least s of `budget + s` blocks of bits. For every choice of s blocks, the
+fingerprints that share them are the leaves of one subtrie over the other bits, and each subtrie is joined with itself:
+pairs of nodes are visited together, the bits in which they differ are added up, and a pair is dropped as soon as they
+exceed the budget, or when one component holds all leaves of both. s grows with the logarithm of the number of
+fingerprints, so that subtries stay small and many, and tasks share them evenly; from each, only a spanning forest of the
+links found comes out. Documents with one fingerprint are one leaf.
 
 Defined results: a null or empty text has no words and the fingerprint 0, linked like any other; a text of fewer
 words than a shingle is one shingle; a null doc_id is kept, and is no component's least id unless alone; repeated
@@ -20,6 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from . import shingles
 from .components import components
@@ -27,69 +29,56 @@ from .store import materialize, ship
 from .tokens import text_blocks
 
 #: Node pairs with at most this many leaf pairs are compared leaf by leaf; so many pairs are compared at a time.
-LEAF_PAIRS, AT_ONCE = 1024, 1 << 20
-REMIX = np.uint64(0xBF58476D1CE4E5B9)
-#: Up to this budget no link is missed; beyond it the subtries are chosen at random (sampled_orders).
-EXACT_BUDGET = 6
+LEAF_PAIRS, AT_ONCE = 64, 1 << 20
+#: Leaves of a subtrie on average, at most; the most blocks that its leaves share.
+LEAVES, MOST_SHARED = 256, 4
 
 
-def simhash(text: bytes, words: int, seed: int = 42, wide: int = 0) -> list[int]:
-    """The fingerprint of a text: bit by bit the majority of its shingles' XXH64; then `wide` more, of remixed hashes."""
+def simhash(text: bytes, words: int, seed: int = 42) -> int:
+    """The fingerprint of a text: bit by bit the majority of its shingles' XXH64."""
     from xxhash import xxh64_intdigest
 
     parts = text.lower().split()
     if not parts:
-        return [0] * (1 + wide)
+        return 0
     joined = b" ".join(parts)
     ends = np.cumsum([len(x) + 1 for x in parts])
     n = max(1, len(parts) - words + 1)
     first = [0, *ends[: n - 1].tolist()]
     last = (ends[-n:] - 1).tolist()
-    total = np.zeros((1 + wide, 64), np.int64)
+    total = np.zeros(64, np.int64)
     for at in range(0, n, 1 << 16):
         h = np.fromiter((xxh64_intdigest(joined[a:b], seed) for a, b in zip(first[at : at + (1 << 16)], last[at : at + (1 << 16)], strict=True)), np.uint64)
-        for i in range(1 + wide):
-            total[i] += np.unpackbits(h.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
-            h = (h ^ (h >> np.uint64(31))) * REMIX
-            h ^= h >> np.uint64(29)
-    return [int.from_bytes(x.tobytes(), "big") for x in np.packbits(2 * total > n, axis=1)]
+        total += np.unpackbits(h.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+    return int.from_bytes(np.packbits(2 * total > n).tobytes(), "big")
 
 
-def fingerprints(docs: DataFrame, words: int = 5, wide: int = 0) -> DataFrame:
-    """(doc_id, fp, w0, …) for every row of docs (doc_id, text), with so many further fingerprints."""
-    names = ["fp", *(f"w{i}" for i in range(wide))]
+def fingerprints(docs: DataFrame, words: int = 5) -> DataFrame:
+    """(doc_id, fp) for every row of docs (doc_id, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, b, texts in text_blocks(batch.column("text")):
-                fp = np.array([simhash(x, words, wide=wide) for x in texts], np.uint64).view(np.int64)
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), *(pa.array(x) for x in fp.T)], names=["doc_id", *names])
+                fp = np.array([simhash(x, words) for x in texts], np.uint64).view(np.int64)
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), pa.array(fp)], names=["doc_id", "fp"])
 
-    return ship(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, ", ".join(f"{c} long" for c in ["doc_id", *names]))
+    return ship(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, fp long")
 
 
-def block_orders(budget: int) -> list[tuple[list[int], int]]:
-    """For every pair of the budget + 2 blocks: all bits (from the highest) with those blocks first, and how many these are."""
-    edges = np.linspace(0, 64, budget + 3).astype(int)
-    blocks = [list(range(a, b)) for a, b in zip(edges[:-1], edges[1:], strict=True)]
-    out = []
-    for pair in combinations(range(len(blocks)), 2):
-        head = [b for i in pair for b in blocks[i]]
-        out.append((head + [b for b in range(64) if b not in head], len(head)))
-    return out
-
+def shared_blocks(n: int, budget: int) -> int:
+    """How many blocks the leaves of a subtrie share, so that n random fingerprints make subtries of few leaves."""
+    fits = (s for s in range(1, MOST_SHARED) if n >> (64 * s // (budget + s)) <= LEAVES)
+    return next(fits, MOST_SHARED)
 
-def sampled_orders(tables: int = 48, head: int = 14, seed: int = 11) -> list[tuple[list[int], int]]:
-    """Orders of all bits that start with a random choice of `head` bits.
 
-    For budgets that blocks can't serve: two fingerprints d bits apart share some table's head with a chance of over
-    99.7 % for d = 8, 98 % for 9, 96 % for 10 and 83 % for 12.
-    """
-    rng = np.random.default_rng(seed)
+def block_orders(budget: int, shared: int) -> list[tuple[list[int], int]]:
+    """For every choice of so many of the budget + shared blocks: all bits (from the highest) with those blocks first, and how many these are."""
+    edges = np.linspace(0, 64, budget + shared + 1).astype(int)
+    blocks = [list(range(a, b)) for a, b in zip(edges[:-1], edges[1:], strict=True)]
     out = []
-    for _ in range(tables):
-        first = sorted(rng.choice(64, head, replace=False).tolist())
-        out.append((first + [b for b in range(64) if b not in first], head))
+    for chosen in combinations(range(len(blocks)), shared):
+        head = [b for i in chosen for b in blocks[i]]
+        out.append((head + [b for b in range(64) if b not in head], len(head)))
     return out
 
 
@@ -129,35 +118,37 @@ def _unite(parent: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
         np.minimum.at(parent, a, b)
 
 
-def trie_links(leaves: np.ndarray, first: np.ndarray, end: np.ndarray, depth: int, budget: int, wide: np.ndarray | None = None, wide_budget: int = 0) -> np.ndarray:
+def trie_links(leaves: np.ndarray, first: np.ndarray, end: np.ndarray, depth: int, budget: int) -> np.ndarray:
     """The parent of each leaf in a spanning forest of all links within the subtries.
 
-    With wide, rows of further fingerprints, a link must keep to wide_budget in these and the first together.
-    leaves: distinct (but for wide) fingerprints; those from first to end are a subtrie, sorted, equal in their highest `depth` bits.
+    leaves: distinct fingerprints; those from first to end are a subtrie, sorted, equal in their highest `depth` bits.
     """
-    parent = np.arange(len(leaves))
+    everything = np.arange(len(leaves))
+    parent = everything.copy()
+    # neighbours in the order first: a large group of near fingerprints is then mostly one component
+    place, subtrie = _ranges(first, end), np.repeat(np.arange(len(first)), end - first)
+    pair = place[:-1][subtrie[1:] == subtrie[:-1]]
+    pair = pair[np.bitwise_count(leaves[pair] ^ leaves[pair + 1]) <= budget]
+    _unite(parent, pair, pair + 1)
     alo, ahi, blo, bhi, diff = first, end, first, end, np.zeros(len(first), np.int64)
     while len(alo):
+        root = _roots(parent, everything)
+        turns = np.concatenate([[0], np.cumsum(root[1:] != root[:-1])])
+        apart = (turns[ahi - 1] != turns[alo]) | (turns[bhi - 1] != turns[blo]) | (root[alo] != root[blo])
+        alo, ahi, blo, bhi, diff = (x[apart] for x in (alo, ahi, blo, bhi, diff))
         same = alo == blo
         many = (ahi - alo) * (bhi - blo)
-        near = diff + 64 - depth <= (budget if wide is None else -1)  # whatever the other bits are
+        near = diff + 64 - depth <= budget  # whatever the other bits are
         _unite(parent, np.repeat(alo[near], (bhi - blo)[near]), _ranges(blo[near], bhi[near]))
         _unite(parent, np.repeat(blo[near], (ahi - alo)[near]), _ranges(alo[near], ahi[near]))
         flat = ~near & ((many <= LEAF_PAIRS) | (depth >= 64))
         order = np.flatnonzero(flat & ~(same & (many == 1)))
-        cuts = np.searchsorted(np.cumsum(many[order]), np.arange(AT_ONCE, many[order].sum() + AT_ONCE, AT_ONCE), "left") + 1
-        for part in np.split(order, cuts):
-            if not len(part):
-                continue
+        for part in np.split(order, np.flatnonzero(np.diff(np.cumsum(many[order]) // AT_ONCE)) + 1):
             width = (bhi - blo)[part]
             pair = np.repeat(part, many[part])
             nth = np.arange(len(pair)) - np.repeat(np.cumsum(many[part]) - many[part], many[part])
             a, b = alo[pair] + nth // np.repeat(width, many[part]), blo[pair] + nth % np.repeat(width, many[part])
-            apart = np.bitwise_count(leaves[a] ^ leaves[b])
-            close = (a != b) & (apart <= budget)
-            if wide is not None:
-                a, b, apart = a[close], b[close], apart[close]
-                close = apart + np.bitwise_count(wide[a] ^ wide[b]).sum(axis=1) <= wide_budget
+            close = (a != b) & (np.bitwise_count(leaves[a] ^ leaves[b]) <= budget)
             _unite(parent, a[close], b[close])
         on = ~flat & ~near
         alo, ahi, blo, bhi, diff, same = (x[on] for x in (alo, ahi, blo, bhi, diff, same))
@@ -181,7 +172,7 @@ def trie_links(leaves: np.ndarray, first: np.ndarray, end: np.ndarray, depth: in
         alive = (ahi > alo) & (bhi > blo) & (diff <= budget)
         alo, ahi, blo, bhi, diff = (x[alive] for x in (alo, ahi, blo, bhi, diff))
         depth += 1
-    return _roots(parent, np.arange(len(leaves)))
+    return _roots(parent, everything)
 
 
 def _ranges(lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
@@ -189,73 +180,79 @@ def _ranges(lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
     return np.arange(many.sum()) + np.repeat(lo - (np.cumsum(many) - many), many)
 
 
-def near_links(classes: DataFrame, budget: int, wide: int = 0, wide_budget: int = 0) -> DataFrame:
-    """(a, b): links between nodes of classes (node, fp, w0, …) that join all those within the budget, in few rows.
-
-    Without wide fingerprints, fp is the node.
-    """
-    orders = [(_runs(order), head) for order, head in (block_orders(budget) if budget <= EXACT_BUDGET else sampled_orders())]
-    extra = ["node", *(f"w{i}" for i in range(wide))] if wide else []
+def near_links(classes: DataFrame, budget: int, shared: int | None = None) -> DataFrame:
+    """(a, b): links between the fingerprints of classes (fp) that join all those within the budget, in few rows."""
+    orders = [(_runs(order), head) for order, head in block_orders(budget, shared or shared_blocks(classes.count(), budget))]
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fp = batch.column("fp").to_numpy().view(np.uint64)
             for i, (runs, head) in enumerate(orders):
                 moved = _move(fp, runs)
-                subtrie = (moved >> np.uint64(64 - head)).astype(np.int64) + (i << 40)
-                yield pa.RecordBatch.from_arrays([pa.array(subtrie), pa.array(moved.view(np.int64)), *(batch.column(c) for c in extra)], names=["subtrie", "leaf", *extra])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(fp), i)), pa.array((moved >> np.uint64(64 - head)).astype(np.int64)), pa.array(moved.view(np.int64))], names=["nth", "subtrie", "leaf"])
 
-    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = np.zeros((2 + len(extra), 0), np.int64)
-        for batch in _then_none(batches):
-            rows = held
-            if batch is not None:
-                rows = np.concatenate([held, np.array([batch.column(c).to_numpy() for c in ("subtrie", "leaf", *extra)])], axis=1)
-            # the last subtrie may go on in the next batch
-            whole = rows.shape[1] if batch is None or not rows.shape[1] else np.searchsorted(rows[0], rows[0, -1])
-            held, rows = rows[:, whole:], rows[:, :whole]
-            for i, (runs, head) in enumerate(orders):
-                lo, hi = np.searchsorted(rows[0], [i << 40, (i + 1) << 40])
-                if lo == hi:
-                    continue
-                subtrie, leaf = rows[0, lo:hi], rows[1, lo:hi].view(np.uint64)
-                first = np.flatnonzero(np.concatenate([[True], subtrie[1:] != subtrie[:-1]]))
-                end = np.concatenate([first[1:], [hi - lo]])
-                several = end - first > 1
-                more = np.ascontiguousarray(rows[3:, lo:hi].view(np.uint64).T) if wide else None
-                root = trie_links(leaf, first[several], end[several], head, budget, more, wide_budget)
-                linked = np.flatnonzero(root != np.arange(hi - lo))
-                node = rows[2, lo:hi] if wide else _move(leaf, runs, back=True).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(node[linked]), pa.array(node[root[linked]])], names=["a", "b"])
-
-    dealt = ship(classes).select("fp", *extra).mapInArrow(deal, ", ".join(f"{c} long" for c in ["subtrie", "leaf", *extra]))
-    return dealt.repartition("subtrie").sortWithinPartitions("subtrie", "leaf").mapInArrow(join, "a long, b long").distinct()
+    def links(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
+        for i, (runs, head) in enumerate(orders):
+            lo, hi = np.searchsorted(rows[0], [i, i + 1])
+            if lo == hi:
+                continue
+            subtrie, leaf = rows[1, lo:hi], rows[2, lo:hi].view(np.uint64)
+            first = np.flatnonzero(np.concatenate([[True], subtrie[1:] != subtrie[:-1]]))
+            end = np.concatenate([first[1:], [hi - lo]])
+            several = end - first > 1
+            root = trie_links(leaf, first[several], end[several], head, budget)
+            linked = np.flatnonzero(root != np.arange(hi - lo))
+            node = _move(leaf, runs, back=True).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(node[linked]), pa.array(node[root[linked]])], names=["a", "b"])
 
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []  # of the last subtrie, which may go on in the next batch
+        for batch in batches:
+            if not len(batch):
+                continue
+            rows = np.array([batch.column(c).to_numpy() for c in ("nth", "subtrie", "leaf")])
+            if held and (held[-1][:2, -1] == rows[:2, 0]).all() and (rows[:2, 0] == rows[:2, -1]).all():
+                held.append(rows)
+                continue
+            whole = int(np.flatnonzero((rows[:2] != rows[:2, -1:]).any(axis=0)).max(initial=-1)) + 1
+            yield from links(np.concatenate([*held, rows[:, :whole]], axis=1))
+            held = [rows[:, whole:]]
+        if held:
+            yield from links(np.concatenate(held, axis=1))
 
-def _then_none(batches: Iterator) -> Iterator:
-    yield from batches
-    yield None
+    dealt = ship(classes).select("fp").mapInArrow(deal, "nth long, subtrie long, leaf long")
+    return dealt.repartition("nth", "subtrie").sortWithinPartitions("nth", "subtrie", "leaf").mapInArrow(join, "a long, b long").distinct()
 
 
-def near_groups(docs: DataFrame, words: int = 5, budget: int = 4, wide: int = 0, wide_budget: int = 0) -> DataFrame:
+def near_groups(docs: DataFrame, words: int = 5, budget: int = 4) -> DataFrame:
     """(doc_id, fp, component_id) for every row of docs (doc_id, text).
 
-    component_id: the least doc_id reachable by links between fingerprints that differ in at most `budget` bits, and
-    with `wide` further fingerprints in at most `wide_budget` of all bits.
+    component_id: the least doc_id reachable by links between fingerprints that differ in at most `budget` bits.
     """
-    parts = ["fp", *(f"w{i}" for i in range(wide))]
-    found = materialize(fingerprints(docs, words, wide).withColumn("node", F.xxhash64(*parts) if wide else F.col("fp")), "simhash")
-    classes = materialize(found.groupBy("node", *parts).agg(F.min("doc_id").alias("first")), "simhash-classes")
-    roots = components(near_links(classes, budget, wide, wide_budget)).withColumnRenamed("node", "linked")
-    rooted = classes.join(roots, F.col("node") == F.col("linked"), "left").select("node", "first", F.coalesce("root", "node").alias("root"))
+    found = materialize(fingerprints(docs, words), "simhash")
+    classes = materialize(found.groupBy("fp").agg(F.min("doc_id").alias("first")), "simhash-classes")
+    roots = components(near_links(classes, budget)).withColumnRenamed("node", "linked")
+    rooted = classes.join(roots, F.col("fp") == F.col("linked"), "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     rooted = materialize(rooted, "simhash-roots")
     least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    return found.join(rooted.join(least, "root").select("node", "component_id"), "node").select("doc_id", "fp", "component_id")
+    return found.join(rooted.join(least, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
 
 
 def one_of_each(docs: DataFrame, words: int = 5) -> DataFrame:
-    """docs without those that some smaller doc_id is reachable from, by links between texts of a Jaccard likeness of 0.8 or more."""
-    groups = shingles.near_groups(docs, words).select("doc_id", "root")
-    least = groups.groupBy("root").agg(F.min("doc_id").alias("component_id"), F.count("*").alias("n")).where("n > 1").drop("n")
-    gone = groups.join(least, "root").where("doc_id <> component_id").select(F.col("doc_id").alias("__doc")).distinct()
-    return docs.join(gone, docs["doc_id"] == gone["__doc"], "left_anti")
+    """docs without those that some smaller doc_id is reachable from, by links between texts of a Jaccard likeness of 0.8 or more.
+
+    Of repeated rows (one doc_id and one text) one stays, as of equal texts without a doc_id where nothing like them has one.
+    """
+    text = F.col("text").cast("string")
+    groups = shingles.near_groups(docs, words)
+    kept = groups.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "mark")).alias("first"), F.count("*").alias("n")).where("n > 1")
+    first = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("mark") == F.col("first.mark"))
+    known = groups.join(kept, "root").groupBy(F.col("doc_id").alias("__doc"), F.col("mark").alias("__mark")).agg(F.max(first).alias("__first"), F.count("*").alias("__n"))
+    known = materialize(known, "one-of-each")
+    rows = docs.join(known, docs["doc_id"].cast("long").eqNullSafe(known["__doc"]) & (F.xxhash64(text) == known["__mark"]), "left")
+    out = rows.where("__first is null or (__first and __n = 1)").select(docs.columns)
+    if known.where("__first and __n > 1").isEmpty():
+        return out
+    order = W.partitionBy("__doc", "__mark").orderBy(F.xxhash64(*docs.columns))
+    again = rows.where("__first and __n > 1").withColumn("__nth", F.row_number().over(order)).where("__nth = 1")
+    return out.unionByName(again.select(docs.columns))
