@@ -33,17 +33,28 @@ class CuckooFilter:
         return (self.table[one] == tag[:, None]).any(axis=1) | (self.table[two] == tag[:, None]).any(axis=1)
 
     def insert(self, keys: np.ndarray) -> None:
+        """Fill free slots of the keys' buckets, many keys at a time; those that find none push others to their other bucket."""
+        tag, one, two = self._places(keys)
+        for turn in (0, 1):
+            order = np.argsort((one, two)[turn], kind="stable")
+            tag, one, two = tag[order], one[order], two[order]
+            bucket = (one, two)[turn]
+            nth = np.arange(len(bucket)) - np.searchsorted(bucket, bucket)
+            free = self.table[bucket] == 0
+            fits = nth < free.sum(axis=1)
+            slot = np.argmax(np.cumsum(free, axis=1) == nth[:, None] + 1, axis=1)
+            self.table[bucket[fits], slot[fits]] = tag[fits]
+            tag, one, two = tag[~fits], one[~fits], two[~fits]
         rng = np.random.default_rng(1)
-        for tag, one, two in zip(*(x.tolist() for x in self._places(keys)), strict=True):
-            bucket = one if (self.table[one] == 0).any() else two
+        for t, bucket in zip(tag.tolist(), two.tolist(), strict=True):
             for _ in range(KICKS):
                 free = np.flatnonzero(self.table[bucket] == 0)
                 if len(free):
-                    self.table[bucket, free[0]] = tag
+                    self.table[bucket, free[0]] = t
                     break
                 i = int(rng.integers(SLOTS))
-                tag, self.table[bucket, i] = int(self.table[bucket, i]), tag
-                bucket = int(self._other(bucket, tag))
+                t, self.table[bucket, i] = int(self.table[bucket, i]), t
+                bucket = int(self._other(bucket, t))
             else:
                 raise OverflowError("no room; of() starts anew with more")
 
