@@ -311,7 +311,7 @@ def test_simhash_odd(spark):
     assert sorted(r.doc_id for r in simhash.one_of_each(docs_of(spark, [(1, "a b c"), (2, "a b c"), (3, "other words here")])).collect()) == [1, 3]
 
 
-@pytest.mark.parametrize("budget, leaf", [(4, 1024), (4, 1), (2, 4)])
+@pytest.mark.parametrize("budget, leaf", [(4, 64), (4, 1), (2, 4)])
 def test_trie(budget, leaf, monkeypatch):
     monkeypatch.setattr(simhash, "LEAF_PAIRS", leaf)
     rng = np.random.default_rng(1)
@@ -326,6 +326,35 @@ def test_trie(budget, leaf, monkeypatch):
     assert (root == want).all()
 
 
+def test_trie_of_a_large_group():
+    """Thousands of distinct fingerprints within few bits of each other: one component, without all their pairs."""
+    rng = np.random.default_rng(2)
+    base = np.uint64(0x0123456789ABCDEF)
+    bits = rng.integers(0, 40, (60_000, 4), dtype=np.uint64)
+    leaves = np.unique(base ^ np.bitwise_or.reduce(np.uint64(1) << bits, axis=1))
+    root = simhash.trie_links(leaves, np.array([0]), np.array([len(leaves)]), 0, 4)
+    assert len(leaves) > 30_000 and (root == root[0]).mean() > 0.999
+
+
+@pytest.mark.parametrize("shared", [1, 2, 3, 4])
+def test_blocks(spark, shared):
+    """However many blocks the leaves share, no link is missed."""
+    rng = np.random.default_rng(4)
+    base = rng.integers(0, 1 << 64, 150, dtype=np.uint64)
+    near = base.copy()
+    for i in range(150):
+        for b in rng.choice(64, i % 7, replace=False):
+            near[i] ^= np.uint64(1) << np.uint64(b)
+    fp = np.unique(np.concatenate([base, near]))
+    links = simhash.near_links(spark.createDataFrame([(int(x),) for x in fp.view(np.int64)], "fp long"), 4, shared)
+    got = {r.node: r.root for r in components.components(links).collect()}
+    for x in fp:
+        for y in fp[np.bitwise_count(fp ^ x) <= 4]:
+            a, b = (int(v.view(np.int64)) for v in (x, y))
+            assert got.get(a, a) == got.get(b, b)
+    assert simhash.shared_blocks(1000, 4) == 1 and simhash.shared_blocks(1 << 28, 4) == 2 and simhash.shared_blocks(1 << 40, 4) == 4
+
+
 def test_components(spark):
     links = [(i, i + 1) for i in range(40)] + [(100, 101), (102, 101), (7, 7)]
     got = {r.node: r.root for r in components.components(spark.createDataFrame(links, "a long, b long")).collect()}
@@ -352,6 +381,30 @@ def test_quality_odd(spark):
     assert quality.accepted(docs, labels).columns == docs.columns
 
 
+def test_prior():
+    """Estimated from positives and unlabelled rows alone."""
+    rng = np.random.default_rng(1)
+    for share in (0.3, 0.7):
+        positive = rng.normal(2, 1, (2000, 4))
+        unlabelled = np.vstack([rng.normal(2, 1, (int(2000 * share), 4)), rng.normal(-2, 1, (2000 - int(2000 * share), 4))])
+        rng.shuffle(unlabelled)
+        assert abs(quality.estimate_prior(np.abs(positive), np.abs(unlabelled) * np.sign(unlabelled)) - share) < 0.12
+
+
+def test_risk():
+    """The risk as written out, and its gradient against differences."""
+    rng = np.random.default_rng(2)
+    p, u, w = rng.normal(1, 1, (50, 3)), rng.normal(0, 1, (80, 3)), rng.normal(size=3)
+    loss = lambda z: np.log(1 + np.exp(-z))
+    for prior in (0.2, 0.9):
+        value, grad = quality.risk(w, p, u, prior)
+        negative = loss(-(u @ w)).mean() - prior * loss(-(p @ w)).mean()
+        assert value == pytest.approx(prior * loss(p @ w).mean() + max(0, negative))
+        of = lambda w, sign=negative >= 0, prior=prior: prior * loss(p @ w).mean() + loss(-(u @ w)).mean() - prior * loss(-(p @ w)).mean() if sign else -(loss(-(u @ w)).mean() - prior * loss(-(p @ w)).mean())
+        steps = [(of(w + 1e-6 * e) - of(w - 1e-6 * e)) / 2e-6 for e in np.eye(3)]
+        assert grad == pytest.approx(steps, abs=1e-5)
+
+
 # --- 7 lines
 
 
@@ -380,6 +433,27 @@ def test_lines_reversible(spark):
     assert index.drops().count() == 0 and index.postings.count() == 4
 
 
+def test_lines_by_shards(spark, monkeypatch):
+    """Many shards and batches give what one does; rows of one doc_id are one document; ids may come back."""
+    monkeypatch.setattr(line_dedup, "SHARD_KEYS", 2)
+    texts = [(i % 40, "\n".join(f"{LINE} number {j}" for j in range(12) if (i + j) % 3)) for i in range(60)]
+    docs = docs_of(spark, texts).select("doc_id", "text")
+    whole, parts = line_dedup.LineIndex(), line_dedup.LineIndex()
+    whole.insert(docs)
+    for low in (0, 15, 30):
+        parts.insert(docs.where(F.col("doc_id").between(low, low + (14 if low < 30 else 100))))
+    drops = lambda index: {(r.doc_id, h) for r in index.drops().collect() for h in r[1]}
+    assert drops(whole) == drops(parts) and whole.shards > 1
+    parts.delete(docs.where("doc_id >= 30").select("doc_id"))
+    few = line_dedup.LineIndex()
+    few.insert(docs.where("doc_id < 30"))
+    assert drops(parts) == drops(few)
+    parts.insert(docs.where("doc_id >= 30"))
+    assert drops(parts) == drops(whole)
+    same = docs_of(spark, [(1, LINE)] * 9 + [(2, LINE)])
+    assert line_dedup.dedup_lines(same).where("n_dropped > 0").count() == 0
+
+
 def test_cuckoo():
     rng = np.random.default_rng(0)
     keys = rng.integers(-(1 << 63), 1 << 63, 5000)
@@ -445,6 +519,32 @@ def test_vectors(spark, cell, monkeypatch):
     assert got == brute_vectors(rows, 0.98)
 
 
+def test_vectors_of_large_groups():
+    """Thousands of near vectors, and of multiples of one, in one task of bounded memory."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(6)
+    near = rng.normal(size=64) + rng.normal(size=(1500, 64)) * 0.12  # about as far apart as the threshold
+    far = rng.normal(size=(500, 64))
+    x = np.vstack([near, far]).astype(np.float32).astype(float)
+    table = pa.table({"side": np.zeros(len(x), np.int32), "point": np.arange(len(x)), "copies": np.ones(len(x), np.int64), "vector": pa.array(list(x))})
+    got = embedding_dedup.link_cells(table, 0.98).to_pandas().set_index("a")
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    links = (unit @ unit.T >= 0.98).sum(axis=1) - 1
+    assert [int(got.links.get(i, 0)) for i in range(len(x))] == links.tolist() and links.max() > 100
+
+
+def test_vectors_that_no_level_parts(spark, monkeypatch):
+    monkeypatch.setattr(embedding_dedup, "LEVELS", 0)
+    monkeypatch.setattr(embedding_dedup.near_links, "__defaults__", (16,))
+    rng = np.random.default_rng(7)
+    base = rng.normal(size=(1, 8))
+    rows = [(i, [float(np.float32(v)) for v in (base + rng.normal(size=(1, 8)) * 0.1)[0]], 1) for i in range(60)]
+    rows += [(100 + i, [float(np.float32(v) * 2**i) for v in base[0]], 1) for i in range(30)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    assert {r.vec_id: (r.n_links, r.component_id, r.kept) for r in embedding_dedup.near_vectors(df, 0.98).collect()} == brute_vectors(rows, 0.98)
+
+
 def test_vectors_odd(spark):
     df = spark.createDataFrame([], "vec_id long, embedding array<float>, label int")
     assert embedding_dedup.near_vectors(df).count() == 0
