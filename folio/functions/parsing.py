@@ -16,6 +16,8 @@ from .text import trimmed
 QUIZ_KINDS = ["RECALL", "APPLY", "CONTRAST"]
 ACTIONS = ["skip", "explain", "group"]
 MISSING_SHARE = 0.3
+#: Levels of a tree that can be parents.
+DEEPEST = 24
 
 
 def lenient_int(c: Column) -> Column:
@@ -115,16 +117,20 @@ def parse_plan(replies: DataFrame, block: str, known: str, reply: str) -> DataFr
 def tree_parents(lines: DataFrame, doc: str, order: str, line: str) -> DataFrame:
     """(doc, order, topic, depth, parent): an indented tree's nodes; parent is the order of the nearest shallower line before.
 
-    A tab is a level; without tabs four spaces are. List and heading marks before a topic are dropped.
+    A tab is a level; without tabs four spaces are. List and heading marks before a topic are dropped. The last line of
+    each depth so far is kept, for so many depths; lines deeper than DEEPEST are children of the nearest one above it.
     """
     indent = F.regexp_extract(line, r"^([\t ]*)", 1)
     tabs = F.regexp_count(indent, F.lit("\t"))
     depth = F.when(tabs > 0, tabs).otherwise(F.floor(F.length(indent) / 4).cast("int"))
     topic = trimmed(F.regexp_replace(F.regexp_replace(F.regexp_replace(trimmed(F.col(line)), r"^[\-•·*]\s+", ""), r"^#{1,6}\s*", ""), r"^\*+|\*+$", ""))
     nodes = lines.select(doc, order, depth.alias("depth"), topic.alias("topic")).where("topic <> ''")
-    before = F.collect_list(F.struct("depth", F.col(order).alias("at"))).over(W.partitionBy(doc).orderBy(order).rowsBetween(W.unboundedPreceding, -1))
-    nearest = F.array_max(F.transform(F.filter("before", lambda b: b["depth"] < F.col("depth")), lambda b: b["at"]))
-    return nodes.withColumn("before", before).select(doc, order, "topic", "depth", nearest.alias("parent"))
+    nodes = nodes.withColumn("deepest", F.least("depth", F.lit(DEEPEST)))
+    w = W.partitionBy(doc).orderBy(order).rowsBetween(W.unboundedPreceding, -1)
+    last = [F.last(F.when(F.col("deepest") == d, F.struct(F.col(order).alias("at"), F.col("depth").alias("d"))), True).over(w).alias(f"last{d}") for d in range(DEEPEST)]
+    rows = nodes.select("*", *last)
+    nearest = F.array_max(F.array(*[F.when((F.col(f"last{d}.d") < F.col("depth")), F.col(f"last{d}.at")) for d in range(DEEPEST)]))
+    return rows.select(doc, order, "topic", "depth", nearest.alias("parent"))
 
 
 def first_within(tiers: list[Column], budget: int) -> Column:

@@ -32,9 +32,28 @@ CONTENTS_DOTS = "[…·.•‧．●]{2,}"
 CONTENTS_HEADING = r"^第[一二三四五六七八九十百千零〇两]+[章节目款回].{0,60}?[（(]?\d{1,4}[）)]?\s*$"
 PAGE_ONLY = r"^(\d{1,4}|[（(]\d{1,4}[）)])$"
 PAGE_NUMBER = r"^(\d{1,4}|[−\-–]\s*\d{1,4}\s*[−\-–]|[·•‧]\s*\d{1,4}\s*[·•‧]|第?\s*\d{1,4}\s*页|\d{1,3}\s*/\s*\d{1,3})$"
-FRONT_WORDS = ["前言", "序言", "引言", "凡例", "献词", "作者简介", "译者简介", "关于作者"]
-BACK_WORDS = ["参考文献", "附录", "后记", "致谢", "谢辞", "译后记", "跋"]
+FIXED_TITLES = ["前言", "序言", "引言", "目录", "附录", "后记", "参考文献"]
+FRONT_FIXED, BACK_FIXED = ["前言", "序言", "引言"], ["参考文献", "附录", "后记"]
+FRONT_FAMILY = (
+    "^(?:"
+    "(?:第?[0-9一二三四五六七八九十百]{1,3}版|初版|再版|新版|修订版|增订版)?序(?:言|[一二三四五六七八九十])?"
+    "|(?:丛书)?总序|自序|代序|小序"
+    "|写在前面(?:的话)?|写在卷首|作者的话|译者的话"
+    "|(?:再版|修订|新版|出版|编写|编译|增订)说明"
+    "|凡例|缩略语表?|简称(?:对照)?表"
+    "|作者简介|译者简介|作者与译者简介|关于作者|献词"
+    ")$"
+)
+BACK_FAMILY = "^(?:致谢|谢辞|译后记|跋)$"
+FRONT_ENTRIES = [
+    "写在前面", "写在卷首", "总序", "译序", "译者序", "译者的话", "自序", "作者的话", "序言", "初版序", "再版序", "再版说明", "修订说明", "增订版", "凡例", "缩略语", "作者简介", "译者简介",
+]
+EDITION_ENTRY, FRONT_ENTRY_MAX = "^第?[0-9一二三四五六七八九十百]{1,3}版", 14
 CONTENTS_TITLE = "目录"
+HEADING_LIKE = f"^第[{NUMERAL}]+[章单元篇部卷回节讲]|^[一二三四五六七八九十]+[、.，]|^（[一二三四五六七八九十]+）"
+LONE_PAGE = r"^\(?\d{1,4}\)?[.。]?$"
+ENTRY_PAGE_TAIL = r"\d{1,4}\s*[.。]?$"
+CONTENTS_ENTRY = r"^第[一二三四五六七八九十百千0-9]+[章节回][^0-9]*\d+\s*$"
 CITATION_END = r"[\[〔]\d{1,3}[\]〕]$"
 SENTENCE_END = "[。！？；：！?:…”』」①-⑳]$"
 FOOTNOTE_DIGIT = r"[　-鿿＀-￯][0-9]$"
@@ -92,8 +111,7 @@ def soft_join(texts: Column) -> Column:
 
 def ends_sentence(c: Column) -> Column:
     """by a mark or closer, a circled number, one digit after CJK, or a bracketed number."""
-    t = F.regexp_replace(c, f"{WHITE}+$", "")
-    return t.rlike(SENTENCE_END) | t.rlike(FOOTNOTE_DIGIT) | t.rlike(CITATION_END)
+    return c.rlike(f"(?:{'|'.join(end.removesuffix('$') for end in (SENTENCE_END, FOOTNOTE_DIGIT, CITATION_END))}){WHITE}*$")
 
 
 def strip_control(c: Column) -> Column:
@@ -149,13 +167,19 @@ def title_candidate(c: Column) -> Column:
 
 
 def front_title(c: Column) -> Column:
-    """F17."""
-    return c.isin(FRONT_WORDS)
+    """a fixed word or one of the family of forewords, editions and notes, and nothing else on the line."""
+    return c.isin(FRONT_FIXED) | c.rlike(FRONT_FAMILY)
 
 
 def back_title(c: Column) -> Column:
     """F17."""
-    return c.isin(BACK_WORDS)
+    return c.isin(BACK_FIXED) | c.rlike(BACK_FAMILY)
+
+
+def front_entry(c: Column) -> Column:
+    """a contents entry of front matter, which may go on after the title: short, and begins as one."""
+    begins = reduce(lambda a, b: a | b, [c.startswith(w) for w in FRONT_ENTRIES])
+    return (c != "") & (F.length(c) <= FRONT_ENTRY_MAX) & (front_title(c) | begins | c.rlike(EDITION_ENTRY))
 
 
 def role_of(c: Column) -> Column:
@@ -178,7 +202,7 @@ def title_style(c: Column, custom: str | None = None) -> Column:
     han = F.when(long, F.when(subtitle_cut(c).isNotNull(), "A_HAN_SUB")).when(~c.rlike(SECTION_INLINE), F.lit("A_HAN"))
     paged = c.rlike(TRAILING_PAGE)
     return (
-        F.when(c.rlike(TITLE_A_HAN), F.when(~paged, han)).when(c.rlike(TITLE_A_LATIN), F.when(~paged, "A_LATIN")).when(front_title(c) | back_title(c), F.when(~paged, "A_FIXED"))
+        F.when(c.rlike(TITLE_A_HAN), F.when(~paged, han)).when(c.rlike(TITLE_A_LATIN), F.when(~paged, "A_LATIN")).when(c.isin(FIXED_TITLES) | front_title(c) | back_title(c), F.when(~paged, "A_FIXED"))
         .when(c.rlike(TITLE_B), F.when(~paged, "B")).when(c.rlike(TITLE_C_HAN), "C_HAN").when(c.rlike(TITLE_C_PAREN), "C_PAREN").when(c.rlike(TITLE_C_NUM), "C_NUM").when(c.rlike(TITLE_C_NUM1), "C_NUM1")
     )
 

@@ -34,13 +34,27 @@ def visual_rows(lines: DataFrame, tolerance: float) -> DataFrame:
     )
 
 
+def contents_pages(lines: DataFrame) -> Column:
+    """Whether a line's page is one of contents: three leaders with pages, or headings with pages, or leaders of which one has its page."""
+    w = W.partitionBy("book", "page")
+    hits = lambda shape: F.count_if(F.col("text").rlike(shape)).over(w)
+    leaders = hits(T.CONTENTS_LEADER)
+    return (leaders >= 3) | (hits(T.CONTENTS_HEADING) >= 3) | ((hits(T.CONTENTS_DOTS) >= 3) & (leaders >= 1))
+
+
 def classify_lines(lines: DataFrame, body: float, height: float) -> DataFrame:
-    """(book, page, ord, kind): header, page number, footnote or keep; contents pages are kept whole."""
-    entries = F.count_if(T.contents_line(F.col("text"))).over(W.partitionBy("book", "page"))
-    header = (F.col("y0") < max(56.0, 0.12 * height)) & (F.col("size") < 0.95 * body) & (F.length("text") <= 40)
-    foot = (F.col("y0") > 0.72 * height) & (F.col("size") < 0.85 * body) & (T.footnote_marked(F.col("text")) | T.footnote_lead(F.col("text")))
-    kind = F.when(entries >= 3, "contents").when(header | T.header_like(F.col("text")), "header").when(T.page_number(T.trimmed(F.col("text"))), "number").when(foot, "footnote").otherwise("keep")
-    return lines.select("book", "page", "ord", kind.alias("kind"))
+    """(book, page, ord, kind): blank, header, page number, footnote or keep; contents pages lose their headers only.
+
+    A header is a short line in the top band that is set small or reads as one; a footnote is a line in the foot band
+    that is set small or is marked as one.
+    """
+    text = T.trimmed(T.strip_control(T.plain_yi(F.col("text"))))
+    rows = lines.withColumns({"listed": contents_pages(lines), "t": text})
+    t, small = F.col("t"), lambda factor: F.col("size").between(0.1, factor * body)
+    header = F.col("y0").between(0, max(56.0, 0.12 * height)) & (F.length(t) <= 40) & (small(0.95) | T.header_like(t) | T.header_number_like(t))
+    foot = (F.col("y0") >= 0.72 * height) & (small(0.85) | T.footnote_marked(t))
+    kind = F.when(t == "", "blank").when(header, "header").when(F.col("listed"), "contents").when(T.page_number(t), "number").when(foot, "footnote").otherwise("keep")
+    return rows.select("book", "page", "ord", kind.alias("kind"))
 
 
 def paragraphs(lines: DataFrame, left: float, right: float, body: float, pitch: float | None) -> DataFrame:
@@ -84,21 +98,53 @@ def chapters(blocks: DataFrame, custom: str | None = None) -> DataFrame:
     return rows.groupBy("book", "chapter").agg(title.alias("title"), F.min("idx").alias("first"), F.count("*").alias("blocks"), F.sum(F.length("text")).alias("chars"))
 
 
+def _in_order(df: DataFrame, group: str, order: str, start, step) -> DataFrame:
+    """(group, order, block): a fold over the lengths of each group's texts in order, whose state is all that is held.
+
+    start(): a group's first state; step(state, length) gives the block's number.
+    """
+    kinds = dict(df.dtypes)
+
+    def run(batches):
+        current, state = None, None
+        for pdf in batches:
+            out = []
+            for g, n in zip(pdf["g"].tolist(), pdf["n"].tolist(), strict=True):
+                if state is None or g != current:
+                    current, state = g, start()
+                out.append(step(state, n))
+            yield pd.DataFrame({group: pdf["g"], order: pdf["o"], "block": out})
+
+    rows = shipped(df).select(F.col(group).alias("g"), F.col(order).alias("o"), F.length("text").alias("n"))
+    return rows.repartition("g").sortWithinPartitions("g", "o").mapInPandas(run, f"{group} {kinds[group]}, {order} {kinds[order]}, block int")
+
+
 def greedy_blocks(df: DataFrame, group: str, order: str, most_chars: int, most_items: int) -> DataFrame:
-    """(group, order, block): rows packed in order into blocks; a row too long for any stands alone."""
-    rows = F.sort_array(F.collect_list(F.struct(F.col(order).alias("o"), F.length("text").alias("n"))))
-    start = F.struct(F.lit(0).alias("block"), F.lit(0).alias("chars"), F.lit(0).alias("items"), F.array().cast("array<struct<o:int,b:int>>").alias("out"))
+    """(group, order, block): rows packed in order into blocks; a row too long for any stands alone."""
 
-    def fold(acc: Column, row: Column) -> Column:
-        long = row["n"] > most_chars
-        new = (acc["items"] > 0) & (long | (acc["chars"] < 0) | (acc["chars"] + row["n"] > most_chars) | (acc["items"] + 1 > most_items))
-        block = acc["block"] + F.when(new, 1).otherwise(0)
-        chars = F.when(long, -1).otherwise(F.when(new, row["n"]).otherwise(acc["chars"] + row["n"]))
-        items = F.when(new, 1).otherwise(acc["items"] + 1)
-        return F.struct(block.alias("block"), chars.alias("chars"), items.alias("items"), F.concat(acc["out"], F.array(F.struct(row["o"].alias("o"), block.alias("b")))).alias("out"))
+    def step(state: dict, n: int) -> int:
+        long = n > most_chars
+        if state["items"] and (long or state["alone"] or state["chars"] + n > most_chars or state["items"] + 1 > most_items):
+            state.update(block=state["block"] + 1, chars=0, items=0)
+        state.update(chars=state["chars"] + n, items=state["items"] + 1, alone=long)
+        return state["block"]
 
-    folded = df.groupBy(group).agg(rows.alias("rows")).select(group, F.explode(F.aggregate("rows", start, fold)["out"]).alias("r"))
-    return folded.select(group, F.col("r.o").alias(order), F.col("r.b").alias("block"))
+    return _in_order(df, group, order, lambda: {"block": 0, "chars": 0, "items": 0, "alone": False}, step)
+
+
+def blind_chapters(df: DataFrame, group: str, order: str, whole: int = 50_000, least: int = 3_000) -> DataFrame:
+    """(group, order, block): a text without headings up to `whole` characters is one chapter, else each ends with the row that brings it to `least`."""
+
+    def step(state: dict, n: int) -> int:
+        block = state["block"]
+        state["chars"] += n
+        if state["chars"] >= least:
+            state.update(block=block + 1, chars=0)
+        return block
+
+    cut = _in_order(df, group, order, lambda: {"block": 0, "chars": 0}, step)
+    total = df.groupBy(group).agg((F.sum(F.length("text")) > whole).alias("long"))
+    return cut.join(total, group).select(group, order, F.when(F.col("long"), F.col("block")).otherwise(0).alias("block"))
 
 
 def stitch(pages: DataFrame) -> DataFrame:
@@ -126,51 +172,78 @@ def stitch(pages: DataFrame) -> DataFrame:
 
 
 def merge_fragments(lines: DataFrame, reach: float = 15.0) -> DataFrame:
-    """C17: (book, page, ord, into): short lines of a page merged into the nearest longer one, nearest pairs first."""
+    """C17: (book, page, ord, into): short lines of a page merged into the nearest longer one, of equally near ones the first.
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        small, large = pdf[pdf.text.str.len() < 8], pdf[pdf.text.str.len() >= 8]
-        near = sorted((abs(s.y0 - b.y0), s.ord, b.ord) for s in small.itertuples() for b in large.itertuples() if abs(s.y0 - b.y0) <= reach)
-        into: dict[int, int] = {}
-        for _, s, b in near:
-            into.setdefault(s, b)
-        return pd.DataFrame({"book": pdf.book, "page": pdf.page, "ord": pdf.ord, "into": [into.get(o, o) for o in pdf.ord]})
-
-    return shipped(lines).groupBy("book", "page").applyInPandas(run, "book long, page int, ord int, into int")
+    Lines meet in bands as high as the reach, so that a crowded page is many small groups.
+    """
+    band = F.floor(F.col("y0") / reach)
+    short = F.length("text") < 8
+    small = lines.where(short).select("book", "page", F.col("ord").alias("s"), F.col("y0").alias("ys"), F.explode(F.array(band - 1, band, band + 1)).alias("band"))
+    large = lines.where(~short).select("book", "page", F.col("ord").alias("b"), F.col("y0").alias("yb"), band.alias("band"))
+    away = F.abs(F.col("ys") - F.col("yb"))
+    near = small.join(large, ["book", "page", "band"]).where(away <= reach).groupBy("book", "page", F.col("s").alias("ord")).agg(F.min_by("b", F.struct(away, "b")).alias("b"))
+    return lines.select("book", "page", "ord").join(near, ["book", "page", "ord"], "left").select("book", "page", "ord", F.coalesce("b", "ord").alias("into"))
 
 
 def match_in_band(entries: DataFrame, found: DataFrame, band: int) -> DataFrame:
-    """(book_id, entry, chapter): each entry, in page order, takes the nearest chapter within the band that is left."""
-    near = entries.join(found, "book_id").where(F.abs(F.col("page") - F.col("start")) <= band)
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        taken: dict[int, int] = {}
-        pdf = pdf.assign(cost=(pdf.page - pdf.start).abs() * 1000 + pdf.start).sort_values(["page", "entry", "cost", "chapter"])
-        for entry, group in pdf.groupby("entry", sort=False):
-            free = [c for c in group.chapter if c not in taken]
-            if free:
-                taken[free[0]] = entry
-        return pd.DataFrame([(pdf.book_id.iloc[0], e, c) for c, e in taken.items()], columns=["book_id", "entry", "chapter"])
-
-    return shipped(near).groupBy("book_id").applyInPandas(run, "book_id long, entry long, chapter long")
+    """(book_id, entry, chapter): each entry, in page order, takes the nearest chapter within the band that is left.
 
+    Entries of a page and chapters of a page are numbered, and only how many there are on each page of a book goes to
+    the greedy choice; its runs of numbers are then joined back.
+    """
+    nth = lambda by, o: F.row_number().over(W.partitionBy("book_id", by).orderBy(o)) - 1
+    ones, twos = entries.withColumn("i", nth("page", "entry")), found.withColumn("j", nth("start", "chapter"))
+    count = lambda df, at, side: df.groupBy("book_id", F.col(at).alias("at")).agg(F.count("*").alias("n")).withColumn("side", F.lit(side))
+    counts = count(entries, "page", 0).unionByName(count(found, "start", 1))
 
-def most_similar(texts: DataFrame, entries: DataFrame) -> DataFrame:
-    """(id, entry, ratio): for each text the entry most like it; entries are a table of contents, checked to be small."""
-    n = entries.count()
-    if n > 10_000:
-        raise ValueError(f"{n} entries are no table of contents")
-    titles = entries.agg(F.sort_array(F.collect_list(F.struct("entry", "title"))).alias("titles"))
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        left = {int(r.at): [0, int(r.n)] for r in pdf[pdf.side == 1].itertuples()}
+        out = []
+        for r in pdf[pdf.side == 0].sort_values("at").itertuples():
+            done = 0
+            for away in range(band + 1):
+                for at in sorted({r.at - away, r.at + away}):
+                    used, of = left.get(at, (0, 0))
+                    n = min(r.n - done, of - used)
+                    if n > 0:
+                        out.append((r.book_id, r.at, done, at, used, n))
+                        left[at][0] += n
+                        done += n
+        return pd.DataFrame(out, columns=["book_id", "page", "i0", "start", "j0", "n"])
+
+    runs = shipped(counts).groupBy("book_id").applyInPandas(run, "book_id long, page int, i0 long, start int, j0 long, n long")
+    each = runs.select("book_id", "page", "start", F.posexplode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("k", "_"), "i0", "j0")
+    each = each.select("book_id", "page", "start", (F.col("i0") + F.col("k")).alias("i"), (F.col("j0") + F.col("k")).alias("j"))
+    return each.join(ones, ["book_id", "page", "i"]).join(twos, ["book_id", "start", "j"]).select("book_id", "entry", "chapter")
+
+
+def most_similar(texts: DataFrame, entries: DataFrame, block: int = 1000) -> DataFrame:
+    """(id, entry, ratio): for each text the entry most like it by matching blocks, of equals the least.
+
+    Every text meets the entries block by block, in tasks that hold one block at a time; entries that cannot reach the
+    best so far by their characters alone are not compared.
+    """
+    blocks = max(1, -(-entries.count() // block))
+    parts = entries.groupBy(F.pmod(F.xxhash64("entry"), F.lit(blocks)).alias("block")).agg(F.sort_array(F.collect_list(F.struct("entry", "title"))).alias("titles"))
+    asked = shipped(texts).select("id", "text", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("block"))
 
     def run(batches):
+        held, matchers = None, []
         for pdf in batches:
             out = []
             for r in pdf.itertuples():
-                best = max(((difflib.SequenceMatcher(None, r.text, t["title"]).ratio(), -t["entry"]) for t in r.titles), default=(0.0, 0))
+                if held != r.block:
+                    held, matchers = r.block, [(t["entry"], difflib.SequenceMatcher(None, "", t["title"])) for t in r.titles]
+                best = (0.0, 0)
+                for entry, m in matchers:
+                    m.set_seq1(r.text)
+                    if m.real_quick_ratio() >= best[0] and m.quick_ratio() >= best[0]:
+                        best = max(best, (m.ratio(), -entry))
                 out.append((r.id, -best[1], round(best[0], 9)))
             yield pd.DataFrame(out, columns=["id", "entry", "ratio"])
 
-    return shipped(texts).select("id", "text").crossJoin(F.broadcast(titles)).mapInPandas(run, "id long, entry long, ratio double")
+    found = asked.join(parts, "block").mapInPandas(run, "id long, entry long, ratio double")
+    return found.groupBy("id").agg(F.max_by("entry", F.struct("ratio", -F.col("entry"))).alias("entry"), F.max("ratio").alias("ratio"))
 
 
 def offset_of_anchors(chapters_: DataFrame) -> DataFrame:

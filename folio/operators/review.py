@@ -8,10 +8,9 @@ from pyspark.sql import Window as W
 
 from ..functions import text as T
 
-# Shapes of headings and contents lines, and the characters that recognition leaves behind.
+# Shapes of headings and contents lines.
 CHAPTER_TITLE, SECTION_ENTRY = "^第[一二三四五六七八九十百千零〇两]+章", "^第[一二三四五六七八九十百千零〇两]+节"
 VOLUME_TITLE, PAGE_TAIL, NO_PUNCTUATION = "^第[一二三四五六七八九十百]+编", r"/\s*\d{1,4}\s*$", "^[^，。；：！？、,.;:!?]*$"
-JUNK = "[＄＃＆＊^~|]"
 
 
 def phantom_chapters(paragraphs: DataFrame, title_shape: str = CHAPTER_TITLE, entry_shape: str = SECTION_ENTRY) -> DataFrame:
@@ -50,13 +49,6 @@ def front_matter(paragraphs: DataFrame) -> DataFrame:
     return c.select("chapter_id", F.coalesce("rule", F.when(twin, "twin")).alias("rule")).where("rule is not null")
 
 
-def junk_paragraph(c: Column, junk: str = JUNK) -> Column:
-    """Short, with junk and no punctuation; or short with two junk characters."""
-    t = T.trimmed(c)
-    short = (F.length(t) > 0) & (F.length(t) <= 40) & ~t.startswith("〔") & T.title_style(t).isNull()
-    return short & ((t.rlike(junk) & ~t.rlike("[，。；！？：]")) | (F.regexp_count(t, F.lit(junk)) >= 2))
-
-
 def page_list(pages: Column, most: int = 5) -> Column:
     """The first pages of a set, and how many there are in all."""
     names = F.transform(F.slice(F.sort_array(pages), 1, most), lambda p: F.concat(F.lit("p"), p.cast("string")))

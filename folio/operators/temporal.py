@@ -40,8 +40,22 @@ def forward_fill(df: DataFrame, by: list[str], order: list[Column | str], column
     return df.withColumn(name, F.last(column, True).over(W.partitionBy(*by).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)))
 
 
-def backward_fill(df: DataFrame, by: list[str], order: list[Column | str], column: str, name: str) -> DataFrame:
-    return df.withColumn(name, F.first(column, True).over(W.partitionBy(*by).orderBy(*order).rowsBetween(0, W.unboundedFollowing)))
+def backward_fill(df: DataFrame, by: list[str], order: list[str], column: str, name: str) -> DataFrame:
+    """The next value of each group, the row's own included: a forward fill of the reversed order, whose frame only grows."""
+    w = W.partitionBy(*by).orderBy(*[F.desc(c) for c in order]).rowsBetween(W.unboundedPreceding, 0)
+    return df.withColumn(name, F.last(column, True).over(w))
+
+
+def nearest_marked(df: DataFrame, by: str, on: str, marked: Column, name: str) -> DataFrame:
+    """For each row the greatest marked `on` of its group not above its own, else the least one above it.
+
+    Both are running extremes over the distinct values of `on`, which are few against the rows.
+    """
+    values = df.groupBy(by, on).agg(F.max(F.when(marked, F.col(on))).alias("__mark"))
+    before = W.partitionBy(by).orderBy(on).rowsBetween(W.unboundedPreceding, 0)
+    after = W.partitionBy(by).orderBy(F.desc(on)).rowsBetween(W.unboundedPreceding, 0)
+    found = values.select(by, on, F.max("__mark").over(before).alias("__before"), F.min("__mark").over(after).alias("__after"))
+    return df.join(found.select(by, on, F.coalesce("__before", "__after").alias(name)), [by, on])
 
 
 def streaks(days: DataFrame, key: str, day: str, today: str) -> DataFrame:

@@ -46,14 +46,6 @@ def front(t):
     return V.front_matter(with_titles(t))
 
 
-@query(
-    "P15_junk_paragraphs",
-    "SELECT id FROM paragraphs WHERE length(trim(text)) BETWEEN 1 AND 40 AND NOT regexp_matches(trim(text), '^\\d{1,3}([、.．]\\s*\\S|(\\.\\d{1,3})+[、.．]?\\s*\\S)') AND NOT regexp_matches(trim(text), '^(?i)(Chapter|Unit)\\s+\\d+') AND ((regexp_matches(text, '[＄＃＆＊^~|]') AND NOT regexp_matches(text, '[，。；！？：]')) OR len(regexp_extract_all(text, '[＄＃＆＊^~|]')) >= 2)",
-)
-def junk(t):
-    return t("paragraphs").where(V.junk_paragraph(F.col("text"))).select("id")
-
-
 @query(
     "A19_rules_fallback",
     "WITH p AS (SELECT book, page, count(*) AS before, count(*) FILTER (NOT contains(text, '|')) AS after FROM page_lines GROUP BY 1, 2) SELECT book, page, CASE WHEN after = 0 THEN before ELSE after END AS kept, after = 0 AS flagged FROM p",

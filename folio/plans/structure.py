@@ -214,12 +214,12 @@ def positional(t):
 
 @query(
     "J21_reading_rows",
-    "WITH u AS (SELECT chapter_id, idx AS slot, 0 AS kind, id FROM paragraphs WHERE chapter_id < 30 UNION ALL SELECT chapter_id, ord_after_para AS slot, 1 AS kind, id FROM figures WHERE chapter_id < 30) SELECT chapter_id, kind, id, row_number() OVER (PARTITION BY chapter_id ORDER BY slot, kind, id) AS place FROM u",
+    "WITH u AS (SELECT chapter_id, idx AS slot, 0 AS kind, id FROM paragraphs UNION ALL SELECT chapter_id, ord_after_para AS slot, 1 AS kind, id FROM figures) SELECT chapter_id, kind, id, row_number() OVER (PARTITION BY chapter_id ORDER BY slot, kind, id) AS place FROM u",
 )
 def reading_rows(t):
     """Paragraphs and figures of a chapter in reading order: a figure follows the paragraph it is anchored after."""
     both = t("paragraphs").select("chapter_id", F.col("idx").alias("slot"), F.lit(0).alias("kind"), "id")
-    both = both.unionByName(t("figures").select("chapter_id", F.col("ord_after_para").alias("slot"), F.lit(1).alias("kind"), "id")).where("chapter_id < 30")
+    both = both.unionByName(t("figures").select("chapter_id", F.col("ord_after_para").alias("slot"), F.lit(1).alias("kind"), "id"))
     return both.withColumn("place", F.row_number().over(W.partitionBy("chapter_id").orderBy("slot", "kind", "id"))).drop("slot")
 
 
@@ -229,10 +229,7 @@ def reading_rows(t):
 )
 def floor_else_ceil(t):
     """An orphan page goes to the nearest kept page before it, else to the one after."""
-    done = F.when(F.col("status") == "DONE", F.col("page_no"))
-    w = W.partitionBy("book_id").orderBy("page_no").rangeBetween(W.unboundedPreceding, 0)
-    after = W.partitionBy("book_id").orderBy("page_no").rangeBetween(0, W.unboundedFollowing)
-    found = t("vision_queue").withColumn("page", F.coalesce(F.max(done).over(w), F.min(done).over(after)))
+    found = X.nearest_marked(t("vision_queue"), "book_id", "page_no", F.col("status") == "DONE", "page")
     return found.where("status <> 'DONE'").select("id", "page")
 
 

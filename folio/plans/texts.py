@@ -34,15 +34,9 @@ _TRIM = r"regexp_replace(text, '^[\s\x{A0}\x{3000}]+|[\s\x{A0}\x{3000}]+$', '',
 on_paragraphs("F01_escape_like", T.escape_like, r"'%' || replace(replace(replace(text, '\', '\\'), '%', '\%'), '_', '\_') || '%'")
 on_paragraphs("F06_ends_sentence", T.ends_sentence, r"regexp_matches(rtrim(text), '[。！？；：！?:…”』」\x{2460}-\x{2473}]$') OR regexp_matches(rtrim(text), '[\x{3000}-\x{9FFF}\x{FF00}-\x{FFEF}][0-9]$') OR regexp_matches(rtrim(text), '[\[〔]\d{1,3}[\]〕]$')")
 on_paragraphs("F07_strip_control", T.strip_control, r"regexp_replace(text, '[\x00-\x1f\x7f]', '', 'g')")
-on_paragraphs("F08_plain_yi", T.plain_yi, "translate(text, 'ꎬꎮꎻ', '，。；')")
 on_paragraphs("F09_private_use", T.private_use, r"CAST(len(regexp_extract_all(text, '[\x{E000}-\x{F8FF}]')) AS INT)")
-on_paragraphs("F10_header_like", lambda c: T.header_like(c) | T.header_number_like(c), r"regexp_matches(text, '^[0-9]{1,4} ?[\x{4E00}-\x{9FFF}]{2,12}$')")
 on_paragraphs("F11_footnote_lead", lambda c: T.footnote_marked(c) | T.footnote_lead(c), r"regexp_matches(text, '^[\x{2460}-\x{2473}@]') OR regexp_matches(text, '^[0Oo][\x{4E00}-\x{9FFF}]') OR (length(text) >= 6 AND (regexp_matches(right(text, 12), '[（(]\d{4}[）)]?\s*[.。]?\s*$') OR (length(text) >= 16 AND len(regexp_extract_all(text, '[A-Za-z0-9]')) * 2 >= length(text))))")
-on_paragraphs("F12_contents_line", T.contents_line, r"regexp_matches(text, '[…·.•‧．●]{2,}\s*[（(]?\d{1,4}[）)]?\s*$') OR regexp_matches(text, '^(\d{1,4}|[（(]\d{1,4}[）)])$')")
-on_paragraphs("F13_page_number", T.page_number, r"regexp_matches(text, '^(\d{1,4}|[−\-–]\s*\d{1,4}\s*[−\-–]|[·•‧]\s*\d{1,4}\s*[·•‧]|第?\s*\d{1,4}\s*页|\d{1,3}\s*/\s*\d{1,3})$')")
-on_paragraphs("F14_title_style", T.title_style, r"CASE WHEN regexp_matches(text, '^(?i)(Chapter|Unit)\s+\d+') THEN 'A_LATIN' WHEN regexp_matches(text, '^\d{1,3}(\.\d{1,3})+[、.．]?\s*\S') THEN 'C_NUM' WHEN regexp_matches(text, '^\d{1,3}[、.．]\s*\S') THEN 'C_NUM1' END")
 on_paragraphs("F16_title_candidate", T.title_candidate, r"length(text) > 0 AND length(text) <= 40 AND NOT regexp_matches(text, '[。！？；，,.;!?：:]$') AND NOT regexp_matches(text, '[…·.•‧．●]{2,}\s*[（(]?\d{1,4}[）)]?\s*$')")
-on_paragraphs("F18_role", T.role_of, "'BODY'")
 on_paragraphs("F22_normal_title", T.normal_title, None)
 on_paragraphs("F23_clean_title", T.clean_title, "regexp_replace(regexp_replace(text, '[…·.•‧]{2,}.*$', ''), '^[\\s\\x{A0}\\x{3000}]+|[\\s\\x{A0}\\x{3000}]+$', '', 'g')")
 on_paragraphs("F27_split_glued", lambda c: F.size(T.split_glued(c)), None)
@@ -70,22 +64,24 @@ def merge_candidates(t):
     return t("page_lines").withColumn("b", following).where("b is not null").select("book", "page", "ord", T.merge_candidate(F.col("text"), F.col("b")).alias("merges"))
 
 
-@query("F44_numerals", "SELECT id, CAST(idx AS INT) AS n FROM chapters WHERE idx < 200")
+@query("F44_numerals", "SELECT id, CAST(idx % 1000 AS INT) AS n FROM chapters")
 def numerals(t):
     """Ordinals written in Chinese numerals, read back."""
     digit = lambda n: F.element_at(F.array(*[F.lit(x) for x in "一二三四五六七八九"]), n.cast("int"))
-    n = F.col("idx")
+    n = F.col("idx") % 1000  # the numerals go to the hundreds
     hundred = F.when(n >= 100, F.concat(digit(F.floor(n / 100)), F.lit("百"))).otherwise("")
     rest = n % 100
     ten = F.when(rest >= 10, F.concat(F.when(rest >= 20, digit(F.floor(rest / 10))).otherwise(F.when(n >= 100, "一").otherwise("")), F.lit("十"))).otherwise(F.when((n >= 100) & (rest > 0), "零").otherwise(""))
     one = F.when(rest % 10 > 0, digit(rest % 10)).otherwise(F.when(n == 0, "零").otherwise(""))
-    return t("chapters").where("idx < 200").select("id", T.zh_to_int(F.concat(hundred, ten, one)).alias("n"))
+    return t("chapters").select("id", T.zh_to_int(F.concat(hundred, ten, one)).alias("n"))
 
 
 @query("F40_title_similarity")
 def similarity(t):
-    """The benchmark item most like each chapter's first line, by matching blocks; items are few and broadcast."""
-    return D.most_similar(t("paragraphs").where("idx = 0 and chapter_id < 200").select(F.col("chapter_id").alias("id"), F.left("text", F.lit(40)).alias("text")), t("benchmark").where("item_id < 40").select(F.col("item_id").alias("entry"), F.left("text", F.lit(40)).alias("title")))
+    """The benchmark item most like each chapter by their titles, the first sentences of both."""
+    title = lambda c: F.regexp_extract(c, r"^([^.\n]*)", 1)
+    items = t("benchmark").select(F.col("item_id").alias("entry"), title(F.col("text")).alias("title"))
+    return D.most_similar(t("paragraphs").where("idx = 0").select(F.col("chapter_id").alias("id"), title(F.col("text")).alias("text")), items)
 
 
 # --- parsing
@@ -111,16 +107,21 @@ def book_terms(t):
     return J.first_terms(t("chapters"))
 
 
-@query("X07_tagged", "SELECT id, substr(text, 1, 30) AS gist FROM paragraphs WHERE substr(text, 1, 30) <> '' AND trim(substr(text, 1, 30)) = substr(text, 1, 30)")
+@query("X07_tagged", r"SELECT id, text AS gist FROM paragraphs WHERE text <> '' AND NOT regexp_matches(text, '^\s|\s$')")
 def tagged(t):
-    raw = F.concat(F.lit("noise <gist> "), F.left("text", F.lit(30)), F.lit(" </gist> tail"))
-    return t("paragraphs").where("left(text, 30) <> '' and trim(left(text, 30)) = left(text, 30)").select("id", J.tag(raw, "gist").alias("gist"))
+    raw = F.concat(F.lit("noise <gist> "), F.col("text"), F.lit(" </gist> tail"))
+    return t("paragraphs").where((F.col("text") != "") & ~F.col("text").rlike(r"^\s|\s$")).select("id", J.tag(raw, "gist").alias("gist"))
 
 
-@query("X09_tree_rows")
+@query(
+    "X09_tree_rows",
+    r"""WITH l AS (SELECT chapter_id, idx, repeat(chr(9), CAST(idx * 7 % 4 AS INT)) || text AS line FROM paragraphs), n AS (SELECT chapter_id, idx, regexp_extract(line, '^([\t ]*)', 1) AS i, regexp_replace(line, '^[\s\x{A0}\x{3000}]+|[\s\x{A0}\x{3000}]+$', '', 'g') AS t FROM l),
+    d AS (SELECT chapter_id, idx, CAST(CASE WHEN contains(i, chr(9)) THEN length(i) - length(replace(i, chr(9), '')) ELSE floor(length(i) / 4) END AS INT) AS depth, regexp_replace(regexp_replace(regexp_replace(regexp_replace(t, '^[\-•·*]\s+', ''), '^#{1,6}\s*', ''), '^\*+|\*+$', '', 'g'), '^[\s\x{A0}\x{3000}]+|[\s\x{A0}\x{3000}]+$', '', 'g') AS topic FROM n)
+    SELECT a.chapter_id, a.idx, a.topic, a.depth, max(b.idx) AS parent FROM d a LEFT JOIN d b ON b.chapter_id = a.chapter_id AND b.idx < a.idx AND b.depth < a.depth AND b.topic <> '' WHERE a.topic <> '' GROUP BY 1, 2, 3, 4""",
+)
 def tree_rows(t):
     """Lines as an indented tree: each node with its depth and parent."""
-    indented = t("paragraphs").select("chapter_id", "idx", F.concat(F.repeat(F.lit("\t"), (F.col("idx") * 7 % 4).cast("int")), F.left("text", F.lit(20))).alias("line"))
+    indented = t("paragraphs").select("chapter_id", "idx", F.concat(F.repeat(F.lit("\t"), (F.col("idx") * 7 % 4).cast("int")), F.col("text")).alias("line"))
     return J.tree_parents(indented, "chapter_id", "idx", "line")
 
 
@@ -148,11 +149,6 @@ def rows_of_spans(t):
     return D.visual_rows(t("page_lines"), tolerance=15).select("book", "page", "y0", "x0", "x1", "spans")
 
 
-@query("C03_clean_lines")
-def clean_lines(t):
-    return D.classify_lines(t("page_lines"), body=10.0, height=500.0)
-
-
 @query("C04_paragraphs")
 def assemble(t):
     return D.paragraphs(t("page_lines"), left=50.0, right=400.0, body=10.0, pitch=18.0)
@@ -165,7 +161,7 @@ def chapters(t):
 
 @query("C08_blind_chapters")
 def blind(t):
-    return D.greedy_blocks(t("paragraphs"), "chapter_id", "idx", most_chars=3000, most_items=1 << 30)
+    return D.blind_chapters(t("paragraphs"), "chapter_id", "idx")
 
 
 @query("C09_chunks")
@@ -201,15 +197,20 @@ def stitched(t):
     return D.stitch(pages)
 
 
-@query("C17_merged_fragments")
+@query(
+    "C17_merged_fragments",
+    "WITH s AS (SELECT book, page, ord, y0 FROM page_lines WHERE length(text) < 8), b AS (SELECT book, page, ord, y0 FROM page_lines WHERE length(text) >= 8), n AS (SELECT s.book, s.page, s.ord, arg_min(b.ord, struct_pack(d := abs(s.y0 - b.y0), o := b.ord)) AS target FROM s JOIN b ON b.book = s.book AND b.page = s.page AND abs(s.y0 - b.y0) <= 15 GROUP BY 1, 2, 3) SELECT l.book, l.page, l.ord, coalesce(target, l.ord) AS \"into\" FROM page_lines l LEFT JOIN n ON n.book = l.book AND n.page = l.page AND n.ord = l.ord",
+)
 def fragments(t):
     return D.merge_fragments(t("page_lines"))
 
 
 @query("J17_banded_match")
 def banded(t):
-    entries = t("chapters").where("level = 2 and start_page is not null").select("book_id", F.col("id").alias("entry"), F.col("start_page").alias("page"))
-    return D.match_in_band(entries, t("chapters").where("level = 1 and start_page is not null").select("book_id", F.col("id").alias("chapter"), F.col("start_page").alias("start")), band=5)
+    at = lambda by: F.expr(f"cast(idx * {by} % 60 as int)")
+    c = t("chapters")
+    entries = c.where("idx % 3 = 2").select("book_id", F.col("id").alias("entry"), at(3).alias("page"))
+    return D.match_in_band(entries, c.where("idx % 3 <> 2").select("book_id", F.col("id").alias("chapter"), at(7).alias("start")), band=5)
 
 
 @query("C11_offset_anchors", "WITH a AS (SELECT book_id, start_page - idx AS d, row_number() OVER (PARTITION BY book_id ORDER BY idx) AS k, count(*) OVER (PARTITION BY book_id) AS n FROM chapters WHERE start_page IS NOT NULL), s AS (SELECT book_id, count(*) AS c, median(d) AS mid, avg(d) AS mean, max(d) - min(d) AS spread FROM a WHERE k = 1 OR k = floor(n / 2) + 1 OR k = n GROUP BY 1) SELECT book_id, CASE WHEN c = 3 AND spread <= 1 THEN CAST(floor(mid) AS INT) WHEN c = 2 THEN CAST(floor(mean + 0.5) AS INT) END AS page_offset, c = 3 AND spread <= 1 AS sure FROM s")

@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .pages import PAGE_LINES
+from .pages import HAN, PAGE_LINES
 
 #: Functions spelled differently: (Spark, DuckDB).
 SPELLING = {
@@ -29,7 +29,7 @@ SOURCES: dict[str, str] = {
     "paragraphs": """SELECT doc_id * 100000 + pos AS id, doc_id AS chapter_id, cast(pos as int) AS idx, line AS text,
         CASE pos % 11 WHEN 3 THEN 'TOC' WHEN 5 THEN 'FOOTNOTE' WHEN 7 THEN 'FIGURE' WHEN 9 THEN 'TITLE' ELSE 'BODY' END AS role,
         CASE WHEN pos % 4 = 0 THEN NULL ELSE cast(floor(pos / 4) as int) + 1 END AS page_no, cast(NULL as string) AS ai_action, cast(NULL as bigint) AS group_id, cast(NULL as string) AS why FROM lines""",
-    "para_notes": "SELECT doc_id * 100000 + pos AS id, doc_id AS chapter_id, concat('[', cast(doc_id * 100000 + pos as string), ']') AS para_ids, substr(line, 1, 20) AS note, pos * 10 AS created_at FROM lines WHERE pos % 6 = 0",
+    "para_notes": "SELECT doc_id * 100000 + pos AS id, doc_id AS chapter_id, concat('[', cast(doc_id * 100000 + pos as string), ']') AS para_ids, line AS note, pos * 10 AS created_at FROM lines WHERE pos % 6 = 0",
     "chapter_assets": """SELECT doc_id AS chapter_id, concat('quality ', cast(quality as string)) AS summary_md, CASE WHEN toxic = 0 THEN 'root' END AS mindmap_tree,
         '[{"q":"one","type":"RECALL"},{"q":"two","type":"APPLY"},{"q":"three","type":"OTHER"}]' AS quiz_json, 1 AS prompt_version, doc_id * 7 AS created_at FROM labels""",
     "quiz_attempts": """SELECT event_id AS id, user_id AS chapter_id, CASE event_type WHEN 'view' THEN 0 WHEN 'signup' THEN 1 WHEN 'purchase' THEN 2 WHEN 'error' THEN 3 ELSE 4 END AS q_index,
@@ -48,6 +48,7 @@ SOURCES: dict[str, str] = {
 }
 
 SOURCES["page_lines"] = PAGE_LINES
+SOURCES["han"] = HAN
 LINES = {
     "spark": "SELECT doc_id, cast(p as bigint) AS pos, line FROM documents LATERAL VIEW posexplode(split(text, '\\n', -1)) t AS p, line",
     "duckdb": "SELECT doc_id, CAST(generate_subscripts(string_split(text, chr(10)), 1) - 1 AS BIGINT) AS pos, unnest(string_split(text, chr(10))) AS line FROM documents",
