@@ -191,9 +191,10 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model | N
 
     Trusted positives are rows labelled 1. The unlabelled sample is drawn from all rows, whatever their label.
     """
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     may = docs.where("doc_id is not null").where(~held_out(F.col("doc_id")))
     ones = labels.where("quality = 1").select(F.col("doc_id").cast("long").alias("one")).distinct()
-    ids = may.select(F.col("doc_id").cast("long").alias("doc_id"))
+    ids = may.select("doc_id")
     ones = materialize(ids.join(ones, F.col("doc_id") == F.col("one"), "left_semi").distinct(), "quality-ones")
     many, rows = ones.count(), ids.count()
     if not many:
@@ -202,14 +203,14 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model | N
     def drawn(of: int, seed: int) -> Column:
         """About `sample` of so many rows, by 63 bits of a hash."""
         share = F.lit(min((1 << 63) - 1, (sample << 63) // max(of, 1)))
-        return F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col("doc_id").cast("long")), 1) <= share
+        return F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col("doc_id")), 1) <= share
 
     def sampled(some: DataFrame) -> np.ndarray:
         return np.array([r.features for r in features(some).orderBy("doc_id").collect()], np.float32)
 
     chosen = ones.where(drawn(many, 1)).withColumnRenamed("doc_id", "one")  # at most about `sample` rows
-    positive = sampled(may.join(F.broadcast(chosen), F.col("doc_id").cast("long") == F.col("one"), "left_semi").select("doc_id", "text"))
-    unlabelled = sampled(may.where(drawn(rows, 2)).select("doc_id", "text"))
+    positive = sampled(may.join(F.broadcast(chosen), F.col("doc_id") == F.col("one"), "left_semi"))
+    unlabelled = sampled(may.where(drawn(rows, 2)))
     if not len(positive):
         return None
     if not len(unlabelled):
