@@ -90,6 +90,22 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.dedup_words(_table(spark, sf_dir, "documents"), window=13, batches=4)
 
 
+OP4_SQL = """
+WITH t AS (SELECT doc_id, encode(coalesce(text, '')) AS b FROM documents),
+n AS (SELECT doc_id, b, octet_length(b) AS n FROM t),
+win AS (SELECT doc_id, i, md5(array_slice(b, i + 1, i + 100)) AS k FROM (SELECT doc_id, b, unnest(range(0, n - 99)) AS i FROM n WHERE n >= 100)),
+first AS (SELECT k, min(struct_pack(d := doc_id, i := i)) AS f FROM win GROUP BY k),
+hit AS (SELECT doc_id, i, lag(i) OVER w AS before, lead(i) OVER w AS next FROM (SELECT win.doc_id, win.i FROM win JOIN first USING (k) WHERE win.doc_id > f.d OR win.i > f.i) WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+run AS (SELECT doc_id, i, least(100, coalesce(next - i, 100)) AS bytes, sum(CASE WHEN i <= before + 100 THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY i ROWS UNBOUNDED PRECEDING) AS r FROM hit),
+span AS (SELECT doc_id, r, min(i) AS lo, max(i) + 100 AS hi, sum(bytes) AS bytes FROM run GROUP BY doc_id, r),
+kept AS (SELECT doc_id, coalesce(lag(hi) OVER (PARTITION BY doc_id ORDER BY lo), 0) AS a, lo AS z FROM span UNION ALL SELECT s.doc_id, max(hi), max(n) FROM span s JOIN n ON n.doc_id = s.doc_id GROUP BY s.doc_id),
+texts AS (SELECT k.doc_id, string_agg(hex(array_slice(b, a + 1, z)), '' ORDER BY a) AS h FROM kept k JOIN n ON n.doc_id = k.doc_id WHERE z > a GROUP BY k.doc_id),
+sums AS (SELECT doc_id, CAST(sum(bytes) AS BIGINT) AS removed, count(*) AS spans FROM span GROUP BY doc_id)
+SELECT n.doc_id, CAST(n AS BIGINT) AS n_bytes, coalesce(removed, 0) AS n_removed, coalesce(spans, 0) AS n_spans, sha256(CASE WHEN removed IS NULL THEN b ELSE unhex(coalesce(h, '')) END) AS kept_sha256
+FROM n LEFT JOIN sums USING (doc_id) LEFT JOIN texts USING (doc_id)
+"""
+
+
 OP8_SQL = r"""
 WITH p AS (
   SELECT page_id,
@@ -133,4 +149,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_line_dedup": OP7_SQL, "op8_url_filter": OP8_SQL, "op9_embedding_dedup": OP9_SQL, "op10_substring_dedup": OP10_SQL}
+    return {"op4_suffix_dedup": OP4_SQL, "op7_line_dedup": OP7_SQL, "op8_url_filter": OP8_SQL, "op9_embedding_dedup": OP9_SQL, "op10_substring_dedup": OP10_SQL}

@@ -14,9 +14,11 @@ CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; only where that is unset (a local session) a temporary one."""
+    """The folder named by spark.checkpoint.dir; only in a local session where that is unset a temporary one."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = tempfile.mkdtemp(prefix="spark-shared-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -39,7 +41,10 @@ def drop_path(spark: SparkSession, path: str) -> None:
 
 @contextmanager
 def shuffles_removed(spark: SparkSession):
-    """Spark removes a query's shuffle files when the query ends, not when the driver's garbage is collected."""
+    """Spark removes a query's shuffle files when the query ends, not when the driver's garbage is collected.
+
+    The setting is the session's: a query that another thread plans meanwhile has it as well.
+    """
     before = spark.conf.get(CLEANUP, "false")
     spark.conf.set(CLEANUP, "true")
     try:
@@ -75,7 +80,10 @@ BATCHES = {"spark.sql.execution.arrow.maxBytesPerBatch": "4m", "spark.sql.execut
 
 
 def ship(df: DataFrame) -> DataFrame:
-    """df, for Python workers: they have this package, and get batches of texts by bytes, not by ten thousand rows."""
+    """df, for Python workers: they have this package, and get batches of texts by bytes, not by ten thousand rows.
+
+    The size of batches is a setting of the session and stays; df is planned only when it is run.
+    """
     for key, value in BATCHES.items():
         df.sparkSession.conf.set(key, value)
     return shipped(df)

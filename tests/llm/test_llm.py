@@ -143,6 +143,25 @@ def test_mixing(spark):
     assert max(levels) == pytest.approx(min(levels)) if levels else True
 
 
+def test_water_filling(spark):
+    """Targets against a plain loop: clamp what is above its cap, share the rest by weight, until none is."""
+    rng = np.random.default_rng(8)
+    for trial in range(6):
+        held, weight = rng.integers(1, 10 ** (1 + trial), 20).astype(float), rng.choice([1.0, 2.0, 3.0], 20)
+        share = (0.5, 1.5, 1.9, 2.0, 2.5, 1.5)[trial]
+        cap, target, free = 2 * held, np.zeros(20), np.ones(20, bool)
+        while free.any():
+            target[free] = weight[free] * (share * held.sum() - cap[~free].sum()) / weight[free].sum()
+            over = free & (target > cap)
+            target[over] = cap[over]
+            free &= ~over
+            if not over.any():
+                break
+        rows = spark.createDataFrame([(i, float(h), float(w)) for i, (h, w) in enumerate(zip(held, weight, strict=True))], "i int, held double, weight double")
+        got = {r.i: r.target for r in mixing.fill_targets(rows, share * held.sum(), 2.0).collect()}
+        assert [got[i] for i in range(20)] == pytest.approx(target.tolist())
+
+
 def test_mixing_odd(spark):
     mixed = mixing.mix(docs_of(spark, ODD, {5: None}))
     assert mixed.columns == docs_of(spark, ODD).columns
@@ -552,6 +571,43 @@ def test_vectors_odd(spark):
     assert sorted((r.vec_id or 0, r.n_links) for r in embedding_dedup.near_vectors(df).collect()) == [(0, 0), (1, 1), (1, 1)]
 
 
+# --- further columns, of whatever name
+
+
+CLASHES = ("doc", "k", "u", "v", "h", "g", "n", "last", "shard", "salt", "filter", "n_lines", "n_dropped", "node", "root", "set", "mark", "fp", "first", "one", "score", "features", "piece", "sequence_id", "next")
+
+
+def test_clashing_columns(spark):
+    """Operators that return other columns ignore further ones, and stages leave them as they are."""
+    import corpus_pipeline
+
+    path = queries.word_tokenizer()
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(30)], "doc_id long, quality int, toxic int")
+    plain = docs_of(spark, [*ODD, *[(i, f"{LINE}\nplain words {i % 9} here." if i % 2 else "LOUD!! $$$ ###") for i in range(20, 40)]])
+    more = plain.withColumns({c: F.lit(7) for c in CLASHES})
+    rows = lambda df: sorted(map(repr, df.collect()))
+    runs = [
+        lambda d: packing.pack(d, path, 64).select("doc_id", "piece", "length", "ids_crc32"), lambda d: suffix_dedup.dedup_bytes(d, 20, 2), lambda d: substring_dedup.dedup_words(d, 4, 2),
+        lambda d: simhash.near_groups(d, 4, 4), lambda d: quality.score_all(d, labels), lambda d: fingerprint.with_next(d, ["text"]).select("doc_id", "text", "next.text"),
+    ]
+    for run in runs:
+        assert rows(run(plain)) == rows(run(more))
+    for stage in (corpus_pipeline.lines, corpus_pipeline.near, corpus_pipeline.mix):
+        a, b = stage(spark, plain, SF), stage(spark, more, SF)
+        assert b.columns == more.columns and rows(a) == rows(b.select(a.columns)) and {tuple(r) for r in b.select(*CLASHES).distinct().collect()} == {(7,) * len(CLASHES)}
+    assert quality.accepted(more, labels).columns == more.columns
+    vectors = [(i, [1.0, float(i % 3)], 1) for i in range(9)]
+    plain = spark.createDataFrame(vectors, "vec_id long, embedding array<double>, label int")
+    assert rows(embedding_dedup.near_vectors(plain)) == rows(embedding_dedup.near_vectors(plain.withColumns({c: F.lit(7) for c in ("point", "cell", "vector", "copies", "unit", "a", "b", "links")})))
+
+
+def test_one_of_each_by_row(spark):
+    """Repeated rows leave one; a row that only shares its id with a copy stays; copies without ids count among themselves."""
+    texts = [(1, "a b c d e f g"), (1, "a b c d e f g"), (2, "A b c d e f  g"), (2, "other words that nobody else has"), (None, "no id here at all"), (None, "no id here at all"), (None, "a b c d e f g")]
+    got = sorted(((r.doc_id, r.text) for r in simhash.one_of_each(docs_of(spark, texts)).collect()), key=repr)
+    assert got == [(1, "a b c d e f g"), (2, "other words that nobody else has"), (None, "no id here at all")]
+
+
 # --- the pipeline
 
 
