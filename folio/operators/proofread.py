@@ -5,14 +5,18 @@ Lines lie in tables (book, page, ord, text). What a rule needs of a page comes f
 
 from __future__ import annotations
 
+import difflib
+import statistics
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from ..cluster import shipped
 from ..functions import text as T
-from .temporal import islands
+from .temporal import asof_join, islands
 
 # Shapes of lines, confused characters and their words, junk, and words that titles consist of.
 STRUCTURED = "^〔(图|图版页|空白页|脚注|KIT|页)"
@@ -37,6 +41,7 @@ BACK_TITLES = ["结语", "结论", "结束语", "后记", "再版后记", "译
 CONTENTS_HEAD = r"(?i)^(目\s*录|目\s*次|简\s*目|要\s*目|总\s*目|contents)\s*$"
 CONTENTS_ROW = r"^(.{2,60}?)[\s.·•…\-—]*?[(（]?(\d{1,4})[)）]?\s*$"
 SECTION_TITLE = r"^第\s*[0-9〇零一二三四五六七八九十百千]+\s*[节讲]"
+VOLUME = r"^第\s*[0-9〇零一二三四五六七八九十百千]+\s*编"
 FORBIDDEN = ["〔页", "〔图", "〔FIGURES", "〔脚注", "〔KIT", "http", "\n", "【", "〕"]
 CLOSED = "[。；：！？”）】》]"
 
@@ -120,25 +125,107 @@ def title_kind(c: Column) -> Column:
     return F.when((c != "") & (F.length(c) <= 40) & ~c.rlike(CONTENTS_ROW), kind)
 
 
-def detect_contents(lines: DataFrame) -> DataFrame:
-    """(book, page, ord, entry, printed): the entries of a book's contents.
+def contents_span(lines: DataFrame) -> DataFrame:
+    """(book, page): the pages of a book's contents.
 
-    Contents begin at the first page with their heading; the pages that follow belong to them as long as two lines and two
+    They begin at the first page with their heading; the pages that follow belong to them as long as two lines and two
     fifths of all are entries.
     """
-    head = F.col("text").rlike(CONTENTS_HEAD)
-    entry = F.col("text").rlike(CONTENTS_ROW) & ~head
+    head, entry = F.col("text").rlike(CONTENTS_HEAD), F.col("text").rlike(CONTENTS_ROW) & ~F.col("text").rlike(CONTENTS_HEAD)
     pages = lines.groupBy("book", "page").agg(F.max(head).alias("head"), F.count_if(entry).alias("hits"), F.count("*").alias("n"))
     first = pages.groupBy("book").agg(F.min(F.when(F.col("head"), F.col("page"))).alias("first"))
     pages = pages.join(first, "book").where("page >= first")
     broken = (F.col("page") > F.col("first")) & ~((F.col("hits") >= 2) & (F.col("hits") >= 0.4 * F.col("n")))
     ended = F.max(broken).over(W.partitionBy("book").orderBy("page").rowsBetween(W.unboundedPreceding, 0))
-    pages = pages.withColumn("ended", ended).where(~F.col("ended")).select("book", "page")
-    rows = lines.where(entry).join(pages, ["book", "page"])
+    return pages.withColumn("ended", ended).where(~F.col("ended")).select("book", "page")
+
+
+def detect_contents(lines: DataFrame) -> DataFrame:
+    """(book, page, ord, entry, printed): the entries of a book's contents."""
+    entry = F.col("text").rlike(CONTENTS_ROW) & ~F.col("text").rlike(CONTENTS_HEAD)
+    rows = lines.where(entry).join(contents_span(lines), ["book", "page"])
     title, printed = (F.regexp_extract("text", CONTENTS_ROW, i) for i in (1, 2))
     return rows.select("book", "page", "ord", T.trimmed(title).alias("entry"), printed.cast("int").alias("printed"))
 
 
+RULINGS = "book long, page int, old string, action string, title string"
+
+
+def scan_chapters(lines: DataFrame, rulings: DataFrame | None = None) -> DataFrame:
+    """(book, n, title, page, level, role, anchor): the chapters of a book by its lines.
+
+    Lines that are titles, but those in the contents. Two and more numbered ones on a page are quoted where the page has
+    a long line, and dropped; on a page of titles alone only volumes stay. Rulings (book, page, old, action, title), by the
+    first twelve characters of a title, drop, rename or add. Contents, and what stands before the first chapter, are chapters too.
+    """
+    span = contents_span(lines)
+    plain = F.length(F.regexp_replace("text", r"\s", ""))
+    on_page = W.partitionBy("book", "page")
+    rows = lines.join(span, ["book", "page"], "left_anti").withColumns({"kind": title_kind(F.col("text")), "long": F.max(plain >= 40).over(on_page)})
+    rows = rows.where("kind is not null").groupBy("book", "page", "text", "kind", "long").agg(F.min("ord").alias("ord"))
+    several = (F.count_if(F.col("kind") == "num").over(on_page) >= 2) & (F.col("kind") == "num")
+    rows = rows.withColumn("several", several).where(~F.col("several") | (~F.col("long") & F.col("text").rlike(VOLUME))).select("book", "page", "ord", "kind", F.col("text").alias("title"))
+    if rulings is not None:
+        key = F.left("title", F.lit(12))
+        by = rulings.select("book", "page", F.left("old", F.lit(12)).alias("key"), "action", F.col("title").alias("new"))
+        rows = rows.withColumn("key", key).join(by, ["book", "page", "key"], "left").where("action is null or action <> 'DROP'")
+        rows = rows.select("book", "page", "ord", "kind", "key", F.when(F.col("action") == "RENAME", F.col("new")).otherwise(F.col("title")).alias("title"))
+        added = by.where("action = 'ADD'").join(rows.select("book", "page", F.left("title", F.lit(12)).alias("key")), ["book", "page", "key"], "left_anti")
+        rows = rows.drop("key").unionByName(added.select("book", "page", F.lit(1 << 30).alias("ord"), F.lit("num").alias("kind"), F.col("new").alias("title")))
+    begins = F.min(F.when(F.col("kind") == "num", F.col("page"))).over(W.partitionBy("book"))
+    front = begins.isNull() | (F.col("page") < begins)
+    role = F.when(F.col("kind").isin("num", "sec"), "BODY").when((F.col("kind") == "front") & front, "FRONT").otherwise("BACK")
+    section = (F.col("kind") == "sec").cast("int")
+    rows = rows.select("book", "title", "page", (section + 1).alias("level"), role.alias("role"), (section + 1).alias("turn"), "ord")
+    listed = span.groupBy("book").agg(F.min("page").alias("page")).select("book", F.lit("目录").alias("title"), "page", F.lit(1).alias("level"), F.lit("TOC").alias("role"), F.lit(0).alias("turn"), F.lit(0).alias("ord"))
+    rows = rows.unionByName(listed)
+    books = lines.select("book").distinct().join(rows.groupBy("book").agg(F.min("page").alias("least")), "book", "left").where("least is null or least > 1")
+    opening = books.select("book", F.lit("开篇").alias("title"), F.lit(1).alias("page"), F.lit(1).alias("level"), F.lit("FRONT").alias("role"), F.lit(-1).alias("turn"), F.lit(0).alias("ord"))
+    rows = rows.unionByName(opening)
+    n = F.row_number().over(W.partitionBy("book").orderBy("page", "turn", "ord", "title")) - 1
+    return rows.select("book", n.alias("n"), "title", "page", "level", "role", F.left("title", F.lit(8)).alias("anchor"))
+
+
+def _bare(c: Column) -> Column:
+    return F.regexp_replace(c, r"[\s·•.。:：、，,;；\-—…（）()「」『』〔〕\[\]]+", "")
+
+
+def reconcile(lines: DataFrame, chapters: DataFrame, entries: DataFrame) -> DataFrame:
+    """(book, kind, page, what): contents entries without a chapter, numbers left out, and chapters with hardly a text.
+
+    An entry has the chapter most like it, from a likeness of 0.55 on; what it would be on is reckoned by the offset that
+    most of those with one have. chapters as of scan_chapters(), entries as of detect_contents(); both are short for a book.
+    """
+    pool = chapters.where("role <> 'TOC'").groupBy("book").agg(F.sort_array(F.collect_list(F.struct("n", _bare(F.col("title")).alias("title"), "page"))).alias("pool"))
+    asked = entries.groupBy("book").agg(F.sort_array(F.collect_list(F.struct("page", "ord", "entry", _bare(F.col("entry")).alias("bare"), "printed"))).alias("entries"))
+
+    def run(batches):
+        for pdf in batches:
+            out = []
+            for r in pdf.itertuples():
+                best = {}
+                for i, e in enumerate(r.entries):
+                    found = [(difflib.SequenceMatcher(None, e["bare"], c["title"]).ratio(), -j) for j, c in enumerate(r.pool if r.pool is not None else [])]
+                    if e["bare"] and found:
+                        best[i] = max(found)
+                near = {i: -j for i, (ratio, j) in best.items() if ratio >= 0.55}
+                offsets = [int(r.pool[j]["page"] - r.entries[i]["printed"]) for i, j in near.items()]
+                offset = statistics.mode(offsets) if offsets else None
+                out += [(r.book, "toc_miss", None if offset is None else int(e["printed"]) + offset, e["entry"]) for i, e in enumerate(r.entries) if i not in near]
+            yield pd.DataFrame(out, columns=["book", "kind", "page", "what"]).astype({"page": "Int32"})
+
+    missed = shipped(asked.join(pool, "book", "left")).mapInPandas(run, "book long, kind string, page int, what string")
+    first = chapters.where("level = 1 and role <> 'TOC'")
+    numbers = first.where("role = 'BODY'").withColumn("number", T.zh_to_int(F.regexp_extract("title", NUMBERED_TITLE, 1))).where("number > 0").groupBy("book").agg(F.collect_list("number").alias("all"), F.collect_set("number").alias("set"))
+    gaps = numbers.where("size(all) >= 2 and size(all) = size(set)").select("book", F.explode(F.array_except(F.sequence(F.array_min("set"), F.array_max("set")), "set")).alias("miss"))
+    gaps = gaps.select("book", F.lit("gap").alias("kind"), F.lit(None).cast("int").alias("page"), F.col("miss").cast("string").alias("what"))
+    chars = lines.groupBy("book", "page").agg(F.sum(F.length(F.regexp_replace("text", r"\s", ""))).alias("chars"))
+    heads = chapters.where("level = 1").select("book", F.col("page").alias("start"), (-F.col("n")).alias("minus"))
+    held = asof_join(chars, heads, "book", "page", "start", ["minus"]).groupBy("book", (-F.col("minus")).alias("n")).agg(F.sum("chars").alias("chars"))
+    thin = first.where("role = 'BODY'").join(held, ["book", "n"], "left").where("coalesce(chars, 0) < 50").select("book", F.lit("thin").alias("kind"), "page", F.col("title").alias("what"))
+    return missed.unionByName(gaps).unionByName(thin)
+
+
 def contents_entries(lines: DataFrame) -> DataFrame:
     """(book, page, entry, text): a contents page's lines put together to entries, each closed by a line with its page.
 

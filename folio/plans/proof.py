@@ -136,6 +136,31 @@ def contents(t):
     return P.detect_contents(t("han"))
 
 
+_KIND = ORACLES["F43_title_kind"][ORACLES["F43_title_kind"].index("CASE WHEN text = ''") : ORACLES["F43_title_kind"].rindex(" AS v FROM han")]
+
+
+@query(
+    "C24_scanned_chapters",
+    rf"""WITH pg AS (SELECT book, page, bool_or(regexp_matches(text, '{P.CONTENTS_HEAD}')) AS head, count(*) FILTER (regexp_matches(text, '{P.CONTENTS_ROW}') AND NOT regexp_matches(text, '{P.CONTENTS_HEAD}')) AS hits, count(*) AS n, bool_or(length(regexp_replace(text, '\s', '', 'g')) >= 40) AS long FROM han GROUP BY 1, 2),
+    f AS (SELECT book, min(page) AS first FROM pg WHERE head GROUP BY 1), b AS (SELECT pg.book, min(page) AS stop FROM pg JOIN f ON f.book = pg.book WHERE page > first AND NOT (hits >= 2 AND hits >= 0.4 * n) GROUP BY 1),
+    toc AS (SELECT pg.book, pg.page FROM pg JOIN f ON f.book = pg.book LEFT JOIN b ON b.book = pg.book WHERE page >= first AND (stop IS NULL OR page < stop)),
+    c AS (SELECT h.book, h.page, text AS title, min(ord) AS ord, {_KIND} AS kind FROM han h WHERE NOT EXISTS (SELECT 1 FROM toc WHERE toc.book = h.book AND toc.page = h.page) GROUP BY h.book, h.page, text),
+    k AS (SELECT c.*, long, count(*) FILTER (kind = 'num') OVER (PARTITION BY c.book, c.page) AS nums FROM c JOIN pg ON pg.book = c.book AND pg.page = c.page WHERE kind IS NOT NULL),
+    kept AS (SELECT *, min(CASE WHEN kind = 'num' THEN page END) OVER (PARTITION BY book) AS begins FROM k WHERE NOT (kind = 'num' AND nums >= 2) OR (NOT long AND regexp_matches(title, '{P.VOLUME}'))),
+    u AS (SELECT book, title, page, CASE WHEN kind = 'sec' THEN 2 ELSE 1 END AS level, CASE WHEN kind IN ('num', 'sec') THEN 'BODY' WHEN kind = 'front' AND (begins IS NULL OR page < begins) THEN 'FRONT' ELSE 'BACK' END AS role, CASE WHEN kind = 'sec' THEN 2 ELSE 1 END AS turn, ord FROM kept
+      UNION ALL SELECT book, '目录', min(page), 1, 'TOC', 0, 0 FROM toc GROUP BY book),
+    o AS (SELECT * FROM u UNION ALL SELECT h.book, '开篇', 1, 1, 'FRONT', -1, 0 FROM (SELECT DISTINCT book FROM han) h LEFT JOIN (SELECT book, min(page) AS least FROM u GROUP BY 1) l ON l.book = h.book WHERE least IS NULL OR least > 1)
+    SELECT book, CAST(row_number() OVER (PARTITION BY book ORDER BY page, turn, ord, title) - 1 AS INT) AS n, title, page, level, role, left(title, 8) AS anchor FROM o""",
+)
+def scanned(t):
+    return P.scan_chapters(t("han"))
+
+
+@query("C25_reconciled")
+def reconciled(t):
+    return P.reconcile(t("han"), P.scan_chapters(t("han")), P.detect_contents(t("han")))
+
+
 @query("F20_contents_entries")
 def entries(t):
     return P.contents_entries(t("han"))

@@ -182,6 +182,14 @@ def risk(t):
     return t("review_items").where("NOT done").withColumn("r", F.round(S.retrievability(F.col("fsrs_stability"), F.col("last_review_at"), F.lit(850_000_000_000)), 9)).orderBy("r", "due_at", "id").select("id", "r")
 
 
+@query("T10_capped_lists", "WITH r AS (SELECT book_id, title, row_number() OVER (PARTITION BY book_id ORDER BY idx) AS k FROM chapters) SELECT book_id, string_agg(left(title, 9), '|' ORDER BY k) AS titles FROM r WHERE k <= 5 GROUP BY 1")
+def capped(t):
+    """At most five titles of a book, each of at most nine characters: rows are capped before they are gathered."""
+    nth = F.row_number().over(W.partitionBy("book_id").orderBy("idx"))
+    first = t("chapters").withColumn("k", nth).where("k <= 5").groupBy("book_id").agg(F.sort_array(F.collect_list(F.struct("k", F.left("title", F.lit(9)).alias("t")))).alias("l"))
+    return first.select("book_id", F.array_join(F.transform("l", lambda x: x["t"]), "|").alias("titles"))
+
+
 @query("C28_wrong_rows", "SELECT q.id, q.chapter_id, CASE q_index WHEN 0 THEN 'one' WHEN 1 THEN 'two' WHEN 2 THEN 'three' END AS question, answer FROM (SELECT * FROM quiz_attempts QUALIFY row_number() OVER (PARTITION BY chapter_id, q_index ORDER BY created_at DESC, id DESC) = 1) q JOIN chapter_assets a ON a.chapter_id = q.chapter_id WHERE verdict = 'WRONG'")
 def wrong_rows(t):
     from .study import latest_attempts

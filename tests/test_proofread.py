@@ -61,6 +61,27 @@ def test_contents(spark):
     assert [t for _, t in got] == ["第一节请求权……107", "第二节 抗辩…… 159", "后记"]
 
 
+def test_chapters_of_a_book(spark):
+    """Titles, quoted ones, volumes, rulings; then entries without a chapter, gaps and thin chapters."""
+    body = "正文" * 30
+    pages = {
+        1: ["封面"], 2: ["目 录", "第一章 总则 1", "第二章 债法 5", "第五章 物权 9"], 3: ["前言", body], 4: ["第一章 总则", "第一节 起点", body],
+        5: ["第七章 引述", "第八章 引述", body], 6: ["第二编 分则", "第三章 扉页"], 8: ["第二章 债法", body], 9: ["第四章 薄", "少"], 10: ["后记", body], 11: ["前言", body],
+    }
+    lines = spark.createDataFrame([(1, p, i, t) for p, texts in pages.items() for i, t in enumerate(texts)], LINE)
+    rulings = spark.createDataFrame([(1, 10, "后记", "RENAME", "后记一"), (1, 11, "前言", "DROP", ""), (1, 7, "补章", "ADD", "补章")], P.RULINGS)
+    chapters = P.scan_chapters(lines, rulings)
+    got = [(r.title, r.page, r.level, r.role) for r in sorted(chapters.collect(), key=lambda r: r.n)]
+    assert got == [
+        ("开篇", 1, 1, "FRONT"), ("目录", 2, 1, "TOC"), ("前言", 3, 1, "FRONT"), ("第一章 总则", 4, 1, "BODY"), ("第一节 起点", 4, 2, "BODY"), ("第二编 分则", 6, 1, "BODY"), ("补章", 7, 1, "BODY"),
+        ("第二章 债法", 8, 1, "BODY"), ("第四章 薄", 9, 1, "BODY"), ("后记一", 10, 1, "BACK"),
+    ]
+    warnings = sorted((r.kind, r.page, r.what) for r in P.reconcile(lines, P.scan_chapters(lines), P.detect_contents(lines)).where("kind <> 'gap'").collect())
+    assert warnings == [("thin", 6, "第二编 分则"), ("thin", 9, "第四章 薄"), ("toc_miss", 12, "第五章 物权")]
+    numbered = spark.createDataFrame([(1, p, 0, f"第{z}章 甲") for p, z in ((1, "一"), (2, "二"), (4, "五"))] + [(1, 1, 1, body), (1, 2, 1, body), (1, 4, 1, body)], LINE)
+    assert [(r.kind, r.what) for r in P.reconcile(numbered, P.scan_chapters(numbered), P.detect_contents(numbered)).orderBy("what").collect()] == [("gap", "3"), ("gap", "4")]
+
+
 def test_edits(spark):
     lines = spark.createDataFrame([(1, 1, 0, "甲乙丙"), (1, 1, 1, "甲丁"), (1, 1, 2, "〔图：戊〕"), (1, 1, 3, "删去")], LINE)
     edits = [(1, 1, 0, "乙", "己"), (1, 1, 1, "甲", "庚"), (1, 1, 2, "戊", "辛"), (1, 1, 3, "删去", ""), (1, 1, 4, "丁", "丁丁丁丁丁丁"), (1, 1, 5, "乙", "壬")]
