@@ -309,3 +309,51 @@ def sample_size(width: Column, height: Column, wanted_width: Column, wanted_heig
     fits = F.least(F.floor(half_w / wanted_width), F.floor(half_h / wanted_height))
     doubled = F.when(fits >= 1, F.pow(F.lit(2), F.floor(F.log2(fits.cast("double") + 0.5)) + 1)).otherwise(F.lit(1))
     return F.when((width > wanted_width) | (height > wanted_height), doubled).otherwise(F.lit(1)).cast("int")
+
+
+# Marks of a bad text layer, and what a sentence may end in.
+BAD_MARKS, CLOSES = "[＠｛｝｀＼｜〜�]", "[。！？；…”』」）】》?!;.：:]$"
+
+
+def page_scores(lines: DataFrame, traditional: str = "", bands: DataFrame | None = None) -> DataFrame:
+    """(book, page, bad, quotes, short, open_ended, score) of every page, the higher the worse.
+
+    bad: places that the repairs change, and bad marks; quotes: longer lines with unequal quotes; short and open_ended:
+    lines of one to three characters, and longer ones without an end, but for headings and marks. bands (book, page, n):
+    figures found on a page, which count where no placeholder stands for them.
+    """
+    t, free = F.col("text"), ~F.col("text").startswith("〔") & ~_heading(F.col("text"))
+    quoted = F.regexp_count(t, F.lit("“")) != F.regexp_count(t, F.lit("”"))
+    joined = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("ord", "text"))), lambda s: s["text"]), "\n")
+    pages = lines.groupBy("book", "page").agg(
+        joined.alias("whole"), F.count_if((F.length(t) >= 8) & quoted).alias("quotes"), F.count_if(F.length(t).between(1, 3) & free).alias("short"),
+        F.count_if((F.length(t) >= 15) & free & ~t.rlike(CLOSES)).alias("open_ended"), F.count_if(t.startswith("〔图")).alias("figures"),
+    )
+    changed = F.size(F.filter(F.zip_with(F.split("whole", ""), F.split(fix_ocr(F.col("whole")), ""), lambda a, b: a != b), lambda x: x))
+    pages = pages.withColumns({"bad": changed + F.regexp_count("whole", F.lit(BAD_MARKS)), "foreign": F.regexp_count("whole", F.lit(f"[{traditional}]")) if traditional else F.lit(0)})
+    opened = F.lit(0)
+    if bands is not None:
+        pages = pages.join(bands.select("book", "page", "n"), ["book", "page"], "left")
+        opened = F.greatest(F.lit(0), F.coalesce("n", F.lit(0)) - F.col("figures"))
+    score = 3 * opened + 2 * F.col("bad") + 2 * F.col("foreign") + F.col("quotes") + 0.5 * F.col("short") + 0.5 * F.col("open_ended")
+    return pages.select("book", "page", "bad", "quotes", "short", "open_ended", score.cast("double").alias("score"))
+
+
+def gate_reasons(lines: DataFrame, wanted: DataFrame, least: int = 100) -> DataFrame:
+    """(batch, reason): the first gate that a batch's text fails: repeated, pages, disorder, garbled, few, unreadable; null for none.
+
+    lines: batch, ord, text, with a mark line before each page; wanted: batch, pages (the pages it should have).
+    """
+    mark = F.regexp_extract("text", T.PAGE_MARK, 1)
+    plain = F.when(mark == "", F.regexp_replace("text", r"\s", "")).otherwise("")
+    b = lines.groupBy("batch").agg(
+        F.transform(F.sort_array(F.collect_list(F.when(mark != "", F.struct("ord", mark.cast("int").alias("p"))))), lambda s: s["p"]).alias("got"), F.max(F.contains("text", F.lit("�"))).alias("garbled"),
+        F.sum(F.length(plain)).alias("chars"), F.sum(F.regexp_count(plain, F.lit("[一-鿿A-Za-z0-9]"))).alias("readable"),
+    )
+    b = wanted.join(b, "batch", "left").withColumn("got", F.coalesce("got", F.array().cast("array<int>")))
+    apart = (F.size(F.array_except("pages", "got")) > 0) | (F.size(F.array_except("got", "pages")) > 0)
+    reason = (
+        F.when(F.size(F.array_distinct("got")) < F.size("got"), "repeated").when(apart, "pages").when(F.sort_array("got") != F.col("got"), "disorder").when(F.col("garbled"), "garbled")
+        .when(F.col("chars") < least * F.size("pages"), "few").when(F.col("readable") * 2 < F.greatest("chars", F.lit(1)), "unreadable")
+    )
+    return b.select("batch", reason.alias("reason"))

@@ -72,3 +72,22 @@ def learner_context(wrong: Column, asked: Column, memos: Column) -> Column:
 def page_blocks(pages: DataFrame, blocks: DataFrame) -> DataFrame:
     """Pages (book, page) with the block (book, first, last, kind) whose interval holds them; equi-join on the book, then a range."""
     return pages.join(blocks, "book").where("page between first and last").select("book", "page", "kind")
+
+
+# Shares of a page and points that make a figure its background, an ornament or a running mark.
+BLEED_AREA, BLEED_EDGE, ORNAMENT_EDGE, ORNAMENT_AREA, MARK_PAGES, MARK_SHIFT = 0.85, 0.9, 40.0, 0.02, 3, 0.02
+
+
+def figure_rules(figures: DataFrame) -> DataFrame:
+    """Figures (key, page, x, y, w, h, page_w, page_h) with reason: R1 the page's background, R2 an ornament, R3 a mark at one place of three pages and more; else null."""
+    known = (F.col("page_w") > 0) & (F.col("page_h") > 0)
+    area, of = F.col("w") * F.col("h"), F.col("page_w") * F.col("page_h")
+    bleed = known & (F.col("w") >= 0) & (F.col("h") >= 0) & ((area / of >= BLEED_AREA) | ((F.col("w") / F.col("page_w") >= BLEED_EDGE) & (F.col("h") / F.col("page_h") >= BLEED_EDGE)))
+    ornament = known & ((F.col("w") < ORNAMENT_EDGE) | (F.col("h") < ORNAMENT_EDGE) | (area < ORNAMENT_AREA * of))
+    place = F.struct((F.col("x") / F.col("page_w")).alias("x"), (F.col("y") / F.col("page_h")).alias("y"), (F.col("w") / F.col("page_w")).alias("w"))
+    first = figures.where(known).groupBy("key").agg(F.min_by(place, F.struct("page", "x", "y")).alias("first"), F.countDistinct("page").alias("pages"))
+    rows = figures.join(first.where(F.col("pages") >= MARK_PAGES), "key", "left")
+    near = (F.abs(F.col("x") / F.col("page_w") - F.col("first.x")) <= MARK_SHIFT) & (F.abs(F.col("y") / F.col("page_h") - F.col("first.y")) <= MARK_SHIFT) & (F.abs(F.col("w") / F.col("page_w") - F.col("first.w")) <= MARK_SHIFT)
+    far = rows.where(F.col("first").isNotNull()).groupBy("key").agg(F.bool_and(near).alias("mark"))
+    reason = F.when(bleed, "R1").when(ornament, "R2").when(F.coalesce("mark", F.lit(False)), "R3")
+    return figures.join(far, "key", "left").select(*figures.columns, reason.alias("reason"))

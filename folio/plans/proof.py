@@ -8,6 +8,7 @@ from ..functions import text as T
 from ..operators import documents as D
 from ..operators import kit as K
 from ..operators import proofread as P
+from ..operators import review as V
 from ..sources.roles import oracle, table
 
 QUERIES: dict = {}
@@ -232,3 +233,47 @@ def eta(t):
 @query("M08_sample_size", "SELECT id, CASE WHEN y < 1 THEN 1 ELSE CAST(CASE WHEN floor(y) <= 100 AND floor(y * 1.5) <= 120 THEN 1 WHEN least(floor(floor(floor(y) / 2) / 100), floor(floor(floor(y * 1.5) / 2) / 120)) < 1 THEN 1 ELSE 2 ** (length(bin(CAST(least(floor(floor(floor(y) / 2) / 100), floor(floor(floor(y * 1.5) / 2) / 120)) AS BIGINT)))) END AS INT) END AS size FROM figures")
 def sample(t):
     return t("figures").select("id", P.sample_size(F.floor("y"), F.floor(F.col("y") * 1.5), F.lit(100), F.lit(120)).alias("size"))
+
+
+_FIXED_OCR = ORACLES["F35_fix_ocr"][ORACLES["F35_fix_ocr"].rindex("regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text") : ORACLES["F35_fix_ocr"].rindex(" AS v FROM han")]
+_FREE = f"NOT starts_with(text, '〔') AND NOT regexp_matches(text, '{P.CHAPTER_LINE}') AND NOT regexp_matches(text, '{P.SECTION_LINE}') AND NOT regexp_matches(text, '{P.SUB_LINE}')"
+
+
+@query(
+    "A14_page_scores",
+    rf"""WITH g AS (SELECT book, page, string_agg(text, chr(10) ORDER BY ord) AS text, count(*) FILTER (length(text) >= 8 AND length(text) - length(replace(text, '“', '')) <> length(text) - length(replace(text, '”', ''))) AS quotes,
+    count(*) FILTER (length(text) BETWEEN 1 AND 3 AND {_FREE}) AS short, count(*) FILTER (length(text) >= 15 AND {_FREE} AND NOT regexp_matches(text, '{P.CLOSES}')) AS open_ended FROM han GROUP BY 1, 2),
+    f AS (SELECT *, {_FIXED_OCR} AS fixed FROM g), b AS (SELECT *, len(list_filter(list_zip(string_split(text, ''), string_split(fixed, ''), true), lambda x: x[1] <> x[2])) + len(regexp_extract_all(text, '{P.BAD_MARKS}')) AS bad FROM f)
+    SELECT book, page, CAST(bad AS INT) AS bad, quotes, short, open_ended, CAST(2 * bad + quotes + 0.5 * short + 0.5 * open_ended AS DOUBLE) AS score FROM b""",
+)
+def page_scores(t):
+    return P.page_scores(t("han"))
+
+
+@query(
+    "A15_gate_reasons",
+    rf"""WITH p AS (SELECT book, page, CAST(floor((page - 1) / 3) AS INT) AS part, sum(length(regexp_replace(text, '\s', '', 'g'))) AS chars, sum(len(regexp_extract_all(regexp_replace(text, '\s', '', 'g'), '[{_HAN[1:-1]}A-Za-z0-9]'))) AS readable, bool_or(contains(text, chr(65533))) AS garbled FROM han GROUP BY 1, 2),
+    b AS (SELECT book, part, count(*) AS n, sum(chars) AS chars, sum(readable) AS readable, bool_or(garbled) AS garbled, bool_or(page % 3 = 2) AS second FROM p GROUP BY 1, 2)
+    SELECT book * 1000 + part AS batch, CASE WHEN book % 7 = 3 THEN 'repeated' WHEN book % 5 = 1 AND second THEN 'pages' WHEN garbled THEN 'garbled' WHEN chars < 100 * n THEN 'few' WHEN readable * 2 < greatest(chars, 1) THEN 'unreadable' END AS reason FROM b""",
+)
+def gates(t):
+    """Batches of three pages with marks, some of them repeated or left out."""
+    batch = (F.col("book") * 1000 + F.floor((F.col("page") - 1) / 3)).alias("batch")
+    han = t("han")
+    pages = han.select("book", "page").distinct()
+    place = lambda c: (F.col("page") * 1000 + c).alias("ord")
+    mark = F.concat(F.lit("〔页"), F.col("page").cast("string"), F.lit("〕")).alias("text")
+    marks = pages.where("not (book % 5 = 1 and page % 3 = 2)").select(batch, place(F.lit(0)), mark).unionByName(pages.where("book % 7 = 3 and page % 3 = 1").select(batch, place(F.lit(900)), mark))
+    lines = han.select(batch, place(F.col("ord") + 1), "text").unionByName(marks)
+    return P.gate_reasons(lines, pages.groupBy(batch).agg(F.sort_array(F.collect_list("page")).alias("pages")))
+
+
+@query(
+    "P11_figure_rules",
+    """WITH f AS (SELECT id, md5 AS key, page_no AS page, y % 50 AS x, y % 300 AS y, y % 620 AS w, (y * 7) % 850 AS h FROM figures), c AS (SELECT key, arg_min(struct_pack(x := x / 612.0, y := y / 792.0, w := w / 612.0), struct_pack(page := page, x := x, y := y)) AS first, count(DISTINCT page) AS pages FROM f GROUP BY 1),
+    m AS (SELECT f.key, bool_and(abs(f.x / 612.0 - first.x) <= 0.02 AND abs(f.y / 792.0 - first.y) <= 0.02 AND abs(f.w / 612.0 - first.w) <= 0.02) AS mark FROM f JOIN c ON c.key = f.key WHERE pages >= 3 GROUP BY 1)
+    SELECT id, CASE WHEN w * h / (612.0 * 792.0) >= 0.85 OR (w / 612.0 >= 0.9 AND h / 792.0 >= 0.9) THEN 'R1' WHEN w < 40 OR h < 40 OR w * h < 0.02 * 612.0 * 792.0 THEN 'R2' WHEN mark THEN 'R3' END AS reason FROM f LEFT JOIN m ON m.key = f.key""",
+)
+def figure_rules(t):
+    f = t("figures").select("id", F.col("md5").alias("key"), F.col("page_no").alias("page"), (F.col("y") % 50).alias("x"), (F.col("y") % 300).alias("y"), (F.col("y") % 620).alias("w"), (F.col("y") * 7 % 850).alias("h"), F.lit(612.0).alias("page_w"), F.lit(792.0).alias("page_h"))
+    return V.figure_rules(f).select("id", "reason")

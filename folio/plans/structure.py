@@ -332,18 +332,6 @@ def running_headers(t):
     return top.where("norm <> ''").groupBy("norm").agg(F.count("*").alias("pages")).where("pages >= 3")
 
 
-@query(
-    "A14_page_scores",
-    "SELECT book, page, CAST(3.0 * count(*) FILTER (contains(text, '  ')) + 2.0 * count(*) FILTER (contains(text, '|')) + 0.5 * count(*) FILTER (length(text) BETWEEN 1 AND 5) + 0.5 * count(*) FILTER (length(text) > 0 AND NOT regexp_matches(text, '[.!?]$')) AS DOUBLE) AS score FROM page_lines GROUP BY 1, 2",
-)
-def page_scores(t):
-    """Weighted counts of what looks wrong on a page; the worst pages come first."""
-    c = F.col("text")
-    n = lambda x: F.count_if(x)
-    score = 3.0 * n(c.contains("  ")) + 2.0 * n(c.contains("|")) + 0.5 * n(F.length(c).between(1, 5)) + 0.5 * n((F.length(c) > 0) & ~c.rlike("[.!?]$"))
-    return t("page_lines").groupBy("book", "page").agg(score.alias("score")).orderBy(F.desc("score"), "book", "page")
-
-
 @query(
     "A15_batch_gates",
     "WITH b AS (SELECT book_id, CAST(floor(page_no / 50) AS INT) AS batch, list_sort(list(DISTINCT page_no)) AS got, count(*) AS n, min(page_no) AS lo, max(page_no) AS hi FROM vision_queue WHERE status = 'DONE' GROUP BY 1, 2) SELECT book_id, batch, n - len(got) AS repeated, hi - lo + 1 - len(got) AS missing FROM b",
