@@ -12,7 +12,7 @@ The index is log-structured: each batch of documents (later batches hold larger
 its anchors; the batch is merge-joined with the runs before it; runs of like size are merged.
 
 Hashes from prefix sums only choose anchors and gather what may be equal. What counts as equal is equal by its bytes, or
-by the 128 bits of their BLAKE2b digest.
+by BLAKE2b digests of them: windows by 128 bits, stretches by 64 beside the 64-bit hash of their gram.
 """
 
 from __future__ import annotations
@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from .store import bucketed, drop_path, materialize, new_path, ship
 from .tokens import ByteHash, text_blocks
 
-ANCHORS = "k long, u long, v long, doc long"
+ANCHORS = "u long, v long, doc long"
 _ODD = np.uint64(0x9FB21C651E98DF25)
 #: Rows whose suffixes are sorted at a time.
 CHUNK = 1 << 15
@@ -87,6 +87,10 @@ class Stretches:
     def take(self, which: np.ndarray) -> Stretches:
         return Stretches(self.k[which], self.at[which], self.lo[which], self.hi[which], self.doc[which])
 
+    def codes(self, symbols: Symbols, window: int) -> np.ndarray:
+        """What a stretch is known by: its gram's hash, and 64 bits of its bytes' digest."""
+        return np.stack([self.k.view(np.int64), symbols.digests(self.lo, self.hi + window)[:, 1]], axis=1)
+
 
 def _mix(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(32))) * _ODD
@@ -160,7 +164,7 @@ def _find(wanted: tuple[np.ndarray, ...], known: tuple[np.ndarray, ...]) -> np.n
     """Which row of known (doc, u, v) each row of wanted is, -1 for none."""
     if not len(known[0]) or not len(wanted[0]):
         return np.full(len(wanted[0]), -1)
-    tags = [_mix(u.astype(np.uint64) ^ (doc.astype(np.uint64) + np.uint64(1)) * _ODD) for doc, u, _ in (wanted, known)]
+    tags = [_mix(_mix(u.astype(np.uint64)) ^ v.astype(np.uint64) ^ (doc.astype(np.uint64) + np.uint64(1)) * _ODD) for doc, u, v in (wanted, known)]
     order = np.argsort(tags[1], kind="stable")
     at = order[np.minimum(np.searchsorted(tags[1][order], tags[0]), len(order) - 1)]
     return np.where(np.all([w == k[at] for w, k in zip(wanted, known, strict=True)], axis=0), at, -1)
@@ -178,7 +182,7 @@ def _digests_in(column: pa.ListArray) -> tuple[np.ndarray, np.ndarray, np.ndarra
 
 
 def anchors(docs: DataFrame, spec: Spec) -> DataFrame:
-    """(k, u, v, doc): the gram and the digest of the stretch of every anchor, once for each document."""
+    """(u, v, doc): the gram's hash and the stretch's digest of every anchor, once for each document."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = Reader(spec)
@@ -187,10 +191,10 @@ def anchors(docs: DataFrame, spec: Spec) -> DataFrame:
             for a, b, texts in text_blocks(batch.column("text")):
                 symbols = reader.symbols(texts)
                 found = reader.stretches(symbols)
-                digest = symbols.digests(found.lo, found.hi + spec.window)
-                once = _first_of_equals(found.doc, digest[:, 0], digest[:, 1])
-                columns = [found.k[once].view(np.int64), digest[once, 0], digest[once, 1], ids[a:b][found.doc[once]]]
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["k", "u", "v", "doc"])
+                code = found.codes(symbols, spec.window)
+                once = _first_of_equals(found.doc, code[:, 0], code[:, 1])
+                columns = [code[once, 0], code[once, 1], ids[a:b][found.doc[once]]]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["u", "v", "doc"])
 
     return ship(docs).select("doc", "text").mapInArrow(emit, ANCHORS)
 
@@ -202,7 +206,7 @@ def _wanted(reader: Reader, symbols: Symbols, column: pa.ListArray) -> tuple[Str
     listed = _digests_in(column)
     named[listed[0]] = True
     found = found.take(np.flatnonzero(named[found.doc]))
-    digest = symbols.digests(found.lo, found.hi + reader.spec.window)
+    digest = found.codes(symbols, reader.spec.window)
     which = np.flatnonzero(_find((found.doc, digest[:, 0], digest[:, 1]), listed) >= 0)
     return found.take(which), digest[which]
 
@@ -225,11 +229,11 @@ def windows_of(docs: DataFrame, spec: Spec, column: str) -> DataFrame:
     return ship(docs).select("doc", "text", column).mapInArrow(emit, "u long, v long, doc long")
 
 
-SUFFIXES = "k long, doc long, u long, v long, at int, bytes binary"
+SUFFIXES = "doc long, u long, v long, at int, bytes binary"
 
 
 def suffixes_of(docs: DataFrame, spec: Spec, column: str) -> DataFrame:
-    """(k, doc, u, v, at, bytes): the bytes of the stretches of docs (doc, text, column) named there, and where in them the anchor is."""
+    """(doc, u, v, at, bytes): the bytes of the stretches of docs (doc, text, column) named there, and where in them the anchor is."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = Reader(spec)
@@ -242,8 +246,8 @@ def suffixes_of(docs: DataFrame, spec: Spec, column: str) -> DataFrame:
                 found, digest = found.take(once), digest[once]
                 lo, hi = symbols.span(found.lo, found.hi + spec.window)
                 data = pa.array([symbols.buffer[x:y] for x, y in zip(lo.tolist(), hi.tolist(), strict=True)], pa.binary())
-                columns = [pa.array(found.k.view(np.int64)), pa.array(ids[a:b][found.doc]), pa.array(digest[:, 0]), pa.array(digest[:, 1]), pa.array((found.at - found.lo).astype(np.int32)), data]
-                yield pa.RecordBatch.from_arrays(columns, names=["k", "doc", "u", "v", "at", "bytes"])
+                columns = [pa.array(ids[a:b][found.doc]), pa.array(digest[:, 0]), pa.array(digest[:, 1]), pa.array((found.at - found.lo).astype(np.int32)), data]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc", "u", "v", "at", "bytes"])
 
     return ship(docs).select("doc", "text", column).mapInArrow(emit, SUFFIXES)
 
@@ -308,7 +312,7 @@ def scan(suffixes: DataFrame, spec: Spec) -> DataFrame:
         def take(last: bool) -> Iterator[pa.RecordBatch]:
             nonlocal held, rows
             table = pa.Table.from_batches(held).combine_chunks()
-            k = table.column("k").to_numpy()
+            k = table.column("u").to_numpy()
             end = len(k) if last else int(np.searchsorted(k, k[-1]))  # the last gram may go on
             rest = table.slice(end)
             held, rows = rest.to_batches(), len(rest)
@@ -334,7 +338,7 @@ def scan(suffixes: DataFrame, spec: Spec) -> DataFrame:
         if rows:
             yield from take(True)
 
-    return suffixes.repartition("k").sortWithinPartitions("k").mapInArrow(emit, "doc long, u long, v long, bits binary")
+    return suffixes.repartition("u").sortWithinPartitions("u").mapInArrow(emit, "doc long, u long, v long, bits binary")
 
 
 class RepeatIndex:
@@ -365,27 +369,29 @@ class RepeatIndex:
         """
         spark, path = docs.sparkSession, new_path(docs.sparkSession, "repeat-run")
         run = materialize(anchors(docs, self.spec), path=path)
-        held = run
+        held = run.withColumn("own", F.lit(True))
         for _, level, _ in self.levels:
-            held = held.unionByName(level)
-        # written apart from the join that uses it, so that the shuffle files of one are gone before the other's
-        twice = self._hold(held.groupBy("k").count().where("count > 1").select("k"), "repeat-twice")
-        shared = self._hold(held.join(twice, "k"), "repeat-shared")
-        if not last:
-            self._push(run, path)
-        else:
-            drop_path(spark, path)
-        classes = self._hold(shared.groupBy("k", "u", "v").agg(F.min("doc").alias("first")), "repeat-classes")
-        classes = classes.join(classes.groupBy("k").agg(F.count("*").alias("several")), "k").select("u", "v", "first", "several")
-        coded = shared.select("u", "v", "doc").join(classes, ["u", "v"]).where("doc > first or several > 1")
-        later, code = F.col("doc") > F.col("first"), F.struct("u", "v")
-        few = F.col("several") <= self.spec.sorted_at_most
+            held = held.unionByName(level.withColumn("own", F.lit(False)))
+        # written apart from the join that uses it, so that the shuffle files of one are gone before the other's;
+        # grams that earlier batches hold alone were compared then
+        twice = held.groupBy("u").agg(F.count("*").alias("n"), F.max("own").alias("own")).where("n > 1 and own").select("u")
+        shared = self._hold(held.join(self._hold(twice, "repeat-twice"), "u"), "repeat-shared")
+        classes = self._hold(shared.groupBy("u", "v").agg(F.min("doc").alias("first"), F.count("*").alias("n")), "repeat-classes")
+        known = classes.join(classes.groupBy("u").agg(F.count("*").alias("several")), "u").select("u", "v", "first", "n", "several")
+        later = shared.where("own").select("u", "v", "doc").join(classes.where("n > 1").select("u", "v", "first"), ["u", "v"]).where("doc > first")
+        later = later.select("doc", "u", "v", F.lit(None).cast("long").alias("several"))
+        coded = later.unionByName(known.where("several > 1").select(F.col("first").alias("doc"), "u", "v", "several"))
+        code, few = F.struct("u", "v"), F.col("several") <= self.spec.sorted_at_most
         per_doc = coded.groupBy("doc").agg(
-            F.collect_list(F.when(later, code)).alias("stretches"), F.collect_list(F.when(~later & few, code)).alias("few"), F.collect_list(F.when(~later & ~few, code)).alias("many")
+            F.collect_list(F.when(F.col("several").isNull(), code)).alias("stretches"), F.collect_list(F.when(few, code)).alias("few"), F.collect_list(F.when(~few, code)).alias("many")
         )
         docs_path = new_path(spark, "repeat-docs")
         per_doc = materialize(per_doc, path=docs_path)
         self._drop(spark)
+        if not last:
+            self._push(run, path)
+        else:
+            drop_path(spark, path)
         self.temporary.append(docs_path)
         windows = self._hold(windows_of(self._read(per_doc, "many"), self.spec, "many"), "repeat-windows")
         firsts = windows.groupBy("u", "v").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).where("first < last")
@@ -414,7 +420,7 @@ class RepeatIndex:
         """Add a run, each class by its first document; merge it with the one before while that is not more than twice as large."""
         spark, old = run.sparkSession, [path]
         while True:
-            run = run.groupBy("k", "u", "v").agg(F.min("doc").alias("doc")).sortWithinPartitions("k", "u")
+            run = run.groupBy("u", "v").agg(F.min("doc").alias("doc")).sortWithinPartitions("u", "v")
             path = new_path(spark, "repeat-level")
             run = materialize(run, path=path)
             for gone in old:
@@ -427,6 +433,33 @@ class RepeatIndex:
         self.levels.append((rows, run, path))
 
 
+def _own_repeats(symbols: Symbols, there: Stretches, window: int) -> list[np.ndarray]:
+    """Where windows start that start earlier in their document too.
+
+    Of equal stretches all but the first repeat as a whole; firsts of different stretches with one gram are compared
+    window by window.
+    """
+
+    def shared(of: Stretches) -> Stretches:
+        order = np.lexsort([of.k, of.doc])
+        equal = (of.k[order[1:]] == of.k[order[:-1]]) & (of.doc[order[1:]] == of.doc[order[:-1]])
+        again = np.zeros(len(order), bool)
+        again[order[1:][equal]] = again[order[:-1][equal]] = True
+        return of.take(np.flatnonzero(again))
+
+    some = shared(there)
+    code = some.codes(symbols, window)
+    firsts = np.zeros(len(some.doc), bool)
+    firsts[_first_of_equals(some.doc, code[:, 0], code[:, 1])] = True
+    starts = [_spans(some.lo[~firsts], some.hi[~firsts])]
+    some = shared(some.take(np.flatnonzero(firsts)))
+    at, doc = _spans(some.lo, some.hi), np.repeat(some.doc, some.hi - some.lo + 1)
+    code = symbols.digests(at, at + window)
+    order = np.lexsort([at, code[:, 1], code[:, 0], doc])
+    x, y = order[1:], order[:-1]
+    return [*starts, at[x[(doc[x] == doc[y]) & (code[x] == code[y]).all(axis=1)]]]
+
+
 CODES, PARTS = "array<struct<u:bigint,v:bigint>>", "array<struct<u:bigint,v:bigint,bits:binary>>"
 
 
@@ -448,7 +481,7 @@ def mark(docs: DataFrame, found: DataFrame, spec: Spec, own: bool, render, schem
                 for x in rows.values():
                     named[x[0]] = True
                 some = there.take(np.flatnonzero(named[there.doc]))
-                code = symbols.digests(some.lo, some.hi + spec.window)
+                code = some.codes(symbols, spec.window)
                 key = (some.doc, code[:, 0], code[:, 1])
                 whole = _find(key, rows["stretches"]) >= 0
                 starts = [_spans(some.lo[whole], some.hi[whole])]
@@ -464,16 +497,7 @@ def mark(docs: DataFrame, found: DataFrame, spec: Spec, own: bool, render, schem
                     code = symbols.digests(at, at + spec.window)
                     starts.append(at[_find((doc, code[:, 0], code[:, 1]), rows["windows"]) >= 0])
                 if own:
-                    order = np.lexsort([there.k, there.doc])
-                    equal = (there.k[order[1:]] == there.k[order[:-1]]) & (there.doc[order[1:]] == there.doc[order[:-1]])
-                    again = np.zeros(len(order), bool)
-                    again[order[1:][equal]] = again[order[:-1][equal]] = True
-                    at = _spans(there.lo[again], there.hi[again])
-                    doc = np.repeat(there.doc[again], there.hi[again] - there.lo[again] + 1)
-                    code = symbols.digests(at, at + spec.window)
-                    order = np.lexsort([at, code[:, 1], code[:, 0], doc])
-                    x, y = order[1:], order[:-1]
-                    starts.append(at[x[(doc[x] == doc[y]) & (code[x] == code[y]).all(axis=1)]])
+                    starts += _own_repeats(symbols, there, spec.window)
                 at = np.concatenate(starts)
                 n = len(symbols.prefix)
                 covered = np.cumsum(np.bincount(at, minlength=n) - np.bincount(at + spec.window, minlength=n))[: n - 1] > 0

@@ -58,7 +58,7 @@ def materialize(df: DataFrame, name: str = "table", path: str | None = None) ->
     spark = df.sparkSession
     path = path or new_path(spark, name)
     with shuffles_removed(spark):
-        df.write.parquet(path)
+        df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -68,7 +68,7 @@ def bucketed(df: DataFrame, key: str, name: str) -> DataFrame:
     path = new_path(spark, name)
     table = path.rsplit("/", 1)[1].replace("-", "_")
     with shuffles_removed(spark):
-        df.repartition(n, key).write.format("parquet").bucketBy(n, key).option("path", path).saveAsTable(table)
+        df.repartition(n, key).write.format("parquet").option("compression", "zstd").bucketBy(n, key).option("path", path).saveAsTable(table)
     return spark.table(table)
 
 

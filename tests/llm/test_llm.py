@@ -224,14 +224,12 @@ def thue_morse(n, a, b):
 TWINS = thue_morse(1024, "a", "b")
 
 
-@pytest.mark.parametrize("batches, at_most", [(1, 4096), (3, 2), (2, 0)])
-@pytest.mark.parametrize("window", [20, 100])
+@pytest.mark.parametrize("window, batches, at_most", [(100, 1, 4096), (100, 3, 2), (20, 2, 0), (20, 1, 4096)])
 def test_bytes(spark, corpus, window, batches, at_most, monkeypatch):
     monkeypatch.setattr(suffix_dedup, "SORTED", at_most)
-    twins = [(20, "x" * 90 + TWINS[0]), (21, TWINS[1] + "y" * 90), (22, TWINS[0] + "z")]
-    for data in (REPEATS + twins, corpus[:60]):
-        got = suffix_dedup.dedup_bytes(docs_of(spark, data), window, batches).collect()
-        assert sorted(map(tuple, got)) == sorted(brute_bytes(data, window))
+    data = REPEATS + [(20, "x" * 90 + TWINS[0]), (21, TWINS[1] + "y" * 90), (22, TWINS[0] + "z")] + [(100 + i, t) for i, t in corpus[:50]]
+    got = suffix_dedup.dedup_bytes(docs_of(spark, data), window, batches).collect()
+    assert sorted(map(tuple, got)) == sorted(brute_bytes(data, window))
 
 
 def test_suffix_query(spark, corpus):
@@ -274,12 +272,11 @@ def test_hashes_that_collide(spark):
     check_packed(packing.pack(docs_of(spark, docs), path, 64).collect(), ids, 64)
 
 
-@pytest.mark.parametrize("batches", [1, 4])
-@pytest.mark.parametrize("window", [4, 13])
+@pytest.mark.parametrize("window, batches", [(13, 1), (13, 4), (4, 2)])
 def test_words(spark, corpus, window, batches):
-    for data in (REPEATS, corpus):
-        got = substring_dedup.dedup_words(docs_of(spark, data), window, batches).collect()
-        assert sorted(map(tuple, got)) == sorted(brute_words(data, window))
+    data = REPEATS + [(100 + i, t) for i, t in corpus]
+    got = substring_dedup.dedup_words(docs_of(spark, data), window, batches).collect()
+    assert sorted(map(tuple, got)) == sorted(brute_words(data, window))
 
 
 def test_repeats_odd(spark):
