@@ -1,6 +1,6 @@
 """Line dedup that can be taken back: exact reference-count tables, with sharded cuckoo filters before them.
 
-A line's key is the line stripped and lower-cased (ASCII). The index holds postings (key, doc_id), appended batch by
+A line's key is the line stripped and lower-cased (ASCII); keys are equal by 128 bits of SHA-256. The index holds postings (key, doc_id), appended batch by
 batch: a key's reference count is the number of its documents. An insertion or deletion counts anew only the keys that it
 touches. Keys whose count makes them repeats are in the cuckoo filter of their shard; they enter when their count reaches
 the limit and leave when it falls below. Every posting is asked of its shard's filter first, and only those that may
@@ -35,12 +35,17 @@ def lines_of(text: Column) -> Column:
 
 
 def key_of(line: Column) -> Column:
-    return ascii_lower(F.regexp_replace(line, f"^[{WHITE}]+|[{WHITE}]+$", ""))
+    return ascii_lower(F.regexp_replace(line, rf"^[{WHITE}]+|[{WHITE}]+\z", ""))  # `$` would also match before a last U+2028
+
+
+def _digest(key: Column) -> Column:
+    """128 bits of SHA-256, by which keys are equal."""
+    return F.unhex(F.substring(F.sha2(key, 256), 1, 32))
 
 
 def _hashes(key: Column) -> Column:
-    """128 bits of a key."""
-    return F.struct(F.xxhash64(key).alias("h"), F.xxhash64(F.lit(1), key).alias("g"))
+    """A key's digest, and 64 bits for the filters."""
+    return F.struct(F.xxhash64(key).alias("h"), _digest(key).alias("g"))
 
 
 def postings_of(docs: DataFrame, least: int) -> DataFrame:
@@ -160,19 +165,19 @@ class LineIndex:
 
         kind = dict(postings.dtypes)["doc_id"]
         sorted_ = ship(both).repartition("shard", "salt").sortWithinPartitions("shard", "salt", F.col("filter").isNull())
-        return sorted_.mapInArrow(ask, f"h long, g long, doc_id {kind}")
+        return sorted_.mapInArrow(ask, f"h long, g binary, doc_id {kind}")
 
     def drops(self) -> DataFrame:
-        """(doc_id, __drop): the keys, as h, whose lines a document loses: those that repeat and that a larger doc_id holds."""
+        """(doc_id, __drop): the keys, as g, whose lines a document loses: those that repeat and that a larger doc_id holds."""
         lost = self.asked().join(self.repeats.select(*KEY, "last"), KEY).where("doc_id is null or doc_id < last")
-        return lost.groupBy("doc_id").agg(F.collect_set("h").alias("__drop"))
+        return lost.groupBy("doc_id").agg(F.collect_set("g").alias("__drop"))
 
 
 def _rewritten(docs: DataFrame, index: LineIndex) -> DataFrame:
     """docs with text rewritten, and __lines and __kept."""
     drops = index.drops().withColumnRenamed("doc_id", "__doc")
     joined = docs.join(drops, F.col("doc_id").eqNullSafe(F.col("__doc")), "left").withColumn("__lines", lines_of(F.col("text")))
-    repeated = lambda line: (F.length(line) >= index.least) & F.array_contains("__drop", F.xxhash64(key_of(line)))
+    repeated = lambda line: (F.length(line) >= index.least) & F.array_contains("__drop", _digest(key_of(line)))
     kept = F.when(F.col("__drop").isNull(), F.col("__lines")).otherwise(F.filter("__lines", lambda line: ~repeated(line)))
     text = F.when(F.col("__drop").isNull(), F.coalesce("text", F.lit(""))).otherwise(F.array_join("__kept", "\n"))
     return joined.withColumn("__kept", kept).withColumn("text", text)

@@ -200,21 +200,21 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model | N
     if not many:
         return None
 
-    def drawn(of: int, seed: int) -> Column:
-        """About `sample` of so many rows, by 63 bits of a hash."""
-        share = F.lit(min((1 << 63) - 1, (sample << 63) // max(of, 1)))
-        return F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col("doc_id")), 1) <= share
-
-    def sampled(some: DataFrame) -> np.ndarray:
-        return np.array([r.features for r in features(some).orderBy("doc_id").collect()], np.float32)
-
-    chosen = ones.where(drawn(many, 1)).withColumnRenamed("doc_id", "one")  # at most about `sample` rows
-    positive = sampled(may.join(F.broadcast(chosen), F.col("doc_id") == F.col("one"), "left_semi"))
-    unlabelled = sampled(may.where(drawn(rows, 2)))
-    if not len(positive):
-        return None
+    def drawn(some: DataFrame, of: int, seed: int) -> np.ndarray:
+        """Measures of about `sample` of so many rows, each drawn by itself: rows that share an id are not all in or all out."""
+        some = some.where(F.rand(seed) < sample / of) if of > sample else some
+        return np.array([r.features for r in features(some).limit(2 * sample).orderBy("doc_id", "features").collect()], np.float32)
+
+    chosen = ones.where(F.shiftrightunsigned(F.xxhash64(F.lit(1), F.col("doc_id")), 1) <= F.lit(min((1 << 63) - 1, (sample << 63) // many)))
+    chosen = ones.orderBy("doc_id").limit(sample) if chosen.isEmpty() else chosen
+    chosen = F.broadcast(chosen.withColumnRenamed("doc_id", "one"))  # at most about `sample` ids
+    has_one = F.col("doc_id") == F.col("one")
+    positive = drawn(may.join(chosen, has_one, "left_semi"), ids.join(chosen, has_one, "left_semi").count(), 1)
+    unlabelled = drawn(may, rows, 2)
+    if not len(positive):  # of a sample of a few rows none may have been drawn
+        positive = drawn(may.join(chosen, has_one, "left_semi").limit(sample), sample, 1)
     if not len(unlabelled):
-        raise ValueError("the unlabelled sample is empty")
+        unlabelled = drawn(may.limit(sample), sample, 2)
     return learn(positive, unlabelled, estimate_prior(positive, unlabelled))
 
 

@@ -470,6 +470,38 @@ def test_lines_by_shards(spark, monkeypatch):
     assert line_dedup.dedup_lines(same).where("n_dropped > 0").count() == 0
 
 
+#: Two lines whose 64-bit XXH64 is the same for seeds 42 and 1 alike.
+ALIKE = ("']>.c$#$\"abcdefghijklmnopqrstuvwxq}l![tc!abcdefghijklmnopqrstuvwx", "k<q$~=szabcdefghijklmnopqrstuvwx!!!*)!!habcdefghijklmnopqrstuvwx")
+
+
+@pytest.mark.parametrize("end", ["\u2028", "\u2029", "\u0085", "\x0b", "\r"])
+def test_lines_that_end_oddly(spark, end):
+    line = "x" * 50 + end
+    texts = [(i, line) for i in range(3)] + [(i, line[:50] + " " + end) for i in (3, 4)]
+    strip = lambda x: x.strip("\x20\x09\x0a\x0b\x0c\x0d")
+    one_key = strip(texts[0][1]) == strip(texts[-1][1])
+    assert line_dedup.dedup_lines(docs_of(spark, texts)).where("n_dropped > 0").count() == (4 if one_key else 0)
+
+
+def test_lines_of_one_hash(spark):
+    assert len(set(ALIKE)) == 2
+    texts = [(i, ALIKE[0]) for i in range(4)] + [(9, ALIKE[1])]
+    assert line_dedup.dedup_lines(docs_of(spark, texts)).where("n_dropped > 0").count() == 0
+    texts = [(i, f"{ALIKE[0]}\n{ALIKE[1]}" if i < 2 else ALIKE[0]) for i in range(5)] + [(9, ALIKE[1])]
+    got = {r.doc_id: (r.n_dropped, r.text) for r in line_dedup.dedup_lines(docs_of(spark, texts)).collect()}
+    assert got == {0: (1, ALIKE[1]), 1: (1, ALIKE[1]), 2: (1, ""), 3: (1, ""), 4: (0, ALIKE[0]), 9: (0, ALIKE[1])}
+
+
+@pytest.mark.parametrize("copies", [60, 2])
+def test_quality_rows_of_one_id(spark, copies):
+    ids = [i for i in range(40) if zlib.crc32(str(i).encode()) % 3 != 1][: 1 if copies == 60 else 20]
+    docs = docs_of(spark, [(i, f"A plain sentence of words, number {i}, follows another.") for i in ids for _ in range(copies)])
+    labels = spark.createDataFrame([(i, 1, 0) for i in ids], "doc_id long, quality int, toxic int")
+    for sample in (1, 20):
+        assert quality.train(docs, labels, sample) is not None
+    assert quality.score_all(docs, labels).count() == len(ids) * copies
+
+
 def test_cuckoo():
     rng = np.random.default_rng(0)
     keys = rng.integers(-(1 << 63), 1 << 63, 5000)
