@@ -1,8 +1,9 @@
-"""Getting this package to the Python workers."""
+"""What jobs on several machines need: this package at the Python workers, and steps written where all can read them."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -23,3 +24,23 @@ def shipped(df: DataFrame) -> DataFrame:
         context.addPyFile(str(archive))
         _shipped.add(context.applicationId)
     return df
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """df as a Parquet table in the folder named by spark.checkpoint.dir, deleted when the application ends.
+
+    For small results that several later steps read: their plans start from the table, and a lost executor costs no more
+    than its tasks. Where the setting is unset, a local session takes a temporary folder.
+    """
+    spark = df.sparkSession
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        folder = tempfile.mkdtemp(prefix="spark-shared-")
+        spark.conf.set("spark.checkpoint.dir", folder)
+    path = f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(place)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

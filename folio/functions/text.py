@@ -68,12 +68,13 @@ PAGE_MARK = r"^\s*〔页\s*(\d+)\s*〕\s*$"
 FIGURE_MARK = r"^\s*〔图[:：]\s*(.+?)\s*〕(.*)$"
 PARAGRAPH_REF = r"〔p(\d+)〕"
 ZH_DIGITS = {"零": 0, "〇": 0, "一": 1, "二": 2, "三": 3, "四": 4, "五": 5, "六": 6, "七": 7, "八": 8, "九": 9, "两": 2}
-WHITE = r"[\s 　]"
+#: White space of every kind.
+WHITE = r"[\s\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 
 
 def trimmed(c: Column) -> Column:
     """Without white space of any kind at both ends (trim() alone takes spaces only)."""
-    return F.regexp_replace(c, f"^{WHITE}+|{WHITE}+$", "")
+    return F.regexp_replace(c, rf"^{WHITE}+|{WHITE}+\z", "")  # `$` would also match before a last line terminator
 
 
 def escape_like(c: Column) -> Column:
@@ -227,11 +228,11 @@ def clean_title(c: Column) -> Column:
     return trimmed(F.regexp_replace(F.replace(c, F.lit("〔标题〕"), F.lit("")), "[…·.•‧]{2,}.*$", ""))
 
 
-def anchor_line(c: Column, title: Column) -> Column:
-    """holds the title, not followed by a digit, and is no contents line or header."""
-    at = F.position(title, c)
-    follows = F.substring(c, at + F.length(title), F.lit(1))
-    return (at > 0) & ~contents_line(c) & ~c.rlike(TRAILING_PAGE) & ~follows.rlike("[0-9]")
+def anchor_line(line: Column, normal: Column, title: Column) -> Column:
+    """holds the title, not followed by a digit, and is no contents line or header. normal: normal_title() of the line."""
+    at = F.position(title, normal)
+    follows = F.substring(normal, at + F.length(title), F.lit(1))
+    return ~line.rlike(CONTENTS_LEADER) & ~line.rlike(TRAILING_PAGE) & (at > 0) & ~follows.rlike(r"^\p{Nd}$")
 
 
 def file_title(name: Column) -> Column:
