@@ -74,3 +74,79 @@ def queue_states(events: DataFrame) -> DataFrame:
 def refresh(stream: DataFrame, query, write):
     """ST01: a query's result written anew after each batch of changes."""
     return stream.writeStream.foreachBatch(lambda batch, _: write(query(batch)))
+
+
+# Seconds that a profile rests after an error, None for good, and how long text is held back.
+RESTS = {"429": 1800, "net": 300, "40x": None}
+FLUSH_MS = 100
+
+
+def cool_downs(events: DataFrame, late: str = "0 seconds") -> DataFrame:
+    """ST10: (profile, at, state) whenever a profile's state changes: `resting`, `ready` again, or `off` for good.
+
+    events: profile, ts, kind (429, net, 40x, or ok). A rest ends by an event-time timer, when the watermark has passed it,
+    at the time it was set for; an error during a rest sets it anew, as the last one says. For append mode.
+    """
+
+    def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        rows = []
+        until, off = state.get if state.exists else (None, False)
+        if state.hasTimedOut:
+            rows.append((key[0], pd.Timestamp(until, unit="ms"), "ready"))
+            state.remove()
+        else:
+            for r in sorted((r for pdf in batches for r in pdf.itertuples()), key=lambda r: r.ts):
+                at = int(r.ts.timestamp() * 1000)
+                if until is not None and until <= at:
+                    rows.append((key[0], pd.Timestamp(until, unit="ms"), "ready"))
+                    until = None
+                if off or r.kind not in RESTS:
+                    continue
+                if RESTS[r.kind] is None:
+                    until, off = None, True
+                    rows.append((key[0], r.ts, "off"))
+                else:
+                    if until is None:
+                        rows.append((key[0], r.ts, "resting"))
+                    until = at + 1000 * RESTS[r.kind]
+            if off or until is not None:
+                state.update((until, off))
+                if until is not None:
+                    state.setTimeoutTimestamp(max(until, state.getCurrentWatermarkMs() + 1))
+            elif state.exists:
+                state.remove()
+        yield pd.DataFrame(rows, columns=["profile", "at", "state"])
+
+    marked = shipped(events).withWatermark("ts", late)
+    return marked.groupBy("profile").applyInPandasWithState(run, "profile string, at timestamp, state string", "until long, off boolean", "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def bundled_deltas(deltas: DataFrame, flush_ms: int = FLUSH_MS) -> DataFrame:
+    """ST04: (stream, first_seq, last_seq, text): a reply's deltas in bundles, each held back for so long at most.
+
+    deltas: stream, seq, delta, last. A processing-time timer set by a bundle's first delta lets it go; the last delta of
+    a stream lets all go at once, so that none stays behind. For append mode.
+    """
+
+    def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        rows = []
+        first, last, text, due = state.get if state.exists else (None, None, "", None)
+        now = state.getCurrentProcessingTimeMs()
+        ended = False
+        if not state.hasTimedOut:
+            for r in sorted((r for pdf in batches for r in pdf.itertuples()), key=lambda r: r.seq):
+                first, last, text, ended = r.seq if first is None else first, r.seq, text + r.delta, ended or bool(r.last)
+        if first is not None and (ended or state.hasTimedOut or (due is not None and due <= now)):
+            rows.append((key[0], first, last, text))
+            first = None
+        if first is None:
+            if state.exists:
+                state.remove()
+        else:
+            due = now + flush_ms if due is None else due
+            state.update((first, last, text, due))
+            state.setTimeoutDuration(max(1, due - now))
+        yield pd.DataFrame(rows, columns=["stream", "first_seq", "last_seq", "text"])
+
+    kept = "first long, last long, text string, due long"
+    return shipped(deltas).groupBy("stream").applyInPandasWithState(run, "stream long, first_seq long, last_seq long, text string", kept, "append", GroupStateTimeout.ProcessingTimeTimeout)
