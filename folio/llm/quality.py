@@ -168,10 +168,10 @@ def estimate_prior(positive: np.ndarray, unlabelled: np.ndarray, sure: float = 0
     """
     found = []
     for turn in (0, 1):
+        if not min(len(x[k::2]) for x in (positive, unlabelled) for k in (0, 1)):
+            continue
         one = learn(positive[turn::2], unlabelled[turn::2], 0.5, steps=300)
         p, u = (np.sort(one.of(x[1 - turn :: 2])) for x in (positive, unlabelled))
-        if not len(p) or not len(u):
-            continue
         at = np.unique(np.concatenate([p, u]))
         above_p, above_u = ((len(x) - np.searchsorted(x, at)) / len(x) for x in (p, u))
         at, above_p, above_u = at[above_p > 0], above_p[above_p > 0], above_u[above_p > 0]

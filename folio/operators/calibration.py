@@ -212,7 +212,7 @@ def recalibrate(books: DataFrame, chapters: DataFrame, paragraphs: DataFrame, en
     changes: carry_over() of the books done; placed: book, id, ord, the new chapter of each paragraph.
     """
     lines = paragraphs.where("page is not null").select("book", "page", F.struct("chapter", "idx").alias("ord"), "text")
-    regions = contents_regions(lines)
+    regions = written(contents_regions(lines), "recalibrate-regions")
     local = chapters.select("book", F.col("id").alias("chapter"), "idx", "title")
     paged = lines.groupBy("book").agg(F.max("page").alias("pages"))
     told = paragraphs.join(local.select("book", "chapter", F.col("idx").alias("nth")), ["book", "chapter"])
@@ -220,8 +220,9 @@ def recalibrate(books: DataFrame, chapters: DataFrame, paragraphs: DataFrame, en
     may = books.join(used.select("book").distinct(), "book", "left_anti").select("book")
     only = lambda df: df.join(may, "book", "left_semi")
     got = calibrate(only(entries), only(local.select("book", F.col("idx").alias("chapter"), "title")), only(numbered), only(lines), only(paged), only(regions))
+    placed, cut = written(got.paragraphs, "recalibrate-paragraphs"), written(got.chapters.where("level = 1"), "recalibrate-chapters")
     # what was placed must be nearly all there was
-    chars = got.paragraphs.groupBy("book").agg(F.sum(F.when(F.col("ord").isNotNull(), F.col("chars"))).alias("kept"), F.sum("chars").alias("all"))
+    chars = placed.groupBy("book").agg(F.sum(F.when(F.col("ord").isNotNull(), F.col("chars"))).alias("kept"), F.sum("chars").alias("all"))
     whole = chars.where(F.coalesce("kept", F.lit(0)) >= F.col("all") * CHARS_KEPT).select("book", F.lit(True).alias("whole"))
     ready = chars.select("book", F.lit(True).alias("calibrated")).join(whole, "book", "left")
     flag = lambda df, name: df.select("book").distinct().withColumn(name, F.lit(True))
@@ -233,11 +234,12 @@ def recalibrate(books: DataFrame, chapters: DataFrame, paragraphs: DataFrame, en
         .when(F.col("calibrated").isNull(), "not calibrated").when(F.col("whole").isNull(), "text lost").otherwise("done")
     )
     verdicts = facts.join(ready, "book", "left").withColumn("reason", reason)
+    verdicts = written(verdicts, "recalibrate-verdicts")
     done = verdicts.where("reason = 'done'").select("book")
-    new = got.chapters.where("level = 1").select("book", (F.col("ord") - 1).alias("ord"), "title").join(done, "book", "left_semi")
+    new = cut.select("book", (F.col("ord") - 1).alias("ord"), "title").join(done, "book", "left_semi")
     last = verdicts.join(chapters.select("book", F.col("id").alias("last_read"), F.col("title").alias("last_title")), ["book", "last_read"], "left")
     of_title = new.groupBy("book", squeezed(F.col("title")).alias("key")).agg(F.min("ord").alias("last_read_ord"))
     verdicts = last.withColumn("key", squeezed(F.col("last_title"))).join(of_title, ["book", "key"], "left").select("book", "reason", "last_read_ord")
     changes = carry_over(chapters.join(done, "book", "left_semi"), new)
-    placed = got.paragraphs.join(done, "book", "left_semi").select("book", "id", (F.col("ord") - 1).alias("ord"))
+    placed = placed.join(done, "book", "left_semi").select("book", "id", (F.col("ord") - 1).alias("ord"))
     return verdicts, changes, placed

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from ..cluster import written
 from ..functions import text as T
 from .proofread import CHAPTER_LINE, SECTION_LINE, fix_ocr, fix_quotes
 
@@ -130,8 +131,9 @@ def pull_pages(rows: DataFrame, width: float, height: float, traditional: str =
     noted = rows.where("small").select("book", "page", "y0", F.lit(0).alias("late"), "ord", "text").unionByName(large.where("late").select("book", "page", "y0", F.lit(1).alias("late"), "ord", "text"))
     notes = noted.select("book", "page", F.row_number().over(_page().orderBy("y0", "late", "ord")).alias("n"), fix_quotes(fix_ocr(F.col("text"))).alias("text"))
     main = large.where("not late").drop("gap", "cut", "late", "small", "norm", "runs").withColumn("like", body_like(F.col("text")))
+    main = written(main, "pull-rows")  # the bands, and all that is made of them, start from here
 
-    bands = _widened(main, figure_bands(main.drop("pos"), width, height), width, height)
+    bands = written(_widened(main, figure_bands(main.drop("pos"), width, height), width, height), "pull-bands")
     clean = _without(main, bands.where("not mixed"), width, height)
     figures = bands.where("not mixed").select("book", "page", F.row_number().over(_page().orderBy("top", "start")).alias("n"), "left", "top", "right", "bottom", "title", "kind")
     title = F.when(F.col("title") == "", F.concat(F.lit("第"), F.col("page").cast("string"), F.lit("页插图"))).otherwise(F.col("title"))
@@ -143,6 +145,7 @@ def pull_pages(rows: DataFrame, width: float, height: float, traditional: str =
     starts = F.col("head") | (F.col("x0") - F.col("edge") > body * 1.4) | (F.col("i") == 1)
     clean = clean.withColumn("para", F.sum(F.when(starts, 1).otherwise(0)).over(order.rowsBetween(W.unboundedPreceding, 0)))
     joined = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("ord", "text"))), lambda x: x["text"]), "")
+    clean = written(clean, "pull-clean")
     paras = clean.groupBy("book", "page", "para").agg(F.min_by("y0", "ord").alias("y"), joined.alias("text")).withColumn("text", fix_quotes(fix_ocr(F.col("text"))))
     marks = figures.select("book", "page", F.col("n").cast("long").alias("para"), (F.col("top") * height).alias("y"), F.concat(F.lit("〔图：第"), F.col("page").cast("string"), F.lit("页插图"), F.col("n").cast("string"), F.lit("〕")).alias("text"), F.lit(True).alias("figure"))
     every = paras.withColumn("figure", F.lit(False)).unionByName(marks)

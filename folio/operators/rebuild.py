@@ -55,10 +55,10 @@ def rebuild_if_safe(paragraphs: DataFrame, chapters: DataFrame, pages: DataFrame
     stops = (
         F.when(F.col("again").isNull(), "nothing read").when(F.col("used"), "used").when(F.col("chars").isNull() | F.col("unpaged"), "no pages").when(F.col("sections"), "sections")
     )
-    facts = facts.withColumn("reason", stops)
+    facts = written(facts.withColumn("reason", stops), "rebuild-books")
     may = facts.where("reason is null").select("book")
 
-    owners = page_owners(paragraphs.join(may, "book", "left_semi"), chapters, pages.select("book", "page").distinct().join(may, "book", "left_semi"))
+    owners = written(page_owners(paragraphs.join(may, "book", "left_semi"), chapters, pages.select("book", "page").distinct().join(may, "book", "left_semi")), "rebuild-owners")
     placed = fresh.join(owners, ["book", "page"]).select("book", "chapter", "page", F.lit(1).alias("again"), F.col("n").cast("long").alias("n"), "text", "role")
     kept = paragraphs.join(may, "book", "left_semi").join(pages.select("book", "page").distinct(), ["book", "page"], "left_anti")
     staged = kept.select("book", "chapter", "page", F.lit(0).alias("again"), F.col("idx").cast("long").alias("n"), "text", "role").unionByName(placed)

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from . import judgement, proof, structure, study, texts
+from . import books, judgement, proof, structure, study, texts
 
 
 def queries() -> dict:
-    return study.QUERIES | structure.QUERIES | texts.QUERIES | judgement.QUERIES | proof.QUERIES
+    return study.QUERIES | structure.QUERIES | texts.QUERIES | judgement.QUERIES | proof.QUERIES | books.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return study.ORACLES | structure.ORACLES | texts.ORACLES | judgement.ORACLES | proof.ORACLES
+    return study.ORACLES | structure.ORACLES | texts.ORACLES | judgement.ORACLES | proof.ORACLES | books.ORACLES

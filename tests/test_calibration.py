@@ -220,3 +220,93 @@ def test_carry_over(spark):
         (1, "keep", 10, 0, "第一章 总则", "DONE"), (1, "insert", None, 1, "新章", "UNREAD"), (1, "update", 11, 2, "第 二 章", "READING"), (1, "update", 12, 3, "第二章", "READING"),
         (1, "insert", None, 4, "第二章", "READING"), (1, "delete", 13, None, None, None), (2, "delete", 20, None, None, None), (3, "insert", None, 0, "x", "UNREAD"),
     }
+
+
+def test_calibrated_query(spark):
+    """The registered query's books, all of them, against the loops."""
+    from folio.plans import books as P
+    from folio.sources.roles import table
+
+    given = {k: df.collect() for k, df in P.calibration_inputs(lambda n: table(spark, "/root/testdata/sf0.01", n)).items()}
+    by = defaultdict(lambda: [[], {}, defaultdict(list), 0, []])
+    for r in sorted(given["entries"], key=lambda r: r.seq):
+        by[r.book][0].append((r.title, r.page, r.level, r.seq))
+    for r in sorted(given["chapters"], key=lambda r: r.chapter):
+        by[r.book][1][r.chapter] = (r.title, [])
+    for r in sorted(given["paragraphs"], key=lambda r: r.idx):
+        by[r.book][1][r.chapter][1].append(r.page)
+    for r in sorted(given["lines"], key=lambda r: (r.page, r.ord)):
+        by[r.book][2][r.page].append(r.text)
+    for r in given["books"]:
+        by[r.book][3] = r.pages
+    for r in sorted(given["contents_ends"], key=lambda r: r.last_page):
+        by[r.book][4].append(r.last_page)
+    found = defaultdict(list)
+    for r in P.QUERIES["C10_calibrated"](spark, "/root/testdata/sf0.01").collect():
+        found[r.book].append((r.ord, r.sub, r.title, r.start_page, r.level, r.parent, r.local_only, r.redundant, r.low_confidence, r.title_fallback, r.local_index, r.shifted))
+    for b, (entries, chapters, lines, pages, ends) in by.items():
+        truth = brute_calibrate([e[:3] for e in entries], list(chapters.values()), lines, pages, ends)
+        names, seqs = list(chapters), [e[3] for e in entries]
+        expected = [] if truth is None else [(r[0], r[1] if r[4] == 1 else seqs[r[1]], *r[2:10], None if r[10] is None else names[r[10]], truth[2]) for r in truth[0]]
+        assert sorted(found[b], key=lambda r: r[:2]) == expected
+    assert sum(map(bool, found.values())) > len(by) // 2
+
+
+def test_recalibrate(spark):
+    """Verdicts, changes and places of the registered query's books against the loops."""
+    from folio.plans import books as P
+    from folio.sources.roles import table
+
+    books, chapters, paragraphs, entries, used = P.recalibration_inputs(lambda n: table(spark, "/root/testdata/sf0.01", n))
+    verdicts, changes, placed = C.recalibrate(books, chapters, paragraphs, entries, used)
+    reasons, where = {r.book: r for r in verdicts.collect()}, {r.id: r.ord for r in placed.collect()}
+    new, gone = defaultdict(list), defaultdict(set)
+    for r in changes.collect():
+        if r.action == "delete":
+            gone[r.book].add(r.id)
+        else:
+            new[r.book].append((r.ord, r.title, r.read_state))
+    busy, texts, cuts, listed = {r.book for r in used.collect()}, defaultdict(list), defaultdict(list), defaultdict(list)
+    for r in sorted(paragraphs.collect(), key=lambda r: r.idx):
+        texts[r.book].append(r)
+    for r in sorted(chapters.collect(), key=lambda r: r.idx):
+        cuts[r.book].append(r)
+    for r in sorted(entries.collect(), key=lambda r: r.seq):
+        listed[r.book].append((r.title, r.page, r.level))
+    squeeze = lambda t: re.sub(r"\s", "", t)
+    for b in {r.book for r in books.collect()}:
+        lines = defaultdict(list)
+        for r in texts[b]:
+            if r.page is not None:
+                lines[r.page].append(r.text)
+        runs, held = [], 0
+        for p in sorted(p for p, ls in lines.items() if sum(bool(LEADER.search(x.strip())) for x in ls) >= 3):
+            if runs and p - runs[-1][-1] <= 5:
+                runs[-1].append(p)
+            else:
+                runs.append([p])
+        ends = []
+        for run in runs:
+            held += len(run)
+            if held > 8:
+                break
+            ends.append(run[-1])
+        own = {c.id: [] for c in cuts[b]}
+        for r in texts[b]:
+            own[r.chapter].append(r)
+        local = [(c.title, [r.page for r in own[c.id]]) for c in cuts[b]]
+        truth = brute_calibrate(listed[b], local, lines, max(lines), ends) if ends and b not in busy else None
+        if truth is None:
+            assert reasons[b].reason == ("used" if b in busy else "no contents" if not ends else "not calibrated") and b not in new
+            continue
+        spots = {own[cuts[b][j].id][x].id: o for j, x, o in truth[1]}
+        kept = sum(len(r.text) for r in texts[b] if spots[r.id] is not None)
+        if kept < 0.9 * sum(len(r.text) for r in texts[b]):
+            assert reasons[b].reason == "text lost"
+            continue
+        assert reasons[b].reason == "done" and all(where[i] == (o - 1 if o is not None else None) for i, o in spots.items())
+        read = {squeeze(c.title): c.read_state for c in cuts[b] if c.read_state != "UNREAD"}
+        expected = [(r[0] - 1, r[2], read.get(squeeze(r[2]), "UNREAD")) for r in truth[0] if r[4] == 1]
+        assert sorted(new[b]) == expected
+    done = {b for b, r in reasons.items() if r.reason == "done"}
+    assert len(done) > 5 and any(r[2] == "DONE" for b in done for r in new[b]) and {r.reason for r in reasons.values()} >= {"used", "done"}
