@@ -10,14 +10,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 from pyspark.sql.types import StringType
 
+from ..cluster import shipped
 from .text import trimmed
 
 # Question kinds, decisions, the largest groups, the share of paragraphs that may be missing.
 QUIZ_KINDS = ["RECALL", "APPLY", "CONTRAST"]
 ACTIONS = ["skip", "explain", "group"]
 MISSING_SHARE = 0.3
-#: Levels of a tree that can be parents.
-DEEPEST = 24
 
 
 def lenient_int(c: Column) -> Column:
@@ -117,20 +116,32 @@ def parse_plan(replies: DataFrame, block: str, known: str, reply: str) -> DataFr
 def tree_parents(lines: DataFrame, doc: str, order: str, line: str) -> DataFrame:
     """(doc, order, topic, depth, parent): an indented tree's nodes; parent is the order of the nearest shallower line before.
 
-    A tab is a level; without tabs four spaces are. List and heading marks before a topic are dropped. The last line of
-    each depth so far is kept, for so many depths; lines deeper than DEEPEST are children of the nearest one above it.
+    A tab is a level; without tabs four spaces are. List and heading marks before a topic are dropped. Rows stream in
+    order through sorted partitions; what is held is the line of each depth that the current one stands below.
     """
     indent = F.regexp_extract(line, r"^([\t ]*)", 1)
     tabs = F.regexp_count(indent, F.lit("\t"))
     depth = F.when(tabs > 0, tabs).otherwise(F.floor(F.length(indent) / 4).cast("int"))
     topic = trimmed(F.regexp_replace(F.regexp_replace(F.regexp_replace(trimmed(F.col(line)), r"^[\-•·*]\s+", ""), r"^#{1,6}\s*", ""), r"^\*+|\*+$", ""))
     nodes = lines.select(doc, order, depth.alias("depth"), topic.alias("topic")).where("topic <> ''")
-    nodes = nodes.withColumn("deepest", F.least("depth", F.lit(DEEPEST)))
-    w = W.partitionBy(doc).orderBy(order).rowsBetween(W.unboundedPreceding, -1)
-    last = [F.last(F.when(F.col("deepest") == d, F.struct(F.col(order).alias("at"), F.col("depth").alias("d"))), True).over(w).alias(f"last{d}") for d in range(DEEPEST)]
-    rows = nodes.select("*", *last)
-    nearest = F.array_max(F.array(*[F.when((F.col(f"last{d}.d") < F.col("depth")), F.col(f"last{d}.at")) for d in range(DEEPEST)]))
-    return rows.select(doc, order, "topic", "depth", nearest.alias("parent"))
+    kinds = dict(nodes.dtypes)
+
+    def run(batches):
+        current, above = None, []
+        for pdf in batches:
+            parents = []
+            for d, at, depth in zip(pdf["d"], pdf["o"], pdf["depth"], strict=True):
+                if d != current:
+                    current, above = d, []
+                while above and above[-1][0] >= depth:
+                    above.pop()
+                parents.append(above[-1][1] if above else None)
+                above.append((depth, at))
+            yield pdf.assign(parent=pd.array(parents, "Int64"))
+
+    rows = shipped(nodes.select(F.col(doc).alias("d"), F.col(order).alias("o"), "topic", "depth")).repartition("d").sortWithinPartitions("d", "o")
+    rows = rows.mapInPandas(run, f"d {kinds[doc]}, o {kinds[order]}, topic string, depth int, parent {kinds[order]}")
+    return rows.select(F.col("d").alias(doc), F.col("o").alias(order), "topic", "depth", "parent")
 
 
 def first_within(tiers: list[Column], budget: int) -> Column:

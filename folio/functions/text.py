@@ -70,11 +70,12 @@ PARAGRAPH_REF = r"〔p(\d+)〕"
 ZH_DIGITS = {"零": 0, "〇": 0, "一": 1, "二": 2, "三": 3, "四": 4, "五": 5, "六": 6, "七": 7, "八": 8, "九": 9, "两": 2}
 #: White space of every kind.
 WHITE = r"[\s\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+WHITE_CHARACTERS = "\t\n\x0b\x0c\r \x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 
 
 def trimmed(c: Column) -> Column:
     """Without white space of any kind at both ends (trim() alone takes spaces only)."""
-    return F.regexp_replace(c, rf"^{WHITE}+|{WHITE}+\z", "")  # `$` would also match before a last line terminator
+    return F.btrim(c, F.lit(WHITE_CHARACTERS))
 
 
 def escape_like(c: Column) -> Column:
@@ -112,7 +113,8 @@ def soft_join(texts: Column) -> Column:
 
 def ends_sentence(c: Column) -> Column:
     """by a mark or closer, a circled number, one digit after CJK, or a bracketed number."""
-    return c.rlike(f"(?:{'|'.join(end.removesuffix('$') for end in (SENTENCE_END, FOOTNOTE_DIGIT, CITATION_END))}){WHITE}*$")
+    ends = "|".join(end.removesuffix("$") for end in (SENTENCE_END, FOOTNOTE_DIGIT, CITATION_END))
+    return F.right(F.rtrim(c, F.lit(WHITE_CHARACTERS)), F.lit(8)).rlike(rf"(?:{ends})\z")
 
 
 def strip_control(c: Column) -> Column:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from ..functions.text import PRIVATE_USE
+from ..functions.text import CONTENTS_LEADER, PRIVATE_USE
 from ..operators import relational as R
 from ..operators import temporal as X
 from ..sources.roles import oracle, table
@@ -175,13 +175,21 @@ def figure_anchor(t):
 
 @query(
     "J16_entry_to_line",
-    "WITH hit AS (SELECT c.id, p.page, p.ord FROM chapters c JOIN page_lines p ON p.book = c.id AND p.page BETWEEN c.last_read_para - 3 AND c.last_read_para + 20 AND contains(p.text, substr(c.ai_gist, 1, 2)) WHERE c.ai_gist <> '') SELECT id, min(page) AS page FROM hit GROUP BY 1",
+    r"""WITH l AS (SELECT book_id, idx + 1 AS leaf, h.id % 100000 AS pos, text, replace(text, ' ', '') AS plain FROM han h JOIN chapters c ON c.id = h.book),
+    e AS (SELECT book_id, leaf AS entry, leaf - (leaf * 7) % 30 AS due, left(plain, 8) AS needle FROM l WHERE pos = 0 AND leaf % 2 = 0)
+    SELECT e.book_id, entry, min(leaf) AS page FROM e JOIN l ON l.book_id = e.book_id AND leaf BETWEEN due - 3 AND due + 20 AND contains(plain, needle) AND NOT regexp_matches(text, '[…·.•‧．●]{2,}\s*[（(]?\d{1,4}[）)]?\s*$') GROUP BY 1, 2""",
 )
 def entry_to_line(t):
-    """The first page, from three before to twenty after the expected one, with a line that holds an entry's text."""
-    entries = t("chapters").where("ai_gist <> ''").select("id", F.col("last_read_para").alias("at"), F.substring("ai_gist", 1, 2).alias("needle"))
-    lines = t("page_lines").select(F.col("book").alias("id"), "page", "text")
-    return entries.join(lines, "id").where("page between at - 3 and at + 20").where(F.contains("text", "needle")).groupBy("id").agg(F.min("page").alias("page"))
+    """The first page, from three before to twenty after the expected one, with a line that holds an entry's beginning.
+
+    Entries and lines meet by equal pages; an entry asks for 24 of them, whatever the book's length.
+    """
+    pages = t("chapters").select(F.col("id").alias("book"), "book_id", (F.col("idx") + 1).alias("leaf"))
+    lines = t("han").select("book", (F.col("id") % 100000).alias("pos"), "text", F.replace("text", F.lit(" "), F.lit("")).alias("plain")).join(pages, "book")
+    at = F.col("leaf") - (F.col("leaf") * 7) % 30
+    entries = lines.where("pos = 0 and leaf % 2 = 0").select("book_id", F.col("leaf").alias("entry"), F.left("plain", F.lit(8)).alias("needle"), F.explode(F.sequence(at - 3, at + 20)).alias("leaf"))
+    hits = entries.join(lines.where(~F.col("text").rlike(CONTENTS_LEADER)).select("book_id", "leaf", "plain"), ["book_id", "leaf"]).where(F.contains("plain", "needle"))
+    return hits.groupBy("book_id", "entry").agg(F.min("leaf").alias("page"))
 
 
 @query(

@@ -110,9 +110,41 @@ register("Q008_books_progress", _progress, PROGRESS)
 update("Q009_book_mark_reading", "books", f"id = {BOOK}", last_chapter_id=f"{CHAPTER}", last_read_at=f"{NOW}", updated_at=f"{NOW}", status="'READING'")
 append("Q010_book_insert", "books", f"id = {BOOK}", id="id + 1000", title="'copy'")
 upsert("Q011_book_update", "books", "id", f"id = {BOOK}", title="'renamed'", updated_at=f"{NOW}")
-register(
-    "Q012_book_delete", lambda t: R.cascade(R.delete_where(t("books"), f"id = {BOOK}"), t("chapters"), "id", "book_id"), f"SELECT * FROM chapters WHERE book_id <> {BOOK}"
-)
+
+#: A book's tables: those whose rows go with it, and by which keys; of (table, column) each is a row of that table.
+CASCADES = {
+    "chapters": [("books", "book_id")], "paragraphs": [("chapters", "chapter_id")], "vision_queue": [("books", "book_id")], "figures": [("books", "book_id"), ("chapters", "chapter_id")],
+    "para_notes": [("chapters", "chapter_id")], "chapter_assets": [("chapters", "chapter_id")], "quiz_attempts": [("chapters", "chapter_id")], "review_items": [("books", "book_id"), ("chapters", "chapter_id")],
+    "review_log": [("review_items", "item_id")], "bookmarks": [("books", "book_id"), ("chapters", "chapter_id")], "qa_history": [("books", "book_id")], "para_memos": [("books", "book_id"), ("chapters", "chapter_id")],
+    "reading_stats": [("books", "book_id")],
+}
+
+
+def _deleted(t) -> DataFrame:
+    """(source, gone, kept): what goes with a book, table by table, along every key."""
+    gone, out = {"books": t("books").where(f"id = {BOOK}").select("id")}, None
+    for name, keys in CASCADES.items():
+        rows = t(name)
+        for i, (parent, column) in enumerate(keys):
+            rows = rows.join(gone[parent].select(F.col("id").alias(column), F.lit(1).alias(f"hit{i}")), column, "left")
+        lost = F.coalesce(*[F.col(f"hit{i}") for i in range(len(keys))]).isNotNull()
+        if "id" in rows.columns:
+            gone[name] = rows.where(lost).select("id")
+        count = rows.agg(F.count_if(lost).alias("gone"), F.count_if(~lost).alias("kept")).select(F.lit(name).alias("source"), "gone", "kept")
+        out = count if out is None else out.unionByName(count)
+    return out
+
+
+def _deleted_sql() -> str:
+    parts, where = [], {"books": f"SELECT id FROM books WHERE id = {BOOK}"}
+    for name, keys in CASCADES.items():
+        hit = " OR ".join(f"coalesce({column} IN ({where[parent]}), false)" for parent, column in keys)
+        where[name] = f"SELECT id FROM {name} WHERE {hit}"
+        parts.append(f"SELECT '{name}' AS source, count(*) FILTER ({hit}) AS gone, count(*) FILTER (NOT ({hit})) AS kept FROM {name}")
+    return " UNION ALL ".join(parts)
+
+
+register("Q012_book_delete", _deleted, _deleted_sql())
 read("Q013_book_overview", "books", f"id = {BOOK + 1}", "overview_json")
 update("Q014_book_save_overview", "books", f"id = {BOOK}", overview_json="'{}'", updated_at=f"{NOW}")
 

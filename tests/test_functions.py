@@ -97,6 +97,26 @@ def test_tree(spark):
     assert got == [("root", 0, None), ("a", 1, 0), ("b", 2, 1), ("c", 1, 0), ("other", 0, None)]
 
 
+def test_deep_tree(spark):
+    import random
+
+    dice = random.Random(1)
+    depths = [*range(40), *range(39, -1, -3), *(dice.randrange(60) for _ in range(200))]
+    rows = spark.createDataFrame([(d, i, "\t" * n + f"t{i}") for d in (1, 2) for i, n in enumerate(depths[:: d])], "doc int, n int, line string").repartition(3)
+    got = {(r.doc, r.n): (r.depth, r.parent) for r in J.tree_parents(rows, "doc", "n", "line").collect()}
+    for d in (1, 2):
+        own = depths[::d]
+        for i, n in enumerate(own):
+            assert got[d, i] == (n, max((k for k in range(i) if own[k] < n), default=None))
+
+
+def test_trimmed(spark):
+    texts = ["x \u2028", "\u2029 x", "\u3000x\u00a0", "x\x85", " ", "", "\u200ax y\u205f\x1c", None]
+    each = lambda f, ts: [r.v for r in sorted(spark.createDataFrame(list(enumerate(ts)), "i int, text string").select("i", f(F.col("text")).alias("v")).collect(), key=lambda r: r.i)]
+    assert each(T.trimmed, texts) == [None if t is None else t.strip() for t in texts]
+    assert each(T.ends_sentence, ["好。 \u2028", "好 。x", "见[12]  ", "甲3", "a3", "", "x" * 100 + "！\n\n"]) == [True, False, True, True, False, False, True]
+
+
 def test_units(spark):
     rows = spark.createDataFrame([(1, 0, "EXPLAIN", None), (1, 1, "GROUP", 1), (1, 2, "GROUP", 1), (1, 4, "GROUP", 7), (1, 5, "SKIP", None)], "chapter_id int, idx int, ai_action string, group_id long")
     assert sorted((r.anchor, r.members) for r in J.explain_units(rows).collect()) == [(0, [0]), (1, [1, 2]), (4, [4])]
