@@ -243,13 +243,12 @@ def one_of_each(docs: DataFrame, words: int = 5) -> DataFrame:
 
     Of repeated rows (one doc_id and one text) one stays, as of equal texts without a doc_id where nothing like them has one.
     """
-    text = F.col("text").cast("string")
     groups = shingles.near_groups(docs, words)
     kept = groups.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "mark")).alias("first"), F.count("*").alias("n")).where("n > 1")
     first = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("mark") == F.col("first.mark"))
     known = groups.join(kept, "root").groupBy(F.col("doc_id").alias("__doc"), F.col("mark").alias("__mark")).agg(F.max(first).alias("__first"), F.count("*").alias("__n"))
     known = materialize(known, "one-of-each")
-    rows = docs.join(known, docs["doc_id"].cast("long").eqNullSafe(known["__doc"]) & (F.xxhash64(text) == known["__mark"]), "left")
+    rows = docs.join(known, docs["doc_id"].cast("long").eqNullSafe(known["__doc"]) & (shingles.mark_of(F.col("text")) == known["__mark"]), "left")
     out = rows.where("__first is null or (__first and __n = 1)").select(docs.columns)
     if known.where("__first and __n > 1").isEmpty():
         return out
