@@ -27,6 +27,7 @@ SECTION_INLINE = f"第[{NUMERAL}]+[节讲]"
 MID_PUNCTUATION = "[，,；;]"
 TRAILING_PAGE = HAN + r"\s*\d{1,4}\s*$"
 TITLE_MAX, TITLE_A_MAX = 40, 24
+TITLE_END = "[。？！，、；,.?!;]"
 CONTENTS_LEADER = r"[…·.•‧．●]{2,}\s*[（(]?\d{1,4}[）)]?\s*$"
 CONTENTS_DOTS = "[…·.•‧．●]{2,}"
 CONTENTS_HEADING = r"^第[一二三四五六七八九十百千零〇两]+[章节目款回].{0,60}?[（(]?\d{1,4}[）)]?\s*$"
@@ -159,6 +160,13 @@ def contents_line(c: Column) -> Column:
     return c.rlike(CONTENTS_LEADER) | c.rlike(PAGE_ONLY) | c.rlike(CONTENTS_HEADING)
 
 
+def contents_block(lines: Column) -> Column:
+    """a block with a contents line at least, of whose lines, but for blank ones, half are such, headings or fixed titles."""
+    lines = F.filter(F.transform(lines, trimmed), lambda x: x != "")
+    strong = F.size(F.filter(lines, lambda x: contents_line(x) | x.rlike(f"{TITLE_A_HAN}|{TITLE_B}") | x.isin(FIXED_TITLES)))
+    return F.exists(lines, contents_line) & (strong * 2 >= F.size(lines))
+
+
 def page_number(c: Column) -> Column:
     """F13."""
     return c.rlike(PAGE_NUMBER)
@@ -166,7 +174,7 @@ def page_number(c: Column) -> Column:
 
 def title_candidate(c: Column) -> Column:
     """F16: short, not a sentence, not a contents line."""
-    return (F.length(c) > 0) & (F.length(c) <= TITLE_MAX) & ~c.rlike("[。！？；，,.;!?：:]$") & ~c.rlike(CONTENTS_LEADER)
+    return (F.length(c) > 0) & (F.length(c) <= TITLE_MAX) & ~F.right(c, F.lit(1)).rlike(TITLE_END) & ~c.rlike(CONTENTS_LEADER)
 
 
 def front_title(c: Column) -> Column:

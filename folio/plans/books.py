@@ -1,4 +1,4 @@
-"""Books cut by their contents, read again, pulled and worked through.
+"""Books cut by their contents, read again, pulled and worked through.
 
 A source is a book here, its documents are the pages, and their lines, spelt in Chinese, stand on them.
 """
@@ -11,9 +11,11 @@ from pyspark.sql import Window as W
 
 from ..functions import text as T
 from ..operators import calibration as C
+from ..operators import chapters as H
 from ..operators import pull as U
 from ..operators import rebuild as B
 from ..operators import recognition as G
+from ..operators import review as V
 from ..operators import workflow as K
 from ..operators.temporal import asof_join
 from ..sources.roles import oracle, table
@@ -61,6 +63,52 @@ def calibration_inputs(t) -> dict[str, DataFrame]:
     }
 
 
+def marked_blocks(t) -> DataFrame:
+    """Blocks of three lines in Chinese, some pages' first ones with the mark of their page, a few with that of a contents list."""
+    lines = t("han").select("book", (F.col("id") % 100000).alias("pos"), "text")
+    rows = lines.groupBy("book", F.floor(F.col("pos") / 3).alias("idx")).agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "text"))), lambda s: s["text"]).alias("lines"))
+    page = F.when(F.col("idx") % 10 == 0, F.array(F.concat(F.lit("〔页"), (F.col("idx") / 10 + 1).cast("int").cast("string"), F.lit("〕")))).otherwise(F.array().cast("array<string>"))
+    listed = F.when(F.col("idx") % 29 == 13, F.array(F.lit("〔目录〕"))).otherwise(F.array().cast("array<string>"))
+    return rows.select("book", "idx", F.concat(page, listed, "lines").alias("lines"))
+
+
+@query("C07_book_chapters")
+def book_chapters(t):
+    return H.parse(marked_blocks(t)).chapters
+
+
+@query("C07_book_paragraphs")
+def book_paragraphs(t):
+    return H.parse(marked_blocks(t)).paragraphs
+
+
+@query(
+    "F19_contents_blocks",
+    r"""WITH l AS (SELECT book, (id % 100000) // 3 AS idx, trim(text) AS t FROM han), k AS (SELECT book, idx, t, regexp_matches(t, '[…·.•‧．●]{2,}\s*[（(]?\d{1,4}[）)]?\s*$') OR regexp_matches(t, '^(\d{1,4}|[（(]\d{1,4}[）)])$')
+    OR regexp_matches(t, '^第[一二三四五六七八九十百千零〇两]+[章节目款回].{0,60}?[（(]?\d{1,4}[）)]?\s*$') AS dot FROM l WHERE t <> '')
+    SELECT book, idx, max(CAST(dot AS INT)) = 1 AND 2 * count(*) FILTER (dot OR regexp_matches(t, '^第[一二三四五六七八九十百千0-9零〇两]+[章单元篇部卷回节讲]') OR t IN ('前言', '序言', '引言', '目录', '附录', '后记', '参考文献')) >= count(*) AS listed FROM k GROUP BY 1, 2""",
+)
+def contents_blocks(t):
+    """Blocks of three lines that read as part of a contents list."""
+    lines = t("han").groupBy("book", F.floor((F.col("id") % 100000) / 3).alias("idx")).agg(F.collect_list("text").alias("lines"))
+    return lines.select("book", "idx", T.contents_block(F.col("lines")).alias("listed"))
+
+
+@query(
+    "P13_phantom_of_headings",
+    """WITH p AS (SELECT book, id % 100000 AS pos, trim(text) AS t, length(text) AS n FROM han UNION ALL SELECT book, 99999, '注', CAST(sum(length(text)) AS BIGINT) FROM han GROUP BY book),
+    k AS (SELECT * FROM p WHERE CASE book % 3 WHEN 0 THEN pos % 17 = 1 AND pos < 99999 WHEN 1 THEN pos % 17 = 1 OR pos = 99999 ELSE pos < 99999 END), c AS (SELECT book, count(*) AS n, count(*) FILTER (NOT regexp_matches(t, '^第[一二三四五六七八九十百千零〇两]+节')) AS others, max(CASE WHEN NOT regexp_matches(t, '^第[一二三四五六七八九十百千零〇两]+节') THEN n END) AS longest FROM k GROUP BY 1)
+    SELECT book AS chapter_id, CASE WHEN n < 2 THEN 'keep' WHEN others = 0 THEN CASE WHEN n <= 15 THEN 'drop' ELSE 'keep' END WHEN others <= 3 AND longest >= 2000 THEN 'clean' ELSE 'keep' END AS decision FROM c""",
+)
+def phantom_of_headings(t):
+    """A third of the chapters holds section entries only, a third has a paragraph of all text beside them, a third is whole."""
+    han = t("han").select(F.col("book").alias("chapter_id"), (F.col("id") % 100000).alias("idx"), "text")
+    whole = han.groupBy("chapter_id").agg(F.lit(99999).cast("long").alias("idx"), F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("idx", "text"))), lambda s: s["text"]), "").alias("text"))
+    entry, book = F.col("idx") % 17 == 1, F.col("chapter_id") % 3
+    lines = han.where((book == 2) | entry).unionByName(whole.where(book == 1))
+    return V.phantom_chapters(lines.withColumns({"title": F.lit("第一章 总则"), "role": F.lit("BODY")})).select("chapter_id", "decision")
+
+
 @query("C10_calibrated")
 def calibrated(t):
     return C.calibrate(**calibration_inputs(t)).chapters

@@ -36,7 +36,7 @@ on_paragraphs("F06_ends_sentence", T.ends_sentence, r"regexp_matches(rtrim(text)
 on_paragraphs("F07_strip_control", T.strip_control, r"regexp_replace(text, '[\x00-\x1f\x7f]', '', 'g')")
 on_paragraphs("F09_private_use", T.private_use, r"CAST(len(regexp_extract_all(text, '[\x{E000}-\x{F8FF}]')) AS INT)")
 on_paragraphs("F11_footnote_lead", lambda c: T.footnote_marked(c) | T.footnote_lead(c), r"regexp_matches(text, '^[\x{2460}-\x{2473}@]') OR regexp_matches(text, '^[0Oo][\x{4E00}-\x{9FFF}]') OR (length(text) >= 6 AND (regexp_matches(right(text, 12), '[（(]\d{4}[）)]?\s*[.。]?\s*$') OR (length(text) >= 16 AND len(regexp_extract_all(text, '[A-Za-z0-9]')) * 2 >= length(text))))")
-on_paragraphs("F16_title_candidate", T.title_candidate, r"length(text) > 0 AND length(text) <= 40 AND NOT regexp_matches(text, '[。！？；，,.;!?：:]$') AND NOT regexp_matches(text, '[…·.•‧．●]{2,}\s*[（(]?\d{1,4}[）)]?\s*$')")
+on_paragraphs("F16_title_candidate", T.title_candidate, r"length(text) > 0 AND length(text) <= 40 AND NOT regexp_matches(right(text, 1), '[。？！，、；,.?!;]') AND NOT regexp_matches(text, '[…·.•‧．●]{2,}\s*[（(]?\d{1,4}[）)]?\s*$')")
 on_paragraphs("F22_normal_title", T.normal_title, None)
 on_paragraphs("F23_clean_title", T.clean_title, "regexp_replace(regexp_replace(text, '[…·.•‧]{2,}.*$', ''), '^[\\s\\x{A0}\\x{3000}]+|[\\s\\x{A0}\\x{3000}]+$', '', 'g')")
 on_paragraphs("F27_split_glued", lambda c: F.size(T.split_glued(c)), None)
