@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from ..cluster import shipped
+from ..cluster import shipped, written
 from ..functions import text as T
 from .temporal import islands
 
@@ -246,6 +246,40 @@ def most_similar(texts: DataFrame, entries: DataFrame, block: int = 1000) -> Dat
     return found.groupBy("id").agg(F.max_by("entry", F.struct("ratio", -F.col("entry"))).alias("entry"), F.max("ratio").alias("ratio"))
 
 
+def _numbered(c: Column) -> Column:
+    """A string's characters, each with how often it stood before: sets of these meet in what multisets of characters share."""
+    each = F.filter(F.split(c, ""), lambda x: x != "")
+    return F.transform(each, lambda x, i: F.concat(x, F.size(F.filter(F.slice(each, 1, i), lambda y: y == x)).cast("string")))
+
+
+def similar_titles(asked: DataFrame, pool: DataFrame, least: float) -> DataFrame:
+    """(book, a, b, ratio): the pairs of a book's a of asked and b of pool whose ratio by matching blocks is `least` or more.
+
+    Matching blocks hold no more than the characters that both have. So, with characters ordered from rare to common in the
+    book, two such strings share one of the first of each, and pairs meet by (book, character) of these only; where the
+    shared characters are enough for the ratio, it is computed. Empty and null strings are like none; repeated ones are one.
+    """
+    held = [df.select("book", F.col(c).alias("s"), F.lit(c).alias("side")).where("s <> ''").distinct() for df, c in ((asked, "a"), (pool, "b"))]
+    tokens = held[0].unionByName(held[1]).select("book", "s", "side", F.explode(_numbered(F.col("s"))).alias("token"))
+    counts = tokens.groupBy("book", "token").agg(F.count("*").alias("often"))
+    ranked = tokens.join(counts, ["book", "token"]).groupBy("book", "s", "side").agg(F.sort_array(F.collect_list(F.struct("often", "token"))).alias("tokens"))
+    needed = F.ceil(F.size("tokens") * F.lit(least / (2 - least)) - 1e-9)
+    lead = F.slice("tokens", 1, (F.size("tokens") - needed + 1).cast("int"))
+    leads = written(ranked.select("book", "s", "side", F.explode(F.transform(lead, lambda x: x["token"])).alias("token")), "title-leads")
+    first, second = (leads.where(F.col("side") == c).select("book", "token", F.col("s").alias(c)) for c in "ab")
+    pairs = first.join(second, ["book", "token"]).select("book", "a", "b").distinct()
+    shared = F.size(F.array_intersect(_numbered(F.col("a")), _numbered(F.col("b"))))
+    pairs = pairs.where(2 * shared >= F.lit(least - 1e-9) * (F.length("a") + F.length("b")))
+
+    def run(batches):
+        for pdf in batches:
+            pdf["ratio"] = [difflib.SequenceMatcher(None, a, b).ratio() for a, b in zip(pdf["a"], pdf["b"], strict=True)]
+            yield pdf[pdf["ratio"] >= least]
+
+    kinds = dict(pairs.dtypes)
+    return shipped(pairs).mapInPandas(run, f"book {kinds['book']}, a string, b string, ratio double")
+
+
 def offset_of_anchors(chapters_: DataFrame) -> DataFrame:
     """C11: (book_id, page_offset, sure): the first, middle and last entry agree on an offset, two give their rounded mean."""
     w = W.partitionBy("book_id")

@@ -5,17 +5,15 @@ Lines lie in tables (book, page, ord, text). What a rule needs of a page comes f
 
 from __future__ import annotations
 
-import difflib
-import statistics
 from functools import reduce
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from ..cluster import shipped
+from ..cluster import written
 from ..functions import text as T
+from .documents import similar_titles
 from .temporal import asof_join, islands
 
 # Shapes of lines, confused characters and their words, junk, and words that titles consist of.
@@ -194,27 +192,18 @@ def reconcile(lines: DataFrame, chapters: DataFrame, entries: DataFrame) -> Data
     """(book, kind, page, what): contents entries without a chapter, numbers left out, and chapters with hardly a text.
 
     An entry has the chapter most like it, from a likeness of 0.55 on; what it would be on is reckoned by the offset that
-    most of those with one have. chapters as of scan_chapters(), entries as of detect_contents(); both are short for a book.
+    most of those with one have. chapters as of scan_chapters(), entries as of detect_contents().
     """
-    pool = chapters.where("role <> 'TOC'").groupBy("book").agg(F.sort_array(F.collect_list(F.struct("n", _bare(F.col("title")).alias("title"), "page"))).alias("pool"))
-    asked = entries.groupBy("book").agg(F.sort_array(F.collect_list(F.struct("page", "ord", "entry", _bare(F.col("entry")).alias("bare"), "printed"))).alias("entries"))
-
-    def run(batches):
-        for pdf in batches:
-            out = []
-            for r in pdf.itertuples():
-                best = {}
-                for i, e in enumerate(r.entries):
-                    found = [(difflib.SequenceMatcher(None, e["bare"], c["title"]).ratio(), -j) for j, c in enumerate(r.pool if r.pool is not None else [])]
-                    if e["bare"] and found:
-                        best[i] = max(found)
-                near = {i: -j for i, (ratio, j) in best.items() if ratio >= 0.55}
-                offsets = [int(r.pool[j]["page"] - r.entries[i]["printed"]) for i, j in near.items()]
-                offset = statistics.mode(offsets) if offsets else None
-                out += [(r.book, "toc_miss", None if offset is None else int(e["printed"]) + offset, e["entry"]) for i, e in enumerate(r.entries) if i not in near]
-            yield pd.DataFrame(out, columns=["book", "kind", "page", "what"]).astype({"page": "Int32"})
-
-    missed = shipped(asked.join(pool, "book", "left")).mapInPandas(run, "book long, kind string, page int, what string")
+    pool = chapters.where("role <> 'TOC'").select("book", "n", _bare(F.col("title")).alias("b"), F.col("page").alias("on"))
+    pool = pool.groupBy("book", "b").agg(F.min("n").alias("n"), F.min_by("on", "n").alias("on"))
+    asked = entries.withColumn("a", _bare(F.col("entry")))
+    best = similar_titles(asked, pool, 0.55).join(pool, ["book", "b"]).groupBy("book", "a").agg(F.max_by("on", F.struct("ratio", -F.col("n"))).alias("on"))
+    best = written(best, "reconcile-best")
+    offsets = asked.join(best, ["book", "a"]).where("on - printed is not null").groupBy("book", (F.col("on") - F.col("printed")).alias("d"))
+    offsets = offsets.agg(F.count("*").alias("times"), F.min(F.struct("page", "ord", "entry")).alias("at"))
+    offsets = offsets.groupBy("book").agg(F.min_by("d", F.struct(-F.col("times"), "at")).alias("d"))
+    missed = asked.join(best, ["book", "a"], "left_anti").join(offsets, "book", "left")
+    missed = missed.select("book", F.lit("toc_miss").alias("kind"), (F.col("printed") + F.col("d")).cast("int").alias("page"), F.col("entry").alias("what"))
     first = chapters.where("level = 1 and role <> 'TOC'")
     numbers = first.where("role = 'BODY'").withColumn("number", T.zh_to_int(F.regexp_extract("title", NUMBERED_TITLE, 1))).where("number > 0").groupBy("book").agg(F.collect_list("number").alias("all"), F.collect_set("number").alias("set"))
     gaps = numbers.where("size(all) >= 2 and size(all) = size(set)").select("book", F.explode(F.array_except(F.sequence(F.array_min("set"), F.array_max("set")), "set")).alias("miss"))

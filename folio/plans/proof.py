@@ -162,6 +162,20 @@ def reconciled(t):
     return P.reconcile(t("han"), P.scan_chapters(t("han")), P.detect_contents(t("han")))
 
 
+def titles_of(t):
+    """Contents entries and headings of each book, without marks and blanks."""
+    han = t("han")
+    entries = P.detect_contents(han).select("book", T.compared(F.col("entry")).alias("a"))
+    return entries, P.scan_chapters(han).select("book", T.compared(F.col("title")).alias("b"))
+
+
+@query("J18_similar_titles")
+def similar_titles(t):
+    """The pairs of a contents entry and a heading of a book with a likeness of 0.7 or more."""
+    pairs = D.similar_titles(*titles_of(t), 0.7)
+    return pairs.select("book", "a", "b", F.round("ratio", 9).alias("ratio"))
+
+
 @query("F20_contents_entries")
 def entries(t):
     return P.contents_entries(t("han"))

@@ -1,6 +1,9 @@
 """Proofreading, contents and packed books: small texts, and choices in order against plain loops."""
 
+import difflib
 import random
+import re
+import statistics
 
 import pytest
 from pyspark.sql import functions as F
@@ -9,7 +12,10 @@ from folio.functions import text as T
 from folio.operators import documents as D
 from folio.operators import kit as K
 from folio.operators import proofread as P
+from folio.plans import proof
+from folio.sources.roles import table
 
+SF = "/root/testdata/sf0.001"
 LINE = "book long, page int, ord int, text string"
 
 
@@ -82,6 +88,47 @@ def test_chapters_of_a_book(spark):
     assert [(r.kind, r.what) for r in P.reconcile(numbered, P.scan_chapters(numbered), P.detect_contents(numbered)).orderBy("what").collect()] == [("gap", "3"), ("gap", "4")]
 
 
+def brute_titles(asked, pool, least):
+    pairs = {(k, a, b) for k, a in asked for j, b in pool if j == k and a and b}
+    return {(k, a, b, round(r, 9)) for k, a, b in pairs if (r := difflib.SequenceMatcher(None, a, b).ratio()) >= least}
+
+
+@pytest.mark.parametrize("least", [0.55, 0.8, 1.0])
+def test_similar_titles(spark, least):
+    rng = random.Random(least)
+    title = lambda: "".join(rng.choices("甲乙丙丁戊己庚辛一二", k=rng.randrange(0, 9)))
+    asked, pool = ([(k, rng.choice([title(), title(), None])) for k in range(4) for _ in range(60)] for _ in "ab")
+    pool += [(k, a and a[:2] + "壬" + a[2:]) for k, a in asked[::3]] + [(9, "甲")]
+    df = D.similar_titles(spark.createDataFrame(asked, "book long, a string"), spark.createDataFrame(pool, "book long, b string"), least)
+    assert sorted((*r[:3], round(r.ratio, 9)) for r in df.collect()) == sorted(brute_titles(asked, pool, least))
+
+
+def test_registered_titles(spark):
+    asked, pool = (sorted(map(tuple, df.collect())) for df in proof.titles_of(lambda n: table(spark, SF, n)))
+    want = brute_titles(asked, pool, 0.7)
+    assert sorted(map(tuple, proof.QUERIES["J18_similar_titles"](spark, SF).collect())) == sorted(want)
+
+
+def test_registered_reconciliation(spark):
+    """Missed entries against a loop over each book's entries and headings."""
+    han = table(spark, SF, "han")
+    entries, heads = P.detect_contents(han).collect(), P.scan_chapters(han).where("role <> 'TOC'").collect()
+    bare = {t: re.sub(r"[\s·•.。:：、，,;；\-—…（）()「」『』〔〕\[\]]+", "", t) for t in {*(e.entry for e in entries), *(h.title for h in heads)}}
+    want = []
+    for book in {e.book for e in entries}:
+        pool = sorted((h.n, bare[h.title], h.page) for h in heads if h.book == book)
+        near, rows = {}, sorted((e.page, e.ord, e.entry, e.printed) for e in entries if e.book == book)
+        for i, (_, _, entry, _) in enumerate(rows):
+            best = max(((difflib.SequenceMatcher(None, bare[entry], t).ratio(), -n, page) for n, t, page in pool), default=(0, 0, 0))
+            if bare[entry] and best[0] >= 0.55:
+                near[i] = best[2]
+        offsets = [page - rows[i][3] for i, page in near.items()]
+        d = statistics.mode(offsets) if offsets else None
+        want += [(book, None if d is None else r[3] + d, r[2]) for i, r in enumerate(rows) if i not in near]
+    got = P.reconcile(han, P.scan_chapters(han), P.detect_contents(han)).where("kind = 'toc_miss'").select("book", "page", "what").collect()
+    assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, want))
+
+
 def test_edits(spark):
     lines = spark.createDataFrame([(1, 1, 0, "甲乙丙"), (1, 1, 1, "甲丁"), (1, 1, 2, "〔图：戊〕"), (1, 1, 3, "删去")], LINE)
     edits = [(1, 1, 0, "乙", "己"), (1, 1, 1, "甲", "庚"), (1, 1, 2, "戊", "辛"), (1, 1, 3, "删去", ""), (1, 1, 4, "丁", "丁丁丁丁丁丁"), (1, 1, 5, "乙", "壬")]
