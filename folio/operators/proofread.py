@@ -194,6 +194,7 @@ def reconcile(lines: DataFrame, chapters: DataFrame, entries: DataFrame) -> Data
     An entry has the chapter most like it, from a likeness of 0.55 on; what it would be on is reckoned by the offset that
     most of those with one have. chapters as of scan_chapters(), entries as of detect_contents().
     """
+    chapters, entries = written(chapters, "reconcile-chapters"), written(entries, "reconcile-entries")
     pool = chapters.where("role <> 'TOC'").select("book", "n", _bare(F.col("title")).alias("b"), F.col("page").alias("on"))
     pool = pool.groupBy("book", "b").agg(F.min("n").alias("n"), F.min_by("on", "n").alias("on"))
     asked = entries.withColumn("a", _bare(F.col("entry")))
