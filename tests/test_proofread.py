@@ -210,6 +210,29 @@ def test_most_similar(spark, block):
     assert {r.id: (r.entry, r.ratio) for r in got.collect()} == {i: (-e, round(r, 9)) for i, (r, e) in enumerate(want)}
 
 
+def test_most_similar_of_many_kinds(spark):
+    """Equal texts and titles, nulls, long titles with frequent characters, and texts like none."""
+    rng = random.Random(4)
+    word = lambda n: "".join(rng.choices("abcdefgh 甲乙😀", k=rng.randrange(0, n)))
+    texts, titles = [word(60) for _ in range(40)] + [word(3000), "", None, "xyz", "a\0b\0", "a" * 300], [word(60) for _ in range(30)] + [word(900) for _ in range(6)] + ["a\0b", "a" * 260]
+    texts, titles = texts + texts[:10], titles + titles[:5]
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, text string"), spark.createDataFrame([(i + 7, t) for i, t in enumerate(titles)], "entry long, title string")
+    want = [max((difflib.SequenceMatcher(None, a or "", b).ratio(), -i - 7) for i, b in enumerate(titles)) for a in texts]
+    for block, share in ((1000, 1000), (9, 5)):
+        got = D.most_similar(*df, block, share)
+        assert {r.id: (r.entry, r.ratio) for r in got.collect()} == {i: (-e, round(r, 9)) for i, (r, e) in enumerate(want)}
+
+
+def test_most_similar_compares_few(monkeypatch):
+    """Titles that cannot be the most alike by their common subsequences are not compared."""
+    rng = random.Random(5)
+    titles = D.Titles([(i, "".join(rng.choices("abcdefghijklmnop", k=50))) for i in range(500)])
+    asked, tried = [t[:20] + "z" + t[20:] for t in titles.titles[::25]], []
+    ratio = D._block_ratio
+    monkeypatch.setattr(D, "_block_ratio", lambda *x: tried.append(x) or ratio(*x))
+    assert [-titles.best(a)[1] for a in asked] == list(range(0, 500, 25)) and len(tried) == len(asked)
+
+
 def test_blocks_in_order(spark):
     rng = random.Random(3)
     rows = [(g, i, "x" * rng.randrange(0, 60)) for g in range(5) for i in range(80)]
