@@ -152,25 +152,36 @@ def blind_chapters(df: DataFrame, group: str, order: str, whole: int = 50_000, l
 def stitch(pages: DataFrame) -> DataFrame:
     """Pages (book, page, paras) with paragraphs cut by a page's end joined to their beginning.
 
-    Sequential in a book: a page that gives its only paragraph away changes the next decision.
+    Sequential in a book: a page that gives its only paragraph away changes the next decision. One page is held at a time.
     """
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+    def run(batches):
         import re
 
-        rows = [(r.book, r.page, [x for x in r.paras if x]) for r in pdf.sort_values("page").itertuples()]
         heading = re.compile(f"^第[{T.NUMERAL}]+[章节编篇]|^[一二三四五六七八九十]+、")
-        for (_, _, a), (_, _, b) in zip(rows[:-1], rows[1:], strict=True):
-            if not a or not b:
-                continue
-            x, y = a[-1], b[0]
-            cut = len(x) >= 12 and not x.startswith("〔") and not y.startswith("〔") and not heading.match(x) and not heading.match(y)
-            if cut and re.search(r"[一-鿿a-zA-Z]$", x) and re.match(r"[一-鿿a-z]", y):
-                a[-1] = x + (" " if x[-1].isascii() and y[0].isascii() else "") + y
-                del b[0]
-        return pd.DataFrame([(book, page, len(paras), sum(map(len, paras))) for book, page, paras in rows], columns=["book", "page", "paras", "chars"])
-
-    return shipped(pages).groupBy("book").applyInPandas(run, "book long, page int, paras int, chars long")
+        held = None
+        measured = lambda r: (r[0], r[1], len(r[2]), sum(map(len, r[2])))
+        for pdf in batches:
+            out = []
+            for book, page, paras in zip(pdf["book"].tolist(), pdf["page"].tolist(), pdf["paras"], strict=True):
+                now = (book, page, [x for x in paras if x])
+                if held and held[0] == book and held[2] and now[2]:
+                    a, b = held[2], now[2]
+                    x, y = a[-1], b[0]
+                    cut = len(x) >= 12 and not x.startswith("〔") and not y.startswith("〔") and not heading.match(x) and not heading.match(y)
+                    if cut and re.search(r"[一-鿿a-zA-Z]$", x) and re.match(r"[一-鿿a-z]", y):
+                        a[-1] = x + (" " if x[-1].isascii() and y[0].isascii() else "") + y
+                        del b[0]
+                if held:
+                    out.append(measured(held))
+                held = now
+            if out:
+                yield pd.DataFrame(out, columns=["book", "page", "paras", "chars"])
+        if held:
+            yield pd.DataFrame([measured(held)], columns=["book", "page", "paras", "chars"])
+
+    rows = shipped(pages).select("book", "page", "paras").repartition("book").sortWithinPartitions("book", "page")
+    return rows.mapInPandas(run, "book long, page int, paras int, chars long")
 
 
 def merge_fragments(lines: DataFrame, reach: float = 15.0) -> DataFrame:
