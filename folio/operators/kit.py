@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from ..cluster import shipped
+from ..cluster import shipped, written
 from ..functions import text as T
 from .temporal import asof_join, islands
 
@@ -49,19 +49,26 @@ def chapter_starts(lines: DataFrame, chapters: DataFrame) -> DataFrame:
     first = blocks.groupBy("book").agg(F.min("block").alias("begin"))
     rows = chapters.select("book", "n").join(hits, ["book", "n"], "left").join(first, "book")
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf, pointer, out = pdf.sort_values("n"), -1, []
-        for i, r in enumerate(pdf.itertuples()):
-            found = [] if r.hits is None else list(r.hits)
-            at = bisect_left(found, pointer)
-            if at < len(found):
-                out.append((r.book, r.n, found[at]))
-                pointer = found[at] + 1
-            elif i == 0:
-                out.append((r.book, r.n, r.begin))
-        return pd.DataFrame(out, columns=["book", "n", "start"])
-
-    return shipped(rows).groupBy("book").applyInPandas(run, "book long, n int, start long")
+    def run(batches):
+        book, pointer = None, -1
+        for pdf in batches:
+            out = []
+            for of, n, found, begin in zip(pdf["book"].tolist(), pdf["n"].tolist(), pdf["hits"], pdf["begin"].tolist(), strict=True):
+                opens = of != book
+                if opens:
+                    book, pointer = of, -1
+                found = [] if found is None else found.tolist()
+                at = bisect_left(found, pointer)
+                if at < len(found):
+                    out.append((of, n, found[at]))
+                    pointer = found[at] + 1
+                elif opens:
+                    out.append((of, n, begin))
+            if out:
+                yield pd.DataFrame(out, columns=["book", "n", "start"])
+
+    rows = shipped(rows).select("book", "n", "hits", "begin").repartition("book").sortWithinPartitions("book", "n")
+    return rows.mapInPandas(run, "book long, n int, start long")
 
 
 def kit_chapters(lines: DataFrame, chapters: DataFrame) -> DataFrame:
@@ -69,11 +76,12 @@ def kit_chapters(lines: DataFrame, chapters: DataFrame) -> DataFrame:
 
     lines: book, block, page, ord, text; chapters: book, n, title, page, anchor, level, role. Only first-level chapters
     count where a book has any. A block is one paragraph, but for its figure lines; one that begins with a note's mark is
-    that note. Titles of chapters without paragraphs are put before the next one's.
+    that note. Titles of chapters without paragraphs are put before the next one's. The list, the starts and the lines with
+    their chapters are written, each once, since several steps read them.
     """
     any_first = F.max(F.col("level") <= 1).over(W.partitionBy("book"))
-    chapters = chapters.withColumn("__any", any_first).where("level <= 1 or not __any").drop("__any")
-    starts = chapter_starts(lines, chapters).join(chapters.select("book", "n", "title", "anchor", "role"), ["book", "n"])
+    chapters = written(chapters.withColumn("__any", any_first).where("level <= 1 or not __any").drop("__any"), "kit-chapters")
+    starts = written(chapter_starts(lines, chapters).join(chapters.select("book", "n", "title", "anchor", "role"), ["book", "n"]), "kit-starts")
     placed = asof_join(lines, starts, "book", "block", "start", ["n", "title", "anchor", "role"]).where("n is not null")
     begun = starts.select("book", F.col("start").alias("block"), F.lit(True).alias("begins"))
     placed = placed.join(begun, ["book", "block"], "left")
@@ -84,6 +92,7 @@ def kit_chapters(lines: DataFrame, chapters: DataFrame) -> DataFrame:
     in_block = W.partitionBy("book", "block")
     head = F.first("t").over(in_block.orderBy("ord"))
     rows = rows.withColumns({"note": head.startswith(NOTE), "figure": F.col("t").rlike(FIGURE), "nth": F.row_number().over(in_block.orderBy("ord"))})
+    rows = written(rows.select("book", "n", "title", "role", "block", "ord", "t", "note", "figure", "nth"), "kit-rows")
     keys = ["book", "n", "title", "block"]
     notes = rows.where("note and nth = 1").select(*keys, F.lit(0).alias("part"), F.substring("t", len(NOTE) + 1, 1 << 30).alias("text"), F.lit("FOOTNOTE").alias("role"))
     figures = rows.where("not note and figure").select(*keys, "nth", F.col("t").alias("text")).select(*keys, F.col("nth").alias("part"), "text", F.lit("FIGURE").alias("role"))

@@ -251,3 +251,47 @@ def test_blocks_in_order(spark):
             acc += len(t)
             if acc >= 100:
                 part, acc = part + 1, 0
+
+
+def _plan(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_text_is_spelt_in_one_place(spark):
+    """Steps that read the text of the Chinese lines several times have it as a column, not as its expression."""
+    han = table(spark, SF, "han")
+    twice = han.where("text <> '' and length(text) > 2").select("book", F.concat("text", F.upper("text")).alias("t")).where("t <> 'x'")
+    assert _plan(twice).count("translate(") <= 2
+
+
+def test_books_in_batches(spark):
+    """Starts and stitched pages are folds over sorted rows, whatever the batches; no book is a group by itself."""
+    rng = random.Random(6)
+    part = lambda: rng.choice(["", "〔页", "第一章", "一、总"]) * (rng.random() < 0.2) + "".join(rng.choices("民法人事 。ab", k=rng.randrange(0, 30)))
+    pages = [(b, p, [part() for _ in range(rng.randrange(0, 3))]) for b in range(9) for p in range(1, rng.randrange(2, 12))]
+    rows = {b: [(p, [x for x in paras if x]) for k, p, paras in pages if k == b] for b in range(9)}
+    heading = re.compile(f"^第[{T.NUMERAL}]+[章节编篇]|^[一二三四五六七八九十]+、")
+    for of in rows.values():
+        for (_, a), (_, b) in zip(of[:-1], of[1:], strict=True):
+            if a and b and len(a[-1]) >= 12 and not any(x.startswith("〔") or heading.match(x) for x in (a[-1], b[0])) and re.search("[一-鿿a-zA-Z]$", a[-1]) and re.match("[一-鿿a-z]", b[0]):
+                a[-1] += (" " if a[-1][-1].isascii() and b[0][0].isascii() else "") + b.pop(0)
+    want = sorted((b, p, len(x), sum(map(len, x))) for b, of in rows.items() for p, x in of)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 3)
+    try:
+        df = D.stitch(spark.createDataFrame(pages, "book long, page int, paras array<string>").repartition(3))
+        assert sorted(map(tuple, df.collect())) == want and "FlatMapGroups" not in _plan(df)
+        lines = [(b, i, i // 4 + 1, i, rng.choice(["甲乙", "丙丁戊", "己"]) + str(rng.randrange(3))) for b in range(6) for i in range(20)]
+        listed = [(b, n, rng.randrange(1, 4), rng.choice(["甲乙", "丙 丁", "己", "壬", ""])) for b in range(6) for n in range(7)]
+        found = K.chapter_starts(spark.createDataFrame(lines, "book long, block long, page int, ord int, text string"), spark.createDataFrame(listed, "book long, n int, page int, anchor string"))
+        assert "FlatMapGroups" not in _plan(found)
+        starts = []
+        for b in range(6):
+            pointer = -1
+            for k, n, least, anchor in listed:
+                hits = [i for c, i, p, _, text in lines if k == c == b and p >= least and text.startswith(anchor.replace(" ", "")) and i >= pointer]
+                if k == b and (hits or n == 0):
+                    starts.append((b, n, hits[0] if hits else 0))
+                    pointer = hits[0] + 1 if hits else pointer
+        assert sorted(map(tuple, found.collect())) == sorted(starts)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
