@@ -13,7 +13,7 @@ by 128 bits of BLAKE2b, are one node.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from hashlib import blake2b
 
 import numpy as np
@@ -40,17 +40,30 @@ def normal(text: bytes) -> bytes:
     return b" ".join(text.lower().split())
 
 
-def shingles(joined: bytes, words: int, seed: int = 42) -> np.ndarray:
-    """The distinct hashes of the shingles of a normal text, in order."""
+def every(joined: bytes, words: int, seed: int = 42) -> np.ndarray:
+    """The hashes of the shingles of a normal text as they follow, repeats included."""
     from xxhash import xxh64_intdigest
 
     parts = joined.split()
     if len(parts) <= words:
-        return np.array([xxh64_intdigest(joined, seed)], np.uint64).view(np.int64)
+        return np.array([xxh64_intdigest(joined, seed)], np.uint64)
     ends = np.cumsum([len(x) + 1 for x in parts])
     n = len(parts) - words + 1
     first, last = [0, *ends[: n - 1].tolist()], (ends[-n:] - 1).tolist()
-    return np.unique(np.fromiter((xxh64_intdigest(joined[a:b], seed) for a, b in zip(first, last, strict=True)), np.uint64, n).view(np.int64))
+    return np.fromiter((xxh64_intdigest(joined[a:b], seed) for a, b in zip(first, last, strict=True)), np.uint64, n)
+
+
+def shingles(joined: bytes, words: int, seed: int = 42) -> np.ndarray:
+    """The distinct hashes of the shingles of a normal text, in order."""
+    return np.unique(every(joined, words, seed).view(np.int64))
+
+
+def majority(hashes: np.ndarray) -> int:
+    """Bit by bit whether over half of the hashes have a 1."""
+    total = np.zeros(64, np.int64)
+    for at in range(0, len(hashes), 1 << 16):
+        total += np.unpackbits(hashes[at : at + (1 << 16)].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+    return int.from_bytes(np.packbits(2 * total > len(hashes)).tobytes(), "big")
 
 
 def likely(one: bytes, two: bytes, words: int) -> bool:
@@ -109,7 +122,7 @@ def commonness(marked: DataFrame, words: int) -> np.ndarray:
 
 
 def leads(marked: DataFrame, words: int) -> DataFrame:
-    """(doc_id, mark, k0, k1, n, lead, p0, …): each text's words by 128 bits, its number of shingles, the first of them by the order, and the parities of all."""
+    """(doc_id, mark, k0, k1, n, fp, lead, p0, …): each text's words by 128 bits, its number of shingles, its SimHash, the first shingles by the order, and the parities of all."""
     common = marked.sparkSession.sparkContext.broadcast(commonness(marked, words))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -118,13 +131,15 @@ def leads(marked: DataFrame, words: int) -> DataFrame:
             for a, b, texts in text_blocks(batch.column("text")):
                 texts = [normal(x) for x in texts]
                 keys = np.frombuffer(b"".join(blake2b(x, digest_size=16).digest() for x in texts), np.int64).reshape(-1, 2)
-                found = [shingles(x, words) for x in texts]
+                hashes = [every(x, words) for x in texts]
+                fp = np.array([majority(h) if x else 0 for x, h in zip(texts, hashes, strict=True)], np.uint64).view(np.int64)
+                found = [np.unique(h.view(np.int64)) for h in hashes]
                 first = [x[np.argsort(level[_slots(x)], kind="stable")[: len(x) // 5 + 1]] for x in found]
                 odd = np.array([np.packbits((np.bincount(x & (width - 1), minlength=width) & 1).astype(np.uint8)) for x in found]).view(np.int64)
-                columns = [*(batch.column(c).slice(a, b - a) for c in ("doc_id", "mark")), *(pa.array(x) for x in keys.T), pa.array([len(x) for x in found], pa.int32()), _lists(first), *(pa.array(x) for x in odd.T)]
-                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "mark", "k0", "k1", "n", "lead", *PARITIES])
+                columns = [*(batch.column(c).slice(a, b - a) for c in ("doc_id", "mark")), *(pa.array(x) for x in keys.T), pa.array([len(x) for x in found], pa.int32()), pa.array(fp), _lists(first), *(pa.array(x) for x in odd.T)]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "mark", "k0", "k1", "n", "fp", "lead", *PARITIES])
 
-    return ship(marked).mapInArrow(run, ", ".join(["doc_id long, mark binary, k0 long, k1 long, n int, lead array<long>", *(f"{p} long" for p in PARITIES)]))
+    return ship(marked).mapInArrow(run, ", ".join(["doc_id long, mark binary, k0 long, k1 long, n int, fp long, lead array<long>", *(f"{p} long" for p in PARITIES)]))
 
 
 def _members(batches: Iterator[pa.RecordBatch], columns: list[str]) -> Iterator[np.ndarray]:
@@ -247,8 +262,12 @@ def alike(pairs: DataFrame, rows: DataFrame, marked: DataFrame, words: int) -> D
     return out
 
 
-def near_groups(docs: DataFrame, words: int = 5) -> DataFrame:
-    """(doc_id, mark, node, root) for every row of docs (doc_id, text): those of one root are joined by links, and no others."""
+def near_groups(docs: DataFrame, words: int = 5, first: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """(doc_id, mark, node, root) for every row of docs (doc_id, text): those of one root are joined by links, and no others.
+
+    first: makes of (node, fp), each text's SimHash, the pairs (a, b) that are compared before any others; what these join
+    is not compared again.
+    """
     spark, marked, keys = docs.sparkSession, _marked(docs), ["k0", "k1"]
     path, met_path, rows_path = (new_path(spark, name) for name in ("shingles", "shingles-met", "shingles-rows"))
     found = materialize(leads(marked, words), path=path)
@@ -257,6 +276,9 @@ def near_groups(docs: DataFrame, words: int = 5) -> DataFrame:
     rows = materialize(found.drop("lead").join(nodes, keys).drop(*keys), path=rows_path)
     drop_path(spark, path)
     links = roots = None
+    if first:
+        links = alike(first(rows.select("node", "fp").dropDuplicates(["node"])), rows, marked, words)
+        roots = materialize(components(links), "shingles-roots")
     for pivots in PIVOTS:
         rooted = met.withColumn("root", F.col("node")) if roots is None else met.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
         pairs = materialize(candidates(rooted, pivots), "shingles-pairs")

@@ -36,21 +36,8 @@ LEAVES, MOST_SHARED = 256, 4
 
 def simhash(text: bytes, words: int, seed: int = 42) -> int:
     """The fingerprint of a text: bit by bit the majority of its shingles' XXH64."""
-    from xxhash import xxh64_intdigest
-
-    parts = text.lower().split()
-    if not parts:
-        return 0
-    joined = b" ".join(parts)
-    ends = np.cumsum([len(x) + 1 for x in parts])
-    n = max(1, len(parts) - words + 1)
-    first = [0, *ends[: n - 1].tolist()]
-    last = (ends[-n:] - 1).tolist()
-    total = np.zeros(64, np.int64)
-    for at in range(0, n, 1 << 16):
-        h = np.fromiter((xxh64_intdigest(joined[a:b], seed) for a, b in zip(first[at : at + (1 << 16)], last[at : at + (1 << 16)], strict=True)), np.uint64)
-        total += np.unpackbits(h.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
-    return int.from_bytes(np.packbits(2 * total > n).tobytes(), "big")
+    joined = shingles.normal(text)
+    return shingles.majority(shingles.every(joined, words, seed)) if joined else 0
 
 
 def fingerprints(docs: DataFrame, words: int = 5) -> DataFrame:
@@ -238,12 +225,24 @@ def near_groups(docs: DataFrame, words: int = 5, budget: int = 4) -> DataFrame:
     return found.join(rooted.join(least, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
 
 
-def one_of_each(docs: DataFrame, words: int = 5) -> DataFrame:
+def near_pairs(nodes: DataFrame, budget: int = 4) -> DataFrame:
+    """(a, b), a < b, of nodes (node, fp): few pairs that join all those of equal fingerprints, or of some within the budget."""
+    nodes = materialize(nodes, "simhash-nodes")
+    classes = materialize(nodes.groupBy("fp").agg(F.min("node").alias("first")), "simhash-classes")
+    ends = [classes.select(F.col("fp").alias(c), F.col("first").alias(f"node_{c}")) for c in "ab"]
+    linked = near_links(classes, budget).join(ends[0], "a").join(ends[1], "b").select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b"))
+    equal = nodes.join(classes, "fp").where("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b"))
+    return materialize(equal.unionByName(linked).distinct(), "simhash-pairs")
+
+
+def one_of_each(docs: DataFrame, words: int = 5, budget: int = 4) -> DataFrame:
     """docs without those that some smaller doc_id is reachable from, by links between texts of a Jaccard likeness of 0.8 or more.
 
+    Texts whose fingerprints the trie join links are compared first, shingle by shingle; the links between texts whose
+    fingerprints differ in more than `budget` bits are found by their leading shingles.
     Of repeated rows (one doc_id and one text) one stays, as of equal texts without a doc_id where nothing like them has one.
     """
-    groups = shingles.near_groups(docs, words)
+    groups = shingles.near_groups(docs, words, lambda nodes: near_pairs(nodes, budget))
     kept = groups.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "mark")).alias("first"), F.count("*").alias("n")).where("n > 1")
     first = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("mark") == F.col("first.mark"))
     known = groups.join(kept, "root").groupBy(F.col("doc_id").alias("__doc"), F.col("mark").alias("__mark")).agg(F.max(first).alias("__first"), F.count("*").alias("__n"))

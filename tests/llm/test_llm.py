@@ -1,6 +1,7 @@
 """The corpus operators: edge cases, and brute force on a small part of the synthetic tables."""
 
 import hashlib
+import random
 import re
 import zlib
 
@@ -741,3 +742,27 @@ def test_oracles(spark):
         cursor = c.execute(sql)
         names = [d[0] for d in cursor.description]
         assert sorted(map(repr, df.select(names).toPandas().itertuples(index=False, name=None))) == sorted(map(repr, cursor.fetchall()))
+
+
+def test_near_dedup_asks_the_fingerprints_first(spark, monkeypatch):
+    """The trie join's pairs are compared before any others, and joined texts not again; links beyond its budget are found as well."""
+    from folio.llm import shingles
+
+    rng = random.Random(12)
+    words = lambda n: [f"w{rng.randrange(5000)}" for _ in range(n)]
+    texts = []
+    for _ in range(12):
+        base = words(120)
+        texts += [" ".join(base), " ".join(base + words(1)), " ".join(base[:60] + words(2) + base[60:])]
+    texts += ["", None, "a b", *(" ".join(words(80)) for _ in range(20))]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    asked = []
+    pairs = simhash.near_pairs
+    monkeypatch.setattr(simhash, "near_pairs", lambda nodes, budget: asked.append(pairs(nodes, budget)) or asked[-1])
+    kept = {r.doc_id for r in simhash.one_of_each(docs).collect()}
+    assert len(asked) == 1 and asked[0].count() >= 6
+    alone = {r.doc_id for r in shingles.near_groups(docs, 5).groupBy("root").agg(F.min("doc_id").alias("doc_id")).collect()}
+    assert kept == alone
+    fps = {r.doc_id: r.fp for r in simhash.fingerprints(docs, 5).collect()}
+    known = {r.doc_id: r.fp for r in shingles.leads(shingles._marked(docs), 5).collect()}
+    assert fps == known
