@@ -1,5 +1,8 @@
 """Text rules on small literals: the synthetic tables have no Chinese text."""
 
+import random
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -186,3 +189,15 @@ def test_backup(spark, tmp_path):
     chapters.unionByName(spark.createDataFrame([(3, 9)], "id long, book_id long")).write.mode("overwrite").json(f"{tmp_path}/v1/chapters")
     with pytest.raises(ValueError):
         files.restore_backup(spark, str(tmp_path), schemas, {"books": ["id"]}, refs)
+
+
+def test_sentences(spark, value):
+    """The pieces of a pattern, without running one over every character."""
+    dice, pattern = random.Random(3), r"[^。！？!?；;\n]*[。！？!?；;\n]|[^。！？!?；;\n]+$"
+    for _ in range(15):
+        text = "".join(dice.choices("ab 字。！？!?；;\n\r　.", k=dice.randrange(30)))
+        pieces = [p for p in (m.strip(T.WHITE_CHARACTERS) for m in re.findall(pattern, text)) if p]
+        assert value(lambda c: T.sentences(c, 4), text) == [p[i : i + 4] for p in pieces for i in range(0, len(p), 4)]
+    assert value(T.sentences, None) is None
+    plan = spark.range(1).select(T.sentences(F.col("id").cast("string")))._jdf.queryExecution().toString()
+    assert "regexp" not in plan
