@@ -123,14 +123,15 @@ def pull_pages(rows: DataFrame, width: float, height: float, traditional: str =
     furniture = (F.coalesce("runs", F.lit(False)) & (above <= HEAD_BAND)) | (above <= TOP) | (below >= FOOT) | top | (number & ((above <= 0.10) | (below >= 0.90)))
     rows = rows.where(~furniture).withColumn("small", (below > NOTES) & (size < body * 0.88))
     upper = ~F.col("small") & (below < 0.20) & (F.length(t) > 20)
-    rows = rows.withColumn("text", F.when(upper, F.regexp_replace(t, RUN_ON_NUMBER, "$1")).otherwise(t))
+    rows = rows.withColumn("text", F.when(upper, F.regexp_replace(t, RUN_ON_NUMBER, "$1")).otherwise(t)).drop("norm", "runs")
+    rows = written(rows, "pull-kept")  # notes, the text and the pages are all made of these
     order = _page().orderBy("ord")
     large = rows.where("not small").withColumn("gap", F.col("y0") - F.lag("y1").over(order)).withColumn("pos", F.row_number().over(order) - 1)
     cut = F.min(F.when((F.col("y0") > 0.68 * height) & (F.col("gap") > GAP * body), F.col("pos"))).over(_page())
     large = large.withColumn("cut", cut).withColumn("late", F.coalesce(F.col("pos") >= F.col("cut"), F.lit(False)))
     noted = rows.where("small").select("book", "page", "y0", F.lit(0).alias("late"), "ord", "text").unionByName(large.where("late").select("book", "page", "y0", F.lit(1).alias("late"), "ord", "text"))
     notes = noted.select("book", "page", F.row_number().over(_page().orderBy("y0", "late", "ord")).alias("n"), fix_quotes(fix_ocr(F.col("text"))).alias("text"))
-    main = large.where("not late").drop("gap", "cut", "late", "small", "norm", "runs").withColumn("like", body_like(F.col("text")))
+    main = large.where("not late").drop("gap", "cut", "late", "small").withColumn("like", body_like(F.col("text")))
     main = written(main, "pull-rows")  # the bands, and all that is made of them, start from here
 
     bands = written(_widened(main, figure_bands(main.drop("pos"), width, height), width, height), "pull-bands")
@@ -146,7 +147,8 @@ def pull_pages(rows: DataFrame, width: float, height: float, traditional: str =
     clean = clean.withColumn("para", F.sum(F.when(starts, 1).otherwise(0)).over(order.rowsBetween(W.unboundedPreceding, 0)))
     joined = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("ord", "text"))), lambda x: x["text"]), "")
     clean = written(clean, "pull-clean")
-    paras = clean.groupBy("book", "page", "para").agg(F.min_by("y0", "ord").alias("y"), joined.alias("text")).withColumn("text", fix_quotes(fix_ocr(F.col("text"))))
+    paras = clean.groupBy("book", "page", "para").agg(F.min_by("y0", "ord").alias("y"), joined.alias("text"))
+    paras = written(paras.withColumn("text", fix_quotes(fix_ocr(F.col("text")))), "pull-paragraphs")
     marks = figures.select("book", "page", F.col("n").cast("long").alias("para"), (F.col("top") * height).alias("y"), F.concat(F.lit("〔图：第"), F.col("page").cast("string"), F.lit("页插图"), F.col("n").cast("string"), F.lit("〕")).alias("text"), F.lit(True).alias("figure"))
     every = paras.withColumn("figure", F.lit(False)).unionByName(marks)
     paragraphs = every.select("book", "page", F.row_number().over(_page().orderBy("y", "figure", "para")).alias("n"), "text", "figure")

@@ -295,3 +295,19 @@ def test_books_in_batches(spark):
         assert sorted(map(tuple, found.collect())) == sorted(starts)
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_repairs_as_looked_behind(spark):
+    """Patterns that begin with the character they are about repair what those that look behind everywhere do."""
+    dice, texts = random.Random(5), ["", "＠甲", "千人"]
+    texts += ["".join(dice.choices("＠心卫千于。；\n甲理生年一A”", k=dice.randrange(1, 14))) for _ in range(400)]
+
+    def plain(c):
+        c = F.regexp_replace(c, "＠(?=[。，；：、！？）】》]|$)", "")
+        c = F.regexp_replace(c, "(^|(?<=[。；：！？]))＠(?=[一-鿿])", "$1")
+        c = F.regexp_replace(c, r"(?:^|(?<=[。；：！？\n]))(?:心(?![理中情态灵得意愿证血脏智存怀思])(?=[一-鿿])|[卫卢竺](?![生星梭森法])(?=[一-鿿]))", "●")
+        c = F.regexp_replace(c, f"(?<=于)千(?![{P.THOUSAND_AFTER}])(?=[一-鿿0-9])", "")
+        return F.regexp_replace(c, f"(?<![{P.THOUSAND_BEFORE}])千(?![{P.THOUSAND_AFTER}])(?=[一-鿿0-9A-Za-z，。；：、！？（）“”｀“＂'\"（《])", "于")
+
+    assert each(spark, P.fix_ocr, texts) == each(spark, plain, texts)
+    assert "(^|(?<=" not in _plan(spark.createDataFrame([("",)], "t string").select(P.fix_ocr(F.col("t"))))
