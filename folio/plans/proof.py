@@ -159,14 +159,15 @@ def scanned(t):
 
 @query("C25_reconciled")
 def reconciled(t):
-    return P.reconcile(t("han"), P.scan_chapters(t("han")), P.detect_contents(t("han")))
+    facts = P.line_facts(t("han"))
+    return P.reconcile(facts, P.scan_chapters(facts), P.detect_contents(facts))
 
 
 def titles_of(t):
     """Contents entries and headings of each book, without marks and blanks."""
-    han = t("han")
-    entries = P.detect_contents(han).select("book", T.compared(F.col("entry")).alias("a"))
-    return entries, P.scan_chapters(han).select("book", T.compared(F.col("title")).alias("b"))
+    facts = P.line_facts(t("han"))
+    entries = P.detect_contents(facts).select("book", T.compared(F.col("entry")).alias("a"))
+    return entries, P.scan_chapters(facts).select("book", T.compared(F.col("title")).alias("b"))
 
 
 @query("J18_similar_titles")

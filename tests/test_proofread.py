@@ -311,3 +311,13 @@ def test_repairs_as_looked_behind(spark):
 
     assert each(spark, P.fix_ocr, texts) == each(spark, plain, texts)
     assert "(^|(?<=" not in _plan(spark.createDataFrame([("",)], "t string").select(P.fix_ocr(F.col("t"))))
+
+
+def test_lines_are_read_once(spark):
+    """Chapters and contents entries start from what was written of the lines, and are those of the lines."""
+    lines = spark.createDataFrame([(1, p, i, t) for p, texts in ((1, ["目录", "第一章 甲 3", "第二章 乙 5"]), (3, ["第一章 甲", "正文" * 30])) for i, t in enumerate(texts)], LINE)
+    facts = P.line_facts(lines)
+    for step in (P.scan_chapters, P.detect_contents):
+        assert sorted(map(tuple, step(facts).collect())) == sorted(map(tuple, step(lines).collect()))
+        assert "初版序" not in _plan(step(lines))
+    assert _plan(P.scan_chapters(lines)).count("LocalTableScan") == 0
