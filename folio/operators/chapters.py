@@ -32,13 +32,20 @@ class Book(NamedTuple):
     paragraphs: DataFrame
 
 
+def _with_last(rows: DataFrame, right: DataFrame, payload: list[str]) -> DataFrame:
+    """rows with the payload of the last row of right (book, at, ...) up to their idx; texts are not sorted for it."""
+    found = asof_join(rows.select("book", "idx").distinct(), right, "book", "idx", "at", payload)
+    return rows.join(found, ["book", "idx"])
+
+
 def _unmarked(blocks: DataFrame, sized: bool) -> DataFrame:
     """Blocks without marks of pages, contents and sizes; what they said is columns. Blocks of nothing else go."""
     mark = lambda x: F.regexp_extract(T.trimmed(x), r"^〔页(\d+)〕$", 1)
     marks = F.filter(F.transform("lines", mark), lambda m: m != "")
     rows = blocks.select("book", "idx", F.filter("lines", lambda x: mark(x) == "").alias("lines"), F.get(marks, F.lit(0)).cast("int").alias("own"), F.try_element_at(marks, F.lit(-1)).cast("int").alias("last_mark"))
+    rows = written(rows, "marked")
     before = rows.where("last_mark is not null").select("book", F.col("idx").alias("at"), F.col("last_mark").alias("page_before"))
-    rows = asof_join(rows.drop("last_mark"), before, "book", "idx", "at", ["page_before"])
+    rows = _with_last(rows.drop("last_mark"), before, ["page_before"])
     listed = F.coalesce(T.trimmed(F.get("lines", F.lit(0))) == CONTENTS_MARK, F.lit(False))
     rows = rows.select("book", "idx", F.coalesce("own", "page_before").alias("page"), listed.alias("listed"), F.when(listed, F.slice("lines", 2, F.greatest(F.size("lines") - 1, F.lit(0)))).otherwise(F.col("lines")).alias("lines"))
     lead = F.transform("lines", lambda x: F.ltrim(x))
@@ -47,30 +54,39 @@ def _unmarked(blocks: DataFrame, sized: bool) -> DataFrame:
     return rows.where(F.size("lines") > 0).select("book", "idx", "page", "listed", bare.alias("lines"), big.alias("big"))
 
 
+def _judged(rows: DataFrame, custom: str | None) -> DataFrame:
+    """rows with what its lines say: the style of each that may be a heading, the one that names a contents list (-1 if none),
+    whether the block reads as part of one, and its contents lines."""
+    rows = rows.withColumn("t", F.transform("lines", T.trimmed))
+    named = F.transform("t", lambda t: t.isin(CONTENTS_NAMES) | (F.lower(t) == "contents"))
+    styles = F.transform("t", lambda t: F.when(T.title_candidate(t), T.title_style(t, custom)))
+    rows = rows.select("*", styles.alias("styles"), (F.array_position(named, F.lit(True)) - 1).cast("int").alias("names"), F.transform("t", T.contents_line).alias("dotted"))
+    strong = F.size(F.filter(F.transform("t", lambda t, i: F.get("dotted", i) | T.contents_like(t)), lambda x: x))
+    is_list = F.array_contains("dotted", True) & (strong * 2 >= F.size(F.filter("t", lambda t: t != "")))
+    return rows.withColumns({"is_list": is_list, "dots": F.size(F.filter("dotted", lambda x: x))}).drop("t", "dotted")
+
+
 def _region(rows: DataFrame) -> DataFrame:
     """(book, region, region_end, anchor): the blocks of a book's contents list, and the line that names it, -1 if none does."""
-    named = F.transform("lines", lambda x: T.trimmed(x).isin(CONTENTS_NAMES) | (F.lower(T.trimmed(x)) == "contents"))
-    dots = F.size(F.filter("lines", lambda x: T.contents_line(T.trimmed(x))))
-    rows = rows.select("book", "idx", T.contents_block(F.col("lines")).alias("is_list"), (F.array_position(named, F.lit(True)) - 1).cast("int").alias("anchor"), dots.alias("dots"))
-    anchored, dense = F.col("anchor") >= 0, F.col("is_list") & (F.col("dots") >= DENSE)
-    found = rows.groupBy("book").agg(F.min(F.when(anchored, F.struct("idx", "anchor"))).alias("a"), F.min(F.when(dense, F.struct("idx", F.lit(-1).alias("anchor")))).alias("d"))
+    anchored, dense = F.col("names") >= 0, F.col("is_list") & (F.col("dots") >= DENSE)
+    found = rows.groupBy("book").agg(F.min(F.when(anchored, F.struct("idx", F.col("names").alias("anchor")))).alias("a"), F.min(F.when(dense, F.struct("idx", F.lit(-1).alias("anchor")))).alias("d"))
     found = found.select("book", F.coalesce("a", "d").alias("r")).where("r is not null").select("book", F.col("r.idx").alias("region"), F.col("r.anchor").alias("anchor"))
-    ends = found.join(rows, "book").groupBy("book", "region", found["anchor"]).agg(F.min(F.when((F.col("idx") > F.col("region")) & ~F.col("is_list"), F.col("idx"))).alias("region_end"))
+    ends = found.join(rows.select("book", "idx", "is_list"), "book").groupBy("book", "region", "anchor").agg(F.min(F.when((F.col("idx") > F.col("region")) & ~F.col("is_list"), F.col("idx"))).alias("region_end"))
     return ends.select("book", "region", "region_end", "anchor")
 
 
-def _headed(rows: DataFrame, custom: str | None, sized: bool) -> DataFrame:
+def _headed(rows: DataFrame, sized: bool) -> DataFrame:
     """rows with the title and the line of the heading of the book's best grade, and without books that have none."""
 
-    def one(line: Column, i: Column) -> Column:
-        t = T.trimmed(line)
-        style = F.when(T.title_candidate(t), T.title_style(t, custom))
+    def one(style: Column, i: Column) -> Column:
         fits = ~F.col("inside") | ((F.col("idx") == F.col("region")) & (i == F.col("anchor")))
         proven = F.get("big", i) | (T.title_grade(style) == 3) | (style == "CUSTOM") if sized else F.lit(True)
-        title = F.when(style == "A_HAN_SUB", F.coalesce(T.subtitle_cut(t), t)).otherwise(t)
-        return F.when(fits & ~F.col("listed") & style.isNotNull() & proven, F.struct(style.alias("style"), title.alias("title"), i.alias("line")))
+        return F.when(style.isNotNull() & fits & ~F.col("listed") & proven, i)
 
-    rows = rows.withColumn("hit", F.get(F.filter(F.transform("lines", one), lambda x: x.isNotNull()), F.lit(0)))
+    rows = rows.withColumn("at", F.get(F.filter(F.transform("styles", one), lambda x: x.isNotNull()), F.lit(0)))
+    rows = rows.withColumns({"style": F.get("styles", F.col("at")), "t": T.trimmed(F.get("lines", F.col("at")))})
+    title = F.when(F.col("style") == "A_HAN_SUB", F.coalesce(T.subtitle_cut(F.col("t")), F.col("t"))).otherwise(F.col("t"))
+    rows = rows.withColumn("hit", F.when(F.col("at").isNotNull(), F.struct("style", title.alias("title"), F.col("at").alias("line")))).drop("at", "style", "t", "styles")
     rows = rows.withColumn("grade", T.title_grade(F.col("hit.style")))
     best = rows.where("grade is not null").groupBy("book").agg(F.min("grade").alias("best"), F.min_by("hit.style", F.when(F.col("grade") == 3, F.col("idx"))).alias("best_style"))
     top = (F.col("grade") == F.col("best")) & ((F.col("best") < 3) | (F.col("hit.style") == F.col("best_style")))
@@ -86,16 +102,16 @@ def parse(blocks: DataFrame, custom: str | None = None, sized: bool = False) ->
     Books without any heading are not returned: blind_chapters() is for these. Null lines are empty ones.
     """
     rows = blocks.select("book", F.col("idx").cast("long").alias("idx"), F.transform("lines", lambda x: F.coalesce(x, F.lit(""))).alias("lines"))
-    rows = written(_unmarked(rows, sized), "blocks")
+    rows = written(_judged(_unmarked(rows, sized), custom), "blocks")
     if custom:
         rows = rows.withColumns({"inside": F.lit(False), "region": F.lit(-1).cast("long"), "anchor": F.lit(-1)})
     else:
         rows = rows.join(_region(rows), "book", "left")
         inside = (F.col("idx") >= F.col("region")) & (F.col("region_end").isNull() | (F.col("idx") < F.col("region_end")))
         rows = rows.withColumn("inside", F.coalesce(inside, F.lit(False)))
-    rows = _headed(rows, custom, sized)
+    rows = _headed(rows, sized)
     note = T.trimmed(F.get("lines", F.lit(0))).startswith(NOTE_MARK)
-    listing = F.col("listed") | T.contents_block(F.col("lines"))
+    listing = F.col("listed") | F.col("is_list")
     kind = (
         F.when(F.col("hit").isNotNull(), "heading").when(F.col("inside"), F.when(F.col("anchor") >= 0, "region").otherwise("list"))
         .when(note, "note").when(listing, "list").otherwise("body")
@@ -103,7 +119,7 @@ def parse(blocks: DataFrame, custom: str | None = None, sized: bool = False) ->
     rows = written(rows.select("book", "idx", "page", "lines", "inside", "hit", kind.alias("kind")), "kinds")
     heads = rows.where("kind = 'heading'").select("book", F.col("idx").alias("at"), F.col("hit.title").alias("head"), F.col("idx").alias("head_at"))
     turns = rows.where("kind in ('heading', 'list', 'body')").select("book", F.col("idx").alias("at"), F.col("kind").alias("state"))
-    rows = asof_join(asof_join(rows, heads, "book", "idx", "at", ["head", "head_at"]), turns, "book", "idx", "at", ["state"])
+    rows = _with_last(_with_last(rows, heads, ["head", "head_at"]), turns, ["state"])
     base = F.when(F.col("head") != CONTENTS, F.col("head")).otherwise(OPENING)
     title = F.when(F.col("state") == "heading", F.col("head")).when(F.col("state") == "list", CONTENTS).otherwise(base)
     role = F.when(title == OPENING, "FRONT").otherwise(T.role_of(title))

@@ -139,3 +139,12 @@ def test_pages_roles_and_notes(spark):
         (5, "第一章 总则", "BODY", 9, "正文。"), (6, "第一章 总则", "BODY", 9, "尾。"),
     ]
     assert H.parse(spark.createDataFrame([], "book long, idx long, lines array<string>")).chapters.count() == 0
+
+
+def test_lines_are_judged_once(spark):
+    """Chapters and paragraphs of blocks start from what was written of them, and texts are not sorted by their marks."""
+    blocks = spark.createDataFrame([(1, 0, ["〔页3〕", "第一章 甲"]), (1, 1, ["正文一二三"])], "book long, idx long, lines array<string>")
+    plan = H._unmarked(blocks, False)._jdf.queryExecution().optimizedPlan().toString()
+    window = next(line for line in plan.splitlines() if "Window" in line and "__bucket" in line)
+    assert "LogicalRDD" not in plan and "lines" not in window
+    assert [r.text for r in H.parse(blocks).paragraphs.collect()] == ["正文一二三"]
