@@ -91,13 +91,20 @@ def chapters(blocks: DataFrame, custom: str | None = None) -> DataFrame:
     """
     c = T.trimmed(F.regexp_extract("text", r"^([^\n]*)", 1))
     rows = blocks.withColumns({"head": c, "style": F.when(T.title_candidate(c) | F.lit(custom is not None), T.title_style(c, custom))})
-    rows = rows.withColumn("grade", T.title_grade(F.col("style")))
-    best = rows.groupBy("book").agg(F.min("grade").alias("best"), F.min_by("style", F.when(F.col("grade") == 3, F.col("idx"))).alias("first_c"))
-    rows = rows.join(best, "book")
+    # of a text only its length goes on, and of those that are headings the head; all the rest is one sort of a book's blocks
+    rows = rows.select("book", "idx", F.length("text").alias("chars"), F.when(F.col("style").isNotNull(), F.col("head")).alias("head"), "style", T.title_grade(F.col("style")).alias("grade"))
+    order = W.partitionBy("book").orderBy("idx")
+    whole, before, so_far = (order.rowsBetween(W.unboundedPreceding, end) for end in (W.unboundedFollowing, -1, 0))
+    rows = rows.withColumns({"best": F.min("grade").over(whole), "first_c": F.first(F.when(F.col("grade") == 3, F.col("style")), True).over(whole)})
     starts = F.coalesce((F.col("grade") == F.col("best")) & ((F.col("best") < 3) | (F.col("style") == F.col("first_c"))), F.lit(False))
-    rows = islands(rows.withColumn("starts", starts), ["book"], ["idx"], F.col("starts"), "chapter")
-    title = F.min_by(F.when(F.col("starts"), F.col("head")), F.when(F.col("starts"), F.col("idx")))
-    return rows.groupBy("book", "chapter").agg(title.alias("title"), F.min("idx").alias("first"), F.count("*").alias("blocks"), F.sum(F.length("text")).alias("chars"))
+    rows = rows.withColumn("starts", starts).withColumns(
+        {"chapter": F.sum(F.when(F.col("starts"), 1).otherwise(0)).over(so_far), "blocks": F.count("*").over(before), "told": F.count("chars").over(before), "sum": F.coalesce(F.sum("chars").over(before), F.lit(0))}
+        | {"all_blocks": F.count("*").over(whole), "all_told": F.count("chars").over(whole), "all_sum": F.coalesce(F.sum("chars").over(whole), F.lit(0))}
+    )
+    # a chapter has what the next one, or the end, has before it and it has not
+    own = {c: F.coalesce(F.lead(c).over(order), F.col(f"all_{c}")) - F.col(c) for c in ("blocks", "told", "sum")}
+    firsts = rows.where("starts or blocks = 0").select("book", "chapter", F.when(F.col("starts"), F.col("head")).alias("title"), F.col("idx").alias("first"), *[v.alias(c) for c, v in own.items()])
+    return firsts.select("book", "chapter", "title", "first", "blocks", F.when(F.col("told") > 0, F.col("sum")).alias("chars"))
 
 
 def _in_order(df: DataFrame, group: str, order: str, start, step) -> DataFrame:

@@ -150,6 +150,19 @@ def test_chapters(spark):
     assert got == [(0, None, 1), (1, "第一章 总则", 3), (2, "第二章 物权", 1)]
 
 
+def test_chapters_carry_no_texts(spark):
+    """One shuffle, of lengths and headings; blocks without a text count as blocks, and a book without headings is one chapter."""
+    texts = {1: [None, "第一章 总则\n甲", None, "乙", "第二章 物权"], 2: ["甲乙", None], 3: [None]}
+    rows = spark.createDataFrame([(b, i, t) for b, x in texts.items() for i, t in enumerate(x)], "book int, idx int, text string")
+    df = D.chapters(rows)
+    got = {(r.book, r.chapter): (r.title, r.first, r.blocks, r.chars) for r in df.collect()}
+    assert got == {
+        (1, 0): (None, 0, 1, None), (1, 1): ("第一章 总则", 1, 3, 9), (1, 2): ("第二章 物权", 4, 1, 6), (2, 0): (None, 0, 2, 2), (3, 0): (None, 0, 1, None),
+    }
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate" not in plan and "Join" not in plan
+
+
 def test_stitch(spark):
     rows = spark.createDataFrame([(1, 1, ["这一段文字在页尾被切断而没有"]), (1, 2, ["说完。", "下一段"]), (1, 3, ["第一章 总则"])], "book long, page int, paras array<string>")
     assert [(r.page, r.paras) for r in D.stitch(rows).orderBy("page").collect()] == [(1, 1), (2, 1), (3, 1)]
