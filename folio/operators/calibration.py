@@ -16,7 +16,7 @@ from pyspark.sql import Window as W
 from ..cluster import written
 from ..functions import text as T
 from .documents import match_in_band
-from .temporal import asof_join, backward_fill, islands
+from .temporal import asof_join, asof_values, backward_fill, islands
 
 # The shares, distances and bounds of the calibration.
 MISSING_PAGES, ANCHORED, INVERTED, INVERTED_MOST = 0.05, 0.6, 0.2, 5
@@ -103,20 +103,22 @@ def calibrate(entries: DataFrame, chapters: DataFrame, paragraphs: DataFrame, li
     paragraphs: book, chapter, idx, page (may be null); lines: book, page, ord, text; books: book, pages; contents_ends:
     book, last_page, for each run of contents pages. Chapters stay, move or come new; none goes.
     """
+    paragraphs = written(paragraphs, "calibrate-paragraphs")  # their pages and chapters are asked for several times
     front = (F.col("level") == 1) & T.front_entry(F.col("title"))
     pages = paragraphs.groupBy("book").agg(F.count("*").alias("n"), F.count_if(F.col("page").isNull()).alias("missing"))
     whole = pages.where(F.col("missing") <= F.col("n") * MISSING_PAGES).join(books.where("pages > 0"), "book").select("book", "pages")
+    whole = written(whole, "calibrate-books")
     rows = written(_dealt(entries.where(~front), contents_ends).join(whole, "book"), "calibrate-entries")
     level1, level2 = rows.where("level = 1"), rows.where("level = 2")
-    anchorable = _anchorable(lines)
+    anchorable = written(_anchorable(lines), "calibrate-anchors")
     offsets = written(_offsets(level1, anchorable), "calibrate-offsets")
     kept = written(_kept(level1, offsets), "calibrate-kept")
 
     starts = paragraphs.where("page is not null").groupBy("book", "chapter").agg(F.min_by("page", "idx").alias("start"))
     local = chapters.join(starts, ["book", "chapter"], "left").select("book", "chapter", F.col("title").alias("local_title"), F.coalesce("start", F.lit(0)).alias("start"))
-    local = local.join(kept.select("book").distinct(), "book", "left_semi")
+    local = written(local.join(kept.select("book").distinct(), "book", "left_semi"), "calibrate-local")
     matched = match_in_band(kept.select(F.col("book").alias("book_id"), F.col("seq").alias("entry"), F.col("mapped").alias("page")), local.where("start > 0").select(F.col("book").alias("book_id"), "chapter", "start"), BAND)
-    matched = matched.select(F.col("book_id").alias("book"), F.col("entry").alias("seq"), "chapter")
+    matched = written(matched.select(F.col("book_id").alias("book"), F.col("entry").alias("seq"), "chapter"), "calibrate-matched")
     toc = kept.join(matched, ["book", "seq"], "left").join(local, ["book", "chapter"], "left")
     state = F.when(F.col("chapter").isNull(), "new").when(F.abs(F.col("start") - F.col("mapped")) <= ALIGNED, "aligned").otherwise("moved")
     toc = toc.withColumn("state", state).withColumn("start_page", F.coalesce("start", "mapped"))
@@ -152,7 +154,7 @@ def calibrate(entries: DataFrame, chapters: DataFrame, paragraphs: DataFrame, li
     every = out_named.unionByName(sections_named).join(shift, "book", "left").withColumn("shifted", F.coalesce("shifted", F.lit(False)))
 
     good = paragraphs.join(out.select("book").distinct(), "book", "left_semi")
-    paged = asof_join(good.where("page is not null"), out.select("book", "start_page", "ord"), "book", "page", "start_page", ["ord"])
+    paged = asof_values(good.where("page is not null"), out.select("book", "start_page", "ord"), "book", "page", "start_page", ["ord"])
     follows = out.where("local_index is not null").select("book", F.col("local_index").alias("chapter"), "ord")
     unpaged = good.where("page is null").join(follows, ["book", "chapter"], "left").withColumn("ord", F.coalesce("ord", F.lit(1)))
     return Calibrated(every, paged.unionByName(unpaged))
@@ -211,13 +213,15 @@ def recalibrate(books: DataFrame, chapters: DataFrame, paragraphs: DataFrame, en
     verdicts: book, reason (`done`, or why nothing changes), last_read_ord (the new chapter of the last one read, by title);
     changes: carry_over() of the books done; placed: book, id, ord, the new chapter of each paragraph.
     """
+    paragraphs = written(paragraphs.select("book", "id", "chapter", "idx", "page", "text"), "recalibrate-lines")
+    chapters = written(chapters.select("book", "id", "idx", "title", "read_state"), "recalibrate-cut")
     lines = paragraphs.where("page is not null").select("book", "page", F.struct("chapter", "idx").alias("ord"), "text")
     regions = written(contents_regions(lines), "recalibrate-regions")
     local = chapters.select("book", F.col("id").alias("chapter"), "idx", "title")
     paged = lines.groupBy("book").agg(F.max("page").alias("pages"))
     told = paragraphs.join(local.select("book", "chapter", F.col("idx").alias("nth")), ["book", "chapter"])
     numbered = told.select("book", F.col("nth").alias("chapter"), F.col("idx").alias("idx"), "page", "id", F.length("text").alias("chars"))
-    may = books.join(used.select("book").distinct(), "book", "left_anti").select("book")
+    may = written(books.join(used.select("book").distinct(), "book", "left_anti").select("book"), "recalibrate-books")
     only = lambda df: df.join(may, "book", "left_semi")
     got = calibrate(only(entries), only(local.select("book", F.col("idx").alias("chapter"), "title")), only(numbered), only(lines), only(paged), only(regions))
     placed, cut = written(got.paragraphs, "recalibrate-paragraphs"), written(got.chapters.where("level = 1"), "recalibrate-chapters")

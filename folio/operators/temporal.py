@@ -30,6 +30,12 @@ def asof_join(left: DataFrame, right: DataFrame, by: str, on: str, start: str, p
     return out.select(*left.columns, *[F.col("__got")[c].alias(c) for c in payload])
 
 
+def asof_values(left: DataFrame, right: DataFrame, by: str, on: str, start: str, payload: list[str], width: int = 64) -> DataFrame:
+    """asof_join of a left side many rows of which share a value of `on`: only the distinct values are put in order."""
+    found = asof_join(left.where(F.col(on).isNotNull()).select(by, on).distinct(), right, by, on, start, payload, width)
+    return left.join(found, [by, on], "left").select(*left.columns, *payload)
+
+
 def islands(df: DataFrame, by: list[str], order: list[Column | str], starts: Column, name: str = "island") -> DataFrame:
     """A running number of the islands of each group: a row where `starts` is true begins one."""
     w = W.partitionBy(*by).orderBy(*order)

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from ..cluster import written
 from ..functions import text as T
 from ..operators import calibration as C
 from ..operators import chapters as H
@@ -17,7 +18,7 @@ from ..operators import rebuild as B
 from ..operators import recognition as G
 from ..operators import review as V
 from ..operators import workflow as K
-from ..operators.temporal import asof_join
+from ..operators.temporal import asof_values
 from ..sources.roles import oracle, table
 
 QUERIES: dict = {}
@@ -37,23 +38,23 @@ def query(name: str, sql: str | None = None):
 
 
 def shelf(t) -> DataFrame:
-    """(book, page, ord, id, doc, text, x0, x1, y0, y1, size): the lines of each source's documents as pages of a book."""
+    """(book, page, ord, id, doc, text): the lines of each source's documents as pages of a book, written, as all that follows reads them."""
     pages = t("chapters").select(F.col("id").alias("doc"), F.col("book_id"), (F.col("idx") + 1).alias("leaf"))
     lines = t("han").join(pages, F.col("book") == F.col("doc"))
     ord_ = ((F.col("page") - 1) * 30 + F.col("ord")).cast("int")
-    return lines.select(F.col("book_id").alias("book"), F.col("leaf").alias("page"), ord_.alias("ord"), "id", "doc", "text", "x0", "x1", "y0", (F.col("y0") + F.col("size")).alias("y1"), "size")
+    return written(lines.select(F.col("book_id").alias("book"), F.col("leaf").alias("page"), ord_.alias("ord"), "id", "doc", "text"), "books-shelf")
 
 
 def calibration_inputs(t) -> dict[str, DataFrame]:
     """A contents list with chapters and sections, some without a page and, in some books, some out of order; chapters cut
     before, some of them two pages late and some missing."""
     lines = shelf(t)
-    heads = lines.where("ord = 0").select("book", (F.col("page") - 1).alias("idx"), "text")
+    heads = written(lines.where("ord = 0").select("book", (F.col("page") - 1).alias("idx"), "text"), "books-heads")
     place, title = F.col("idx") % VOLUME, T.normal_title(F.col("text"))
     printed = F.when(F.col("idx") % 16 == 9, None).when((F.col("idx") % 40 == 17) & (F.col("book") % 5 == 3), F.greatest(F.lit(1), place - 9)).otherwise(place - 2)
     entries = heads.where((place >= 3) & (F.col("idx") % 2 == 1)).select("book", F.col("idx").alias("seq"), title.alias("title"), printed.cast("int").alias("page"), F.when(F.col("idx") % 4 == 1, 1).otherwise(2).alias("level"))
     cut = heads.where("idx = 0 or idx % 4 = 1 and idx % 3 <> 2").withColumn("start", F.col("idx") + 1 + F.when(F.col("idx") % 3 == 1, 2).otherwise(0))
-    paragraphs = asof_join(lines.select("book", "page", "ord", "id"), cut.select("book", "start", F.col("idx").alias("chapter")), "book", "page", "start", ["chapter"])
+    paragraphs = asof_values(lines.select("book", "page", "ord", "id"), cut.select("book", "start", F.col("idx").alias("chapter")), "book", "page", "start", ["chapter"])
     lost = (F.col("page") * 31 + F.col("ord")) % 53 == 0
     paragraphs = paragraphs.select("book", "chapter", (F.col("page") * 10000 + F.col("ord")).alias("idx"), F.when(~lost, F.col("page")).alias("page"), "id")
     ends = heads.where(place == 0).select("book", (F.col("idx") + 1).alias("last_page"))

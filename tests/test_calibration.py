@@ -310,3 +310,36 @@ def test_recalibrate(spark):
         assert sorted(new[b]) == expected
     done = {b for b, r in reasons.items() if r.reason == "done"}
     assert len(done) > 5 and any(r[2] == "DONE" for b in done for r in new[b]) and {r.reason for r in reasons.values()} >= {"used", "done"}
+
+
+def counted(df, rows):
+    """df, each of whose rows adds one to the accumulator when it is made."""
+
+    def pass_on(batches):
+        for batch in batches:
+            rows.add(batch.num_rows)
+            yield batch
+
+    return df.mapInArrow(pass_on, df.schema)
+
+
+def test_books_are_read_once(spark):
+    """C10 makes the paragraphs it is given once, and the lines once."""
+    dice = random.Random(5)
+    given = tables(spark, {b: made_up(dice, 1 + b % 2, b % 4) for b in range(8)})
+    made, lines = spark.sparkContext.accumulator(0), spark.sparkContext.accumulator(0)
+    wanted = {name: given[name].count() for name in ("paragraphs", "lines")}
+    got = C.calibrate(**(given | {"paragraphs": counted(given["paragraphs"], made), "lines": counted(given["lines"], lines)}))
+    assert got.chapters.count() > 0 and got.paragraphs.count() > 0
+    assert made.value == wanted["paragraphs"] and lines.value == wanted["lines"]
+
+
+def test_recalibrated_books_are_read_once(spark):
+    from folio.plans import books as P
+    from folio.sources.roles import table
+
+    books, chapters, paragraphs, entries, used = P.recalibration_inputs(lambda n: table(spark, "/root/testdata/sf0.001", n))
+    made, n = spark.sparkContext.accumulator(0), paragraphs.count()
+    for df in C.recalibrate(books, chapters, counted(paragraphs, made), entries, used):
+        df.collect()
+    assert made.value == n
