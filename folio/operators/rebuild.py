@@ -29,7 +29,8 @@ def page_owners(paragraphs: DataFrame, chapters: DataFrame, pages: DataFrame) ->
 
     paragraphs: book, chapter (an id), idx, page; chapters: book, id, idx; pages: book, page.
     """
-    rows = paragraphs.join(chapters.select("book", F.col("id").alias("chapter"), F.col("idx").alias("nth")), ["book", "chapter"])
+    last = paragraphs.groupBy("book", "chapter", "page").agg(F.max("idx").alias("idx"))
+    rows = last.join(chapters.select("book", F.col("id").alias("chapter"), F.col("idx").alias("nth")), ["book", "chapter"])
     own = rows.groupBy("book", "page").agg(F.max_by("chapter", F.struct("nth", "idx")).alias("owner")).withColumn("at", F.col("page"))
     before = asof_join(pages.select("book", "page"), own, "book", "page", "at", ["owner"])
     first = own.groupBy("book").agg(F.min_by("owner", "page").alias("first"))
@@ -45,12 +46,17 @@ def rebuild_if_safe(paragraphs: DataFrame, chapters: DataFrame, pages: DataFrame
     to the chapter that their page is in then. Books that a guard stops come back row for row; verdicts has its name.
     """
     fresh = read_again(pages)
-    old = paragraphs.groupBy("book").agg(F.sum(F.length("text")).alias("chars"), F.bool_or(F.col("page").isNull()).alias("unpaged"))
-    gone = paragraphs.join(pages.select("book", "page").distinct(), ["book", "page"], "left_semi").groupBy("book").agg(F.sum(F.length("text")).alias("replaced"))
+    # what guards, owners and figures ask of the texts is how long they are, by chapter and page: texts are read for that once
+    spots = paragraphs.groupBy("book", "chapter", "page").agg(F.sum(F.length("text")).alias("chars"), F.max("idx").alias("idx"))
+    spots = written(spots, "rebuild-spots")
+    asked = written(pages.select("book", "page").distinct(), "rebuild-asked")
+    sizes = written(fresh.groupBy("book", "page").agg(F.sum(F.length("text")).alias("chars")), "rebuild-fresh")
+    old = spots.groupBy("book").agg(F.sum("chars").alias("chars"), F.bool_or(F.col("page").isNull()).alias("unpaged"))
+    gone = spots.join(asked, ["book", "page"], "left_semi").groupBy("book").agg(F.sum("chars").alias("replaced"))
     deep = chapters.groupBy("book").agg(F.bool_or(F.col("level") != 1).alias("sections"))
     facts = chapters.select("book").distinct()
     seen = lambda df, name: df.select("book").distinct().withColumn(name, F.lit(True))
-    for df in (seen(pages, "again"), seen(used, "used"), old, gone, deep):
+    for df in (seen(asked, "again"), seen(used, "used"), old, gone, deep):
         facts = facts.join(df, "book", "left")
     stops = (
         F.when(F.col("again").isNull(), "nothing read").when(F.col("used"), "used").when(F.col("chars").isNull() | F.col("unpaged"), "no pages").when(F.col("sections"), "sections")
@@ -58,12 +64,14 @@ def rebuild_if_safe(paragraphs: DataFrame, chapters: DataFrame, pages: DataFrame
     facts = written(facts.withColumn("reason", stops), "rebuild-books")
     may = facts.where("reason is null").select("book")
 
-    owners = written(page_owners(paragraphs.join(may, "book", "left_semi"), chapters, pages.select("book", "page").distinct().join(may, "book", "left_semi")), "rebuild-owners")
+    owners = written(page_owners(spots.join(may, "book", "left_semi"), chapters, asked.join(may, "book", "left_semi")), "rebuild-owners")
     placed = fresh.join(owners, ["book", "page"]).select("book", "chapter", "page", F.lit(1).alias("again"), F.col("n").cast("long").alias("n"), "text", "role")
-    kept = paragraphs.join(may, "book", "left_semi").join(pages.select("book", "page").distinct(), ["book", "page"], "left_anti")
+    kept = paragraphs.join(may, "book", "left_semi").join(asked, ["book", "page"], "left_anti")
     staged = kept.select("book", "chapter", "page", F.lit(0).alias("again"), F.col("idx").cast("long").alias("n"), "text", "role").unionByName(placed)
-    new = staged.groupBy("book").agg(F.sum(F.length("text")).alias("staged"))
-    wanted = fresh.groupBy("book").agg(F.sum(F.length("text")).alias("fresh"))
+    lasting = spots.join(may, "book", "left_semi").join(asked, ["book", "page"], "left_anti").select("book", "chapter", "page", "chars")
+    lasting = lasting.unionByName(sizes.join(owners, ["book", "page"]).select("book", "chapter", "page", "chars"))
+    new = lasting.groupBy("book").agg(F.sum("chars").alias("staged"))
+    wanted = sizes.groupBy("book").agg(F.sum("chars").alias("fresh"))
     verdicts = facts.join(new, "book", "left").join(wanted, "book", "left")
     expected = F.col("chars") - F.coalesce("replaced", F.lit(0)) + F.coalesce("fresh", F.lit(0))
     short = F.coalesce("staged", F.lit(0)) < COVERED * expected
@@ -75,7 +83,7 @@ def rebuild_if_safe(paragraphs: DataFrame, chapters: DataFrame, pages: DataFrame
     swapped = staged.join(done, "book", "left_semi").select("book", "chapter", (F.row_number().over(order) - 1).cast(dict(paragraphs.dtypes)["idx"]).alias("idx"), "page", "text", "role")
     columns = ["book", "chapter", "idx", "page", "text", "role"]
     out = paragraphs.select(columns).join(done, "book", "left_anti").unionByName(swapped.select(columns))
-    starts = swapped.groupBy("book", F.col("chapter").alias("home")).agg(F.min("page").alias("start"))
+    starts = lasting.join(done, "book", "left_semi").groupBy("book", F.col("chapter").alias("home")).agg(F.min("page").alias("start"))
     moved = asof_join(figures.join(done, "book", "left_semi"), starts, "book", "page", "start", ["home"])
     homes = figures.join(done, "book", "left_anti").unionByName(moved.withColumn("chapter", F.coalesce("home", "chapter")).select(figures.columns))
     return out, homes, verdicts

@@ -343,3 +343,19 @@ def test_recalibrated_books_are_read_once(spark):
     for df in C.recalibrate(books, chapters, counted(paragraphs, made), entries, used):
         df.collect()
     assert made.value == n
+
+
+def test_figures_read_texts_once(spark):
+    """C14: where only the figures are asked for, texts are measured once; pages no text was on and texts without a page count."""
+    from folio.operators import rebuild as B
+
+    rows = [(1, 10, 0, 1, "甲乙", "BODY"), (1, 10, 1, 2, "丙", "BODY"), (1, 11, 0, 3, None, "BODY"), (1, 11, 1, 4, "丁戊", "BODY"), (2, 20, 0, None, "己", "BODY"), (3, 30, 0, 1, "庚辛壬癸庚辛壬癸", "BODY"), (3, 30, 1, 2, "甲", "BODY")]
+    paragraphs = spark.createDataFrame(rows, "book long, chapter long, idx int, page int, text string, role string")
+    chapters = spark.createDataFrame([(1, 10, 0, 1), (1, 11, 1, 1), (2, 20, 0, 1), (3, 30, 0, 1)], "book long, id long, idx int, level int")
+    pages = spark.createDataFrame([(1, 2, ["丙丙"], []), (1, 9, ["新"], []), (2, 1, ["x"], []), (3, 9, [], [])], "book long, page int, body array<string>, notes array<string>")
+    figures = spark.createDataFrame([(1, 100, 3, 10), (1, 101, 2, 11), (2, 200, 1, 20), (3, 300, 1, 30)], "book long, id long, page int, chapter long")
+    made = spark.sparkContext.accumulator(0)
+    _, homes, verdicts = B.rebuild_if_safe(counted(paragraphs, made), chapters, pages, spark.createDataFrame([], "book long"), figures)
+    assert {r.id: r.chapter for r in homes.collect()} == {100: 11, 101: 10, 200: 20, 300: 30}
+    assert {r.book: r.reason for r in verdicts.collect()} == {1: "done", 2: "no pages", 3: "done"}
+    assert made.value == len(rows)
