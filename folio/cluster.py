@@ -29,7 +29,7 @@ def shipped(df: DataFrame) -> DataFrame:
 def written(df: DataFrame, name: str) -> DataFrame:
     """df as a Parquet table in the folder named by spark.checkpoint.dir, deleted when the application ends.
 
-    For small results that several later steps read: their plans start from the table, and a lost executor costs no more
+    For what several later steps read, small results or the lines of all books: their plans start from the table, and a lost executor costs no more
     than its tasks. Where the setting is unset, a local session takes a temporary folder.
     """
     spark = df.sparkSession
@@ -42,5 +42,5 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
     place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(place)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
