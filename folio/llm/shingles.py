@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .store import drop_path, materialize, new_path, ship, shuffles_removed
+from .store import bucketed, drop_path, drop_table, materialize, new_path, ship, shuffles_removed
 from .tokens import text_blocks
 
 #: Slots, by the first bits of their hashes, in which the shingles of all texts are counted.
@@ -89,6 +89,11 @@ def mark_of(text: Column) -> Column:
     return F.unhex(F.left(F.sha2(F.coalesce(text.cast("string"), F.lit("")).cast("binary"), 256), F.lit(32)))
 
 
+def _doc() -> Column:
+    """doc_id, or for a null one the least long."""
+    return F.coalesce("doc_id", F.lit(-(1 << 63)).cast("long"))
+
+
 def _marked(docs: DataFrame) -> DataFrame:
     """(doc_id, text, mark)"""
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), mark_of(F.col("text")).alias("mark"))
@@ -229,20 +234,24 @@ def candidates(rooted: DataFrame, pivots: tuple[int, int] | None) -> DataFrame:
     return dealt.mapInArrow(run, "a long, b long").distinct()
 
 
-def alike(pairs: DataFrame, rows: DataFrame, marked: DataFrame, words: int) -> DataFrame:
+def alike(pairs: DataFrame, rows: DataFrame, stored: DataFrame, words: int) -> DataFrame:
     """Those pairs (a, b) of nodes whose sets have a likeness of 0.8 or more.
 
     The parities rule most of the others out; the rest are compared by their texts, by slices of the pairs.
+    stored: (doc, mark, text), bucketed by doc; only the texts asked for leave it.
     """
     spark = pairs.sparkSession
-    sketch = rows.join(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "node", "left_semi").select("node", "n", "mark", *PARITIES).dropDuplicates(["node"])
-    first, second = (sketch.select(F.col("node").alias(c), *(F.col(x).alias(f"{x}_{c}") for x in ["n", "mark", *PARITIES])) for c in "ab")
+    sketch = rows.join(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "node", "left_semi").select("node", "n", _doc().alias("doc"), "mark", *PARITIES).dropDuplicates(["node"])
+    first, second = (sketch.select(F.col("node").alias(c), *(F.col(x).alias(f"{x}_{c}") for x in ["n", "doc", "mark", *PARITIES])) for c in "ab")
     apart = sum((F.bit_count(F.col(f"{p}_a").bitwiseXOR(F.col(f"{p}_b"))) for p in PARITIES), F.lit(0))
     close = pairs.join(first, "a").join(second, "b").where(9 * apart <= F.col("n_a") + F.col("n_b"))
     close_path, path = new_path(spark, "shingles-close"), new_path(spark, "shingles-texts")
-    close = materialize(close.select("a", "b", "mark_a", "mark_b"), path=close_path)
-    wanted = close.select(F.explode(F.array("mark_a", "mark_b")).alias("mark")).distinct()
-    texts = materialize(marked.join(wanted, "mark", "left_semi").dropDuplicates(["mark"]).select("mark", "text"), path=path)
+    close = materialize(close.select("a", "b", "doc_a", "mark_a", "doc_b", "mark_b"), path=close_path)
+    ends = F.array(*(F.struct(F.col(f"doc_{c}").alias("doc"), F.col(f"mark_{c}").alias("mark")) for c in "ab"))
+    wanted = close.select(F.explode(ends).alias("end")).groupBy("end.doc").agg(F.collect_set("end.mark").alias("asked"))
+    # an equality of marks would become a key of the join, which the table is not dealt by
+    texts = stored.join(wanted.hint("shuffle_hash"), "doc").where(F.array_contains("asked", F.col("mark"))).dropDuplicates(["mark"]).select("mark", "text")
+    texts = materialize(texts, path=path)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -275,17 +284,20 @@ def near_groups(docs: DataFrame, words: int = 5, first: Callable[[DataFrame], Da
     met = materialize(meeting(found).join(nodes, keys).select("token", "node", "n", "place"), path=met_path)
     rows = materialize(found.drop("lead").join(nodes, keys).drop(*keys), path=rows_path)
     drop_path(spark, path)
+    # every round asks for few texts; without this table each would send all texts through a shuffle
+    stored = bucketed(marked.select(_doc().alias("doc"), "mark", "text"), "doc", path=(texts_path := new_path(spark, "shingles-stored")))
     links = roots = None
     if first:
-        links = alike(first(rows.select("node", "fp").dropDuplicates(["node"])), rows, marked, words)
+        links = alike(first(rows.select("node", "fp").dropDuplicates(["node"])), rows, stored, words)
         roots = materialize(components(links), "shingles-roots")
     for pivots in PIVOTS:
         rooted = met.withColumn("root", F.col("node")) if roots is None else met.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
         pairs = materialize(candidates(rooted, pivots), "shingles-pairs")
-        now = alike(pairs, rows, marked, words)
+        now = alike(pairs, rows, stored, words)
         links = now if links is None else links.unionByName(now)
         roots = materialize(components(links), "shingles-roots")
     drop_path(spark, met_path)
+    drop_table(spark, texts_path)
     known = materialize(rows.select("doc_id", "mark", "node"), "shingles-known")
     drop_path(spark, rows_path)
     return known.join(roots, "node", "left").select("doc_id", "mark", "node", F.coalesce("root", "node").alias("root"))

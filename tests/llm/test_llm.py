@@ -766,3 +766,29 @@ def test_near_dedup_asks_the_fingerprints_first(spark, monkeypatch):
     fps = {r.doc_id: r.fp for r in simhash.fingerprints(docs, 5).collect()}
     known = {r.doc_id: r.fp for r in shingles.leads(shingles._marked(docs), 5).collect()}
     assert fps == known
+
+
+def test_near_dedup_leaves_texts_where_they_lie(spark, monkeypatch):
+    """Texts that are compared are picked where all texts are stored, bucketed; no round sends all of them through a shuffle."""
+    from folio.llm import shingles
+
+    plans, write = [], shingles.materialize
+
+    def materialize(df, *a, path=None, **b):
+        if "shingles-texts" in (path or ""):
+            plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return write(df, *a, path=path, **b)
+
+    monkeypatch.setattr(shingles, "materialize", materialize)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        text = " ".join(f"w{i}" for i in range(60))
+        docs = spark.createDataFrame([(1, text), (2, text + " more"), (None, text + " other"), (None, "a b"), (4, None)], "doc_id long, text string")
+        roots = [r.root for r in shingles.near_groups(docs, 5).orderBy(F.length("mark"), "doc_id").collect()]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert sorted(map(roots.count, roots)) == [1, 1, 3, 3, 3]
+    assert plans and all("Bucketed: true" in p for p in plans)
+    tables = [t.name for t in spark.catalog.listTables() if t.name.startswith("shingles_stored")]
+    assert not tables
