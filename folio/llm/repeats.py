@@ -6,7 +6,9 @@ can repeat, and an index of anchored suffixes, a small share of all positions, f
 with one anchor form a stretch; documents with equal stretches form a class, whose first document is kept. Of a class's
 later documents all windows of the stretch repeat. First documents of different classes with one anchor gram are
 compared window by window: by sorting their suffixes at the anchor and scanning the common prefixes of neighbours
-(scan), or by the digests of their windows (windows_of), as the spec says.
+(scan), or by the digests of their windows (windows_of), as the spec says. Equal windows agree in at least half of what
+they hold beside the gram, before it or after it; so only stretches that meet another's 16 bits of one of these halves
+(their sides) are compared, in groups of one gram and one half.
 
 The index is log-structured: each batch of documents (later batches hold larger ids) adds an immutable sorted run of
 its anchors; the batch is merge-joined with the runs before it; runs of like size are merged.
@@ -29,7 +31,7 @@ from pyspark.sql import functions as F
 from .store import bucketed, drop_path, materialize, new_path, ship
 from .tokens import ByteHash, text_blocks
 
-ANCHORS = "u long, v long, doc long"
+ANCHORS = "u long, v long, c int, doc long"
 _ODD = np.uint64(0x9FB21C651E98DF25)
 #: Rows whose suffixes are sorted at a time.
 CHUNK = 1 << 15
@@ -48,6 +50,11 @@ class Spec:
     words: bool
     sorted_at_most: int = 0
 
+    @property
+    def half(self) -> int:
+        """Of the symbols that a window holds beside its gram, at least so many stand before the gram or at least so many after it."""
+        return (max(0, self.window - self.gram) + 1) // 2
+
 
 @dataclass
 class Symbols:
@@ -121,6 +128,16 @@ class Reader:
         np.cumsum(h * self.hash.power[:n], out=prefix[1:])
         return Symbols(prefix, begins, buffer, first, last)
 
+    def sides(self, s: Symbols, of: Stretches) -> np.ndarray:
+        """16 bits each of the half window before the gram and, above, of that after it; 0 where no window of the stretch holds it."""
+        half, gram = self.spec.half, self.spec.gram
+        out = np.zeros(len(of.at), np.uint32)
+        for has, begin, shift in ((of.at - half >= of.lo, of.at - half, 0), (of.at + gram + half <= of.hi + self.spec.window, of.at + gram, 16)):
+            begin = begin[has]
+            h = _mix((s.prefix[begin + half] - s.prefix[begin]) * self.hash.back[begin]) >> np.uint64(48)
+            out[has] |= np.maximum(h, np.uint64(1)).astype(np.uint32) << np.uint32(shift)
+        return out.view(np.int32)
+
     def stretches(self, s: Symbols) -> Stretches:
         size, gram = self.spec.window, self.spec.gram
         n = len(s.prefix) - 1
@@ -182,7 +199,7 @@ def _digests_in(column: pa.ListArray) -> tuple[np.ndarray, np.ndarray, np.ndarra
 
 
 def anchors(docs: DataFrame, spec: Spec) -> DataFrame:
-    """(u, v, doc): the gram's hash and the stretch's digest of every anchor, once for each document."""
+    """(u, v, c, doc): the gram's hash, the stretch's digest and its sides of every anchor, once for each document."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = Reader(spec)
@@ -193,19 +210,48 @@ def anchors(docs: DataFrame, spec: Spec) -> DataFrame:
                 found = reader.stretches(symbols)
                 code = found.codes(symbols, spec.window)
                 once = _first_of_equals(found.doc, code[:, 0], code[:, 1])
-                columns = [code[once, 0], code[once, 1], ids[a:b][found.doc[once]]]
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["u", "v", "doc"])
+                columns = [code[once, 0], code[once, 1], reader.sides(symbols, found)[once], ids[a:b][found.doc[once]]]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["u", "v", "c", "doc"])
 
     return ship(docs).select("doc", "text").mapInArrow(emit, ANCHORS)
 
 
+def shared_grams(held: DataFrame, above: int | None) -> DataFrame:
+    """The rows of held (u, v, c, doc) whose gram, but for its last bit, stands in several rows, some of a doc above `above`.
+
+    One sort by gram; of a gram's rows those above come first, told by the last bit. One row is held at a time.
+    """
+    old = F.lit(0) if above is None else F.when(F.col("doc") > above, F.lit(0)).otherwise(F.lit(1))
+    order = F.col("u").bitwiseAND(F.lit(-2)).bitwiseOR(old.cast("long"))
+
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last: pa.RecordBatch | None = None  # alone of its gram so far
+        gram = known = None  # of the row before; known: whether it has a row above
+        for batch in batches:
+            if not len(batch):
+                continue
+            u, doc = batch.column("u").to_numpy() >> 1, batch.column("doc").to_numpy()
+            own = np.ones(len(u), bool) if above is None else doc > above
+            new = np.concatenate([[gram is None or u[0] != gram], u[1:] != u[:-1]])
+            head = np.maximum.accumulate(np.where(new, np.arange(len(u)), -1))
+            has = np.where(head < 0, bool(known), own[np.maximum(head, 0)])
+            several = ~new | np.concatenate([~new[1:], [False]])
+            if last is not None and not new[0] and known:
+                yield last
+            last = batch.slice(len(u) - 1) if new[-1] else None
+            gram, known = u[-1], has[-1]
+            yield batch.filter(pa.array(several & has))
+
+    return held.select("u", "v", "c", "doc").repartition(F.shiftright("u", 1)).sortWithinPartitions(order).mapInArrow(emit, ANCHORS)
+
+
 def _wanted(reader: Reader, symbols: Symbols, column: pa.ListArray) -> tuple[Stretches, np.ndarray]:
     """The stretches whose digests a list column names, and the digests."""
     found = reader.stretches(symbols)
     named = np.zeros(len(symbols.begins) - 1, bool)
     listed = _digests_in(column)
     named[listed[0]] = True
-    found = found.take(np.flatnonzero(named[found.doc]))
+    found = found.take(np.flatnonzero(named[found.doc] & np.isin(found.k.view(np.int64), listed[1])))
     digest = found.codes(symbols, reader.spec.window)
     which = np.flatnonzero(_find((found.doc, digest[:, 0], digest[:, 1]), listed) >= 0)
     return found.take(which), digest[which]
@@ -229,11 +275,14 @@ def windows_of(docs: DataFrame, spec: Spec, column: str) -> DataFrame:
     return ship(docs).select("doc", "text", column).mapInArrow(emit, "u long, v long, doc long")
 
 
-SUFFIXES = "doc long, u long, v long, at int, bytes binary"
+SUFFIXES = "g long, doc long, u long, v long, side long, at int, bytes binary"
 
 
 def suffixes_of(docs: DataFrame, spec: Spec, column: str) -> DataFrame:
-    """(doc, u, v, at, bytes): the bytes of the stretches of docs (doc, text, column) named there, and where in them the anchor is."""
+    """(g, doc, u, v, side, at, bytes): the bytes of the stretches of docs (doc, text, column) named there, and where in them the anchor is.
+
+    g: a hash of what makes a group, the gram and the half beside it.
+    """
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = Reader(spec)
@@ -241,13 +290,17 @@ def suffixes_of(docs: DataFrame, spec: Spec, column: str) -> DataFrame:
             ids = batch.column("doc").to_numpy()
             for a, b, texts in text_blocks(batch.column("text")):
                 symbols = reader.symbols(texts)
-                found, digest = _wanted(reader, symbols, batch.column(column).slice(a, b - a))
-                once = _first_of_equals(found.doc, digest[:, 0], digest[:, 1])
-                found, digest = found.take(once), digest[once]
+                lists = batch.column(column).slice(a, b - a)
+                found, digest = _wanted(reader, symbols, lists)
+                listed, side = _digests_in(lists), lists.flatten().field("side").to_numpy()
+                which = _find(listed, (found.doc, digest[:, 0], digest[:, 1]))
+                side, which = side[which >= 0], which[which >= 0]
+                found, digest = found.take(which), digest[which]
+                group = _mix(_mix(digest[:, 0].astype(np.uint64)) ^ (side.astype(np.uint64) + np.uint64(1)) * _ODD).view(np.int64)
                 lo, hi = symbols.span(found.lo, found.hi + spec.window)
                 data = pa.array([symbols.buffer[x:y] for x, y in zip(lo.tolist(), hi.tolist(), strict=True)], pa.binary())
-                columns = [pa.array(ids[a:b][found.doc]), pa.array(digest[:, 0]), pa.array(digest[:, 1]), pa.array((found.at - found.lo).astype(np.int32)), data]
-                yield pa.RecordBatch.from_arrays(columns, names=["doc", "u", "v", "at", "bytes"])
+                columns = [pa.array(group), pa.array(ids[a:b][found.doc]), pa.array(digest[:, 0]), pa.array(digest[:, 1]), pa.array(side), pa.array((found.at - found.lo).astype(np.int32)), data]
+                yield pa.RecordBatch.from_arrays(columns, names=["g", "doc", "u", "v", "side", "at", "bytes"])
 
     return ship(docs).select("doc", "text", column).mapInArrow(emit, SUFFIXES)
 
@@ -303,7 +356,7 @@ def repeated(group: np.ndarray, doc: np.ndarray, at: np.ndarray, data: np.ndarra
 
 
 def scan(suffixes: DataFrame, spec: Spec) -> DataFrame:
-    """(doc, u, v, bits): the stretches with windows that start in a document with a smaller id too; a bit for each window."""
+    """(doc, u, v, side, bits): the stretches with windows that start in a document with a smaller id too; a bit for each window."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -312,8 +365,8 @@ def scan(suffixes: DataFrame, spec: Spec) -> DataFrame:
         def take(last: bool) -> Iterator[pa.RecordBatch]:
             nonlocal held, rows
             table = pa.Table.from_batches(held).combine_chunks()
-            k = table.column("u").to_numpy()
-            end = len(k) if last else int(np.searchsorted(k, k[-1]))  # the last gram may go on
+            k = table.column("g").to_numpy()
+            end = len(k) if last else int(np.searchsorted(k, k[-1]))  # the last group may go on
             rest = table.slice(end)
             held, rows = rest.to_batches(), len(rest)
             if end:
@@ -326,8 +379,8 @@ def scan(suffixes: DataFrame, spec: Spec) -> DataFrame:
                 found = repeated(k[:end], doc, table.column("at").to_numpy().astype(np.int64), data, offsets[:-1], np.diff(offsets), spec.window)
                 some = np.flatnonzero(found.any(axis=1))
                 bits = np.packbits(found[some], axis=1)
-                columns = [pa.array(doc[some]), *(table.column(c).combine_chunks().take(pa.array(some)) for c in "uv"), pa.array([x.tobytes() for x in bits], pa.binary())]
-                yield from pa.Table.from_arrays(columns, names=["doc", "u", "v", "bits"]).combine_chunks().to_batches()
+                columns = [pa.array(doc[some]), *(table.column(c).combine_chunks().take(pa.array(some)) for c in ("u", "v", "side")), pa.array([x.tobytes() for x in bits], pa.binary())]
+                yield from pa.Table.from_arrays(columns, names=["doc", "u", "v", "side", "bits"]).combine_chunks().to_batches()
 
         for batch in batches:
             if len(batch):
@@ -338,7 +391,7 @@ def scan(suffixes: DataFrame, spec: Spec) -> DataFrame:
         if rows:
             yield from take(True)
 
-    return suffixes.repartition("u").sortWithinPartitions("u").mapInArrow(emit, "doc long, u long, v long, bits binary")
+    return suffixes.repartition("g").sortWithinPartitions("g").mapInArrow(emit, "doc long, u long, v long, side long, bits binary")
 
 
 class RepeatIndex:
@@ -368,30 +421,33 @@ class RepeatIndex:
         docs: (doc long, text), all ids larger than `above` and those of earlier batches not. last: no batch follows, and no run is kept.
         """
         spark, path = docs.sparkSession, new_path(docs.sparkSession, "repeat-run")
-        run = materialize(anchors(docs, self.spec), path=path)
-        held = run.withColumn("own", F.lit(True))
+        run = anchors(docs, self.spec)
+        if not last:
+            run = materialize(run, path=path)
+        held = run
         for _, level, _ in self.levels:
-            held = held.unionByName(level.withColumn("own", F.lit(False)))
-        # written apart from the join that uses it, so that the shuffle files of one are gone before the other's;
-        # grams that earlier batches hold alone were compared then
-        twice = held.groupBy("u").agg(F.count("*").alias("n"), F.max("own").alias("own")).where("n > 1 and own").select("u")
-        shared = self._hold(held.join(self._hold(twice, "repeat-twice"), "u"), "repeat-shared")
-        classes = self._hold(shared.groupBy("u", "v").agg(F.min("doc").alias("first"), F.count("*").alias("n")), "repeat-classes")
-        known = classes.join(classes.groupBy("u").agg(F.count("*").alias("several")), "u").select("u", "v", "first", "n", "several")
-        later = shared.where("own").select("u", "v", "doc").join(classes.where("n > 1").select("u", "v", "first"), ["u", "v"]).where("doc > first")
-        later = later.select("doc", "u", "v", F.lit(None).cast("long").alias("several"))
-        coded = later.unionByName(known.where("several > 1").select(F.col("first").alias("doc"), "u", "v", "several"))
+            held = held.unionByName(level)
+        shared = self._hold(shared_grams(held, above), "repeat-shared")
+        classes = self._hold(shared.groupBy("u", "v").agg(F.min("doc").alias("first"), F.max("c").alias("c"), F.count("*").alias("n")), "repeat-classes")
+        own = F.lit(True) if above is None else F.col("doc") > above
+        later = shared.where(own).select("u", "v", "doc").join(classes.where("n > 1").select("u", "v", "first"), ["u", "v"]).where("doc > first")
+        later = later.select("doc", "u", "v", F.lit(None).cast("long").alias("side"), F.lit(None).cast("long").alias("several"))
+        halves = F.array(F.col("c").bitwiseAND(F.lit(0xFFFF)).cast("long"), F.shiftrightunsigned("c", 16).cast("long") + F.lit(1 << 16))
+        sided = classes.select("u", "v", "first", F.explode(F.filter(halves, lambda x: x.bitwiseAND(F.lit(0xFFFF)) != 0)).alias("side"))
+        meets = sided.groupBy("u", "side").agg(F.count("*").alias("several"), F.max("first").alias("newest")).where("several > 1")
+        if above is not None:  # groups of earlier batches' stretches alone were compared then
+            meets = meets.where(F.col("newest") > above)
+        known = self._hold(sided.join(meets, ["u", "side"]).select(F.col("first").alias("doc"), "u", "v", "side", "several"), "repeat-known")
+        coded = later.unionByName(known)
         code, few = F.struct("u", "v"), F.col("several") <= self.spec.sorted_at_most
         per_doc = coded.groupBy("doc").agg(
-            F.collect_list(F.when(F.col("several").isNull(), code)).alias("stretches"), F.collect_list(F.when(few, code)).alias("few"), F.collect_list(F.when(~few, code)).alias("many")
+            F.collect_list(F.when(F.col("several").isNull(), code)).alias("stretches"), F.collect_list(F.when(few, F.struct("u", "v", "side"))).alias("few"), F.collect_set(F.when(~few, code)).alias("many")
         )
         docs_path = new_path(spark, "repeat-docs")
         per_doc = materialize(per_doc, path=docs_path)
         self._drop(spark)
         if not last:
             self._push(run, path)
-        else:
-            drop_path(spark, path)
         self.temporary.append(docs_path)
         windows = self._hold(windows_of(self._read(per_doc, "many"), self.spec, "many"), "repeat-windows")
         firsts = windows.groupBy("u", "v").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).where("first < last")
@@ -400,7 +456,7 @@ class RepeatIndex:
         out = per_doc.select("doc", "stretches").join(again, "doc", "full")
         if self.spec.sorted_at_most:
             found = scan(suffixes_of(self._read(per_doc, "few"), self.spec, "few"), self.spec)
-            parts = self._hold(found.groupBy("doc").agg(F.collect_list(F.struct("u", "v", "bits")).alias("parts")), "repeat-parts")
+            parts = self._hold(found.groupBy("doc").agg(F.collect_list(F.struct("u", "v", "side", "bits")).alias("parts")), "repeat-parts")
             out = out.join(parts, "doc", "full")
         else:
             out = out.withColumn("parts", F.lit(None).cast(PARTS))
@@ -417,20 +473,18 @@ class RepeatIndex:
         return self.texts.select("doc", "text").join(named.hint("shuffle_hash"), "doc")
 
     def _push(self, run: DataFrame, path: str) -> None:
-        """Add a run, each class by its first document; merge it with the one before while that is not more than twice as large."""
-        spark, old = run.sparkSession, [path]
-        while True:
-            run = run.groupBy("u", "v").agg(F.min("doc").alias("doc")).sortWithinPartitions("u", "v")
-            path = new_path(spark, "repeat-level")
-            run = materialize(run, path=path)
-            for gone in old:
-                drop_path(spark, gone)
-            rows = run.count()
-            if not self.levels or self.levels[-1][0] > 2 * rows:
-                break
-            _, older, older_path = self.levels.pop()
-            run, old = older.unionByName(run), [path, older_path]
-        self.levels.append((rows, run, path))
+        """Add a run, each class by its first document, merged with those before while these are not more than twice as large."""
+        spark, old, rows = run.sparkSession, [path], run.count()
+        while self.levels and self.levels[-1][0] <= 2 * rows:
+            many, older, older_path = self.levels.pop()
+            run, rows = older.unionByName(run), rows + many
+            old.append(older_path)
+        run = run.groupBy("u", "v").agg(F.max("c").alias("c"), F.min("doc").alias("doc")).sortWithinPartitions("u", "v")
+        path = new_path(spark, "repeat-level")
+        run = materialize(run, path=path)
+        for gone in old:
+            drop_path(spark, gone)
+        self.levels.append((run.count(), run, path))
 
 
 def _own_repeats(symbols: Symbols, there: Stretches, window: int) -> list[np.ndarray]:
@@ -460,7 +514,7 @@ def _own_repeats(symbols: Symbols, there: Stretches, window: int) -> list[np.nda
     return [*starts, at[x[(doc[x] == doc[y]) & (code[x] == code[y]).all(axis=1)]]]
 
 
-CODES, PARTS = "array<struct<u:bigint,v:bigint>>", "array<struct<u:bigint,v:bigint,bits:binary>>"
+CODES, PARTS = "array<struct<u:bigint,v:bigint>>", "array<struct<u:bigint,v:bigint,side:bigint,bits:binary>>"
 
 
 def mark(docs: DataFrame, found: DataFrame, spec: Spec, own: bool, render, schema: str) -> DataFrame:
@@ -480,16 +534,20 @@ def mark(docs: DataFrame, found: DataFrame, spec: Spec, own: bool, render, schem
                 named = np.zeros(b - a, bool)
                 for x in rows.values():
                     named[x[0]] = True
-                some = there.take(np.flatnonzero(named[there.doc]))
+                grams = np.concatenate([rows["stretches"][1], rows["parts"][1]])
+                some = there.take(np.flatnonzero(np.isin(there.k.view(np.int64), grams) & named[there.doc] | np.isin(there.doc, rows["windows"][0])))
                 code = some.codes(symbols, spec.window)
                 key = (some.doc, code[:, 0], code[:, 1])
                 whole = _find(key, rows["stretches"]) >= 0
                 starts = [_spans(some.lo[whole], some.hi[whole])]
                 if len(rows["parts"][0]):
-                    part = _find(key, rows["parts"])
-                    bits = _lists(lists["parts"])[1].field("bits").to_pylist()
-                    for i in np.flatnonzero((part >= 0) & ~whole).tolist():
-                        starts.append(some.lo[i] + np.flatnonzero(np.unpackbits(np.frombuffer(bits[part[i]], np.uint8))))
+                    flat = _lists(lists["parts"])[1]
+                    bits, after = flat.field("bits").to_pylist(), flat.field("side").to_numpy() >> 16
+                    for side in (0, 1):
+                        of = np.flatnonzero(after == side)
+                        part = _find(key, tuple(x[of] for x in rows["parts"]))
+                        for i in np.flatnonzero((part >= 0) & ~whole).tolist():
+                            starts.append(some.lo[i] + np.flatnonzero(np.unpackbits(np.frombuffer(bits[of[part[i]]], np.uint8))))
                 if len(rows["windows"][0]):
                     asked = ~whole & np.isin(some.doc, rows["windows"][0])
                     at = _spans(some.lo[asked], some.hi[asked])

@@ -22,8 +22,8 @@ from .repeats import Spec, Symbols, without_repeats
 
 #: Grams of 32 bytes anchor windows of 100: about one anchor in 35 bytes.
 GRAM = 32
-#: Texts around one anchor that are sorted in one task; the windows of more are compared by digests in many tasks.
-SORTED = 512
+#: Texts around one anchor, alike before or after it, that are sorted in one task, at most half of its chunk; the windows of more are compared by digests in many tasks.
+SORTED = 1 << 14
 
 
 def _render(symbols: Symbols, texts: list[bytes], covered: np.ndarray) -> list[pa.Array]:

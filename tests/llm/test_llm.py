@@ -233,6 +233,24 @@ def test_bytes(spark, corpus, window, batches, at_most, monkeypatch):
     assert sorted(map(tuple, got)) == sorted(brute_bytes(data, window))
 
 
+@pytest.mark.parametrize("words", [False, True])
+def test_windows_only_of_texts_alike_beside_the_anchor(spark, words, monkeypatch):
+    """Texts that share a gram and less than half a window beside it give no windows, however many they are."""
+    from folio.llm import repeats
+
+    made, whole = [], repeats.windows_of
+    monkeypatch.setattr(repeats, "windows_of", lambda *a: made.append(whole(*a)) or made[-1])
+    monkeypatch.setattr(repeats.RepeatIndex, "_drop", lambda *_: None)
+    monkeypatch.setattr(suffix_dedup, "SORTED", 4)
+    rng = random.Random(4)
+    some = lambda n: " ".join(f"{rng.getrandbits(40):x}" for _ in range(n))
+    data = [(i, f"{some(30)} alpha beta gamma delta epsilon zeta eta {some(30)}") for i in range(30)]
+    data += [(30, data[3][1] + some(3)), (31, some(2) + data[4][1][-150:])]
+    run, brute, window = (substring_dedup.dedup_words, brute_words, 13) if words else (suffix_dedup.dedup_bytes, brute_bytes, 100)
+    assert sorted(map(tuple, run(docs_of(spark, data), window, 2).collect())) == sorted(brute(data, window))
+    assert sum(df.count() for df in made) < 30
+
+
 def test_suffix_query(spark, corpus):
     assert sorted(map(tuple, queries.op4_suffix_dedup(spark, SF).collect())) == sorted(brute_bytes(corpus, 100))
 
