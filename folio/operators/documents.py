@@ -7,10 +7,12 @@ own earlier choices run grouped by book or page.
 from __future__ import annotations
 
 import difflib
+import re
 from bisect import bisect_left
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -24,6 +26,14 @@ INDENT, FULL_LINE, NEAR_FULL, SHORT_LINE, Y_JUMP, TITLE_FACTOR = 1.5, 1.0, 2.0,
 LEADING_NO_BREAK = "[，。！？；：、）】》”’%]"
 STRONG_NEW = r"^(第[一二三四五六七八九十百]+|[一二三四五六七八九十]+、|（[一二三四五六七八九十]+）|\d{1,2}[.、])"
 
+#: What begins a paragraph that is never joined across pages, and what a line of a colophon has.
+SEAM_HEAD = re.compile(
+    r"(第\s*[0-9〇零一二三四五六七八九十百千]+\s*[章编部篇节讲]|[一二三四五六七八九十]+\s*、|[（(][0-9①-⑳一二三四五六七八九十]+\s*[）)、．.]"
+    r"|[0-9①-⑳]+\s*[、．.]|附录|目录|序言|前言|导论|结语|后记|参考文献|索引|注释|[表图]\s*[0-9一二三四五六七八九十])"
+)
+COLOPHON = re.compile("定价|ISBN|印张|开本|版次|印次|字数|书号|发行|经销|印刷|装订")
+STITCHED = pa.schema({"book": pa.int64(), "page": pa.int32(), "paras": pa.int32(), "chars": pa.int64(), "texts": pa.list_(pa.string()), "tail": pa.string(), "head": pa.string()})
+
 
 def visual_rows(lines: DataFrame, tolerance: float) -> DataFrame:
     """Spans of a page whose heights differ by little are one row: text in reading order, hull, weighted size."""
@@ -156,39 +166,59 @@ def blind_chapters(df: DataFrame, group: str, order: str, whole: int = 50_000, l
     return cut.join(total, group).select(group, order, F.when(F.col("long"), F.col("block")).otherwise(0).alias("block"))
 
 
-def stitch(pages: DataFrame) -> DataFrame:
-    """Pages (book, page, paras) with paragraphs cut by a page's end joined to their beginning.
+def _goes_on(a: str, b: str) -> bool:
+    """Whether a page's last paragraph goes on with the next page's first.
+
+    Neither is a mark or a heading, list item, table or figure; the one before is no line of a colophon, has 12 characters and
+    ends within a sentence. Besides Chinese characters Latin letters are words, of which the second begins with a small one.
+    """
+    within = len(a) >= 12 and re.match("[一-鿿a-zA-Z，、：]", a[-1]) and re.match("[一-鿿a-z]", b)
+    return bool(within) and not any(x.startswith("〔") or SEAM_HEAD.match(x) for x in (a, b)) and not COLOPHON.search(a)
+
+
+def stitched(pages: DataFrame, done: DataFrame | None = None) -> DataFrame:
+    """(book, page, paras, chars, texts, tail, head): pages (book, page, paras) with paragraphs cut by a page's end joined to their beginning.
+
+    The rest of a paragraph is the first one of the page numbered next, which loses it; empty and null ones are dropped. paras
+    and chars count what a page has then, texts. tail and head are 14 characters on both sides of a seam, null where a page's
+    end has none. done: (book, page) of pages joined to the next before, which are not joined again.
 
     Sequential in a book: a page that gives its only paragraph away changes the next decision. One page is held at a time.
     """
 
     def run(batches):
-        import re
-
-        heading = re.compile(f"^第[{T.NUMERAL}]+[章节编篇]|^[一二三四五六七八九十]+、")
         held = None
-        measured = lambda r: (r[0], r[1], len(r[2]), sum(map(len, r[2])))
-        for pdf in batches:
+        for batch in batches:
             out = []
-            for book, page, paras in zip(pdf["book"].tolist(), pdf["page"].tolist(), pdf["paras"], strict=True):
-                now = (book, page, [x for x in paras if x])
-                if held and held[0] == book and held[2] and now[2]:
-                    a, b = held[2], now[2]
-                    x, y = a[-1], b[0]
-                    cut = len(x) >= 12 and not x.startswith("〔") and not y.startswith("〔") and not heading.match(x) and not heading.match(y)
-                    if cut and re.search(r"[一-鿿a-zA-Z]$", x) and re.match(r"[一-鿿a-z]", y):
-                        a[-1] = x + (" " if x[-1].isascii() and y[0].isascii() else "") + y
-                        del b[0]
+            for book, page, paras, before in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                now = {"book": book, "page": page, "texts": [x for x in paras or [] if x], "before": before}
+                if held and held["book"] == book and held["page"] is not None and held["page"] + 1 == page and not held["before"] and held["texts"] and now["texts"]:
+                    a, b = held["texts"][-1], now["texts"][0]
+                    if _goes_on(a, b):
+                        held["texts"][-1] = a + (" " if a[-1].isascii() and b[0].isascii() else "") + b
+                        held |= {"tail": a[-14:], "head": b[:14]}
+                        del now["texts"][0]
                 if held:
-                    out.append(measured(held))
+                    out.append(held)
                 held = now
             if out:
-                yield pd.DataFrame(out, columns=["book", "page", "paras", "chars"])
+                yield measured(out)
         if held:
-            yield pd.DataFrame([measured(held)], columns=["book", "page", "paras", "chars"])
+            yield measured([held])
+
+    def measured(rows: list[dict]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_pylist([r | {"paras": len(r["texts"]), "chars": sum(map(len, r["texts"]))} for r in rows], STITCHED)
+
+    marks = done.select("book", "page").distinct().withColumn("before", F.lit(True)) if done is not None else None
+    rows = pages.select("book", "page", "paras")
+    rows = rows.withColumn("before", F.lit(False)) if marks is None else rows.join(marks, ["book", "page"], "left")
+    rows = shipped(rows).repartition("book").sortWithinPartitions("book", "page")
+    return rows.mapInArrow(run, "book long, page int, paras int, chars long, texts array<string>, tail string, head string")
+
 
-    rows = shipped(pages).select("book", "page", "paras").repartition("book").sortWithinPartitions("book", "page")
-    return rows.mapInPandas(run, "book long, page int, paras int, chars long")
+def stitch(pages: DataFrame, done: DataFrame | None = None) -> DataFrame:
+    """(book, page, paras, chars) of stitched pages."""
+    return stitched(pages, done).select("book", "page", "paras", "chars")
 
 
 def merge_fragments(lines: DataFrame, reach: float = 15.0) -> DataFrame:

@@ -168,6 +168,73 @@ def test_stitch(spark):
     assert [(r.page, r.paras) for r in D.stitch(rows).orderBy("page").collect()] == [(1, 1), (2, 1), (3, 1)]
 
 
+#: stitch.py's patterns, with Latin letters besides.
+SEAM_HEAD = re.compile(
+    r"^(第\s*[0-9〇零一二三四五六七八九十百千]+\s*[章编部篇节讲]|[一二三四五六七八九十]+\s*、|[（(][0-9①-⑳一二三四五六七八九十]+\s*[）)、．.]|[0-9①-⑳]+\s*[、．.]"
+    r"|附录|目录|序言|前言|导论|结语|后记|参考文献|索引|注释|表\s*[0-9一二三四五六七八九十]|图\s*[0-9一二三四五六七八九十])"
+)
+COLOPHON = re.compile("定价|ISBN|印张|开本|版次|印次|字数|书号|发行|经销|印刷|装订")
+
+
+def stitched_in_order(pages, done=()):
+    """{page: (texts, tail, head)} of a book, {page: texts}, one boundary after the other."""
+    pages, seams = {n: [x for x in paras or [] if x] for n, paras in pages.items()}, {}
+    for n in sorted(pages):
+        if n in done or not pages[n] or not pages.get(n + 1):
+            continue
+        a, b = pages[n][-1], pages[n + 1][0]
+        apart = any(x.startswith("〔") or SEAM_HEAD.match(x) for x in (a, b)) or COLOPHON.search(a) or len(a) < 12
+        if not apart and re.match("[一-鿿a-zA-Z，、：]", a[-1]) and re.match("[一-鿿a-z]", b):
+            seams[n] = (a[-14:], b[:14])
+            pages[n][-1] = a + (" " if a[-1].isascii() and b[0].isascii() else "") + b
+            del pages[n + 1][0]
+    return {n: (paras, *seams.get(n, (None, None))) for n, paras in pages.items()}
+
+
+def test_stitched_texts(spark):
+    """Pages have their joined texts; guards, gaps between pages, seams of before and runs of single paragraphs are as one boundary after the other gives them."""
+    dice = random.Random(9)
+    starts = ["第 一 讲", "第三部", "（1）", "(二).", "12、", "③．", "附录", "目录", "表 1", "图二", "一 、", "〔图：", "第　二节", "B", "b", "。", "第一回"]
+    part = lambda: dice.choice([*starts, *[""] * 40]) + "这一段文字在页尾被切断而没有"[: dice.choice([5, 14, 14, 14])] + dice.choice([*"民，、：。bC7,人事法", "定价书", "ISBN法"])
+    books = {b: {p: dice.choice([[part()], [part()], [part(), part()], [part(), None, "", part()], [], None]) for p in sorted(dice.sample(range(1, 16), 13))} for b in range(90)}
+    books[90] = {p: ["这一段文字在页尾被切断而没有"] for p in range(1, 8)}
+    done = [(b, p) for b in books for p in books[b] if dice.random() < 0.1]
+    pages = spark.createDataFrame([(b, p, paras) for b, of in books.items() for p, paras in of.items()], "book long, page int, paras array<string>").repartition(3)
+    marks = spark.createDataFrame(done + done[:3], "book long, page int")
+    for before in (None, marks):
+        want = {(b, p): v for b, of in books.items() for p, v in stitched_in_order(of, [q for c, q in done if c == b and before is not None]).items()}
+        got = D.stitched(pages, before).collect()
+        assert {(r.book, r.page): (r.texts, r.tail, r.head) for r in got} == want and len(got) == len(want)
+        assert all((r.paras, r.chars) == (len(r.texts), sum(map(len, r.texts))) for r in got)
+        assert sum(r.tail is not None for r in got) > 80
+
+
+def test_stitch_guards(spark):
+    end, rest = "这一段文字在页尾被切断而没有", "说完。"
+    cases = [
+        (f"{end}，", rest, 1), (f"{end}：", rest, 1), (end, "（1）" + rest, 0), (end, "3．" + rest, 0), (end, "附录" + rest, 0), (end, "表 2" + rest, 0), (end, "第二讲" + rest, 0),
+        (f"定价二十元{end}", rest, 0), (f"本书印次{end}", rest, 0), (end, rest, 1), (end, "", 0),
+    ]
+    rows = [(b, p, [x]) for b, (x, y, _) in enumerate(cases) for p, x in ((1, x), (2, y))] + [(99, 1, [end]), (99, 3, [rest])]
+    got = {(r.book, r.page): r.paras for r in D.stitch(spark.createDataFrame(rows, "book long, page int, paras array<string>")).collect()}
+    assert [1 - got[b, 2] if y else 0 for b, (_, y, _) in enumerate(cases)] == [joined for _, _, joined in cases]
+    assert got[99, 1] == got[99, 3] == 1  # page 2 is missing
+
+
+def test_stitched_query(spark, tmp_path):
+    """The query gives whole texts, trimmed; a page that gave all it had is blank."""
+    from folio.plans import registry
+
+    lines = ["  第一页的第一行。\t", " ", *["一行"] * 27, "\u3000这一段文字在页尾被切断而没有 ", " 说完。", *["\xa0"] * 29, "尾页"]
+    text = "\n".join(lines)
+    spark.createDataFrame([(5, text, "zh", "src1", len(text))], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.page: r.asDict() for r in registry.queries()["C22_stitched_pages"](spark, str(tmp_path)).collect()}
+    whole = ["第一页的第一行。", *["一行"] * 27, "这一段文字在页尾被切断而没有说完。"]
+    assert got[1] == {"book": 5, "page": 1, "paras": 29, "chars": sum(map(len, whole)), "tail": "这一段文字在页尾被切断而没有", "head": "说完。", "body": "\n\n".join(whole)}
+    assert got[2] == {"book": 5, "page": 2, "paras": 0, "chars": 0, "tail": None, "head": None, "body": "〔空白页〕"}
+    assert got[3]["body"] == "尾页" and len(got) == 3
+
+
 def test_decode():
     assert files.decode("中文".encode("gbk")) == ("中文", "gbk")
     assert files.decode("中文".encode()) == ("中文", "utf-8")
